@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +20,10 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """A small fixed table as a CASE expression, so that no join is planned for it."""
-    pairs = list(table.items())
-    case = reduce(lambda c, kv: c.when(key == kv[0], F.lit(kv[1])), pairs[1:], F.when(key == pairs[0][0], F.lit(pairs[0][1])))
-    return case if default is None else case.otherwise(F.lit(default))
+    """A small fixed table as a literal map, so that no join is planned for it."""
+    entries = [F.lit(x) for kv in table.items() for x in kv]
+    found = F.try_element_at(F.create_map(*entries), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def divergence_pct(forecast: Column, consensus: Column) -> Column:
