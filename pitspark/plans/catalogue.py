@@ -1,6 +1,6 @@
 """All queries; importing the modules registers them."""
 
-from pitspark.plans import activity, decisions, point_in_time, sources_and_identity  # noqa: F401
+from pitspark.plans import activity, decisions, outcomes, point_in_time, sources_and_identity  # noqa: F401
 from pitspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
