@@ -5,10 +5,42 @@ the decision date ``t``. Every table here is a plain plan over whole input table
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark.functions import dates
+from pitspark.session import materialize
+
+_scope: dict | None = None
+
+
+@contextmanager
+def written_once(*names: str):
+    """Within the block the named tables are written to the shared folder when first asked for, and
+    every plan built in the block reads that one copy. Nothing is kept beyond the block."""
+    global _scope
+    outer, _scope = _scope, {**dict.fromkeys(names), **(_scope or {})}
+    try:
+        yield
+    finally:
+        _scope = outer
+
+
+def derived(fn):
+    """A table function that takes part in ``written_once`` under its own name."""
+
+    @wraps(fn)
+    def get(spark, sf):
+        if _scope is None or fn.__name__ not in _scope:
+            return fn(spark, sf)
+        if _scope[fn.__name__] is None:
+            _scope[fn.__name__] = materialize(fn(spark, sf), fn.__name__)
+        return _scope[fn.__name__]
+
+    return get
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,11 +53,13 @@ def _lines(spark, sf) -> DataFrame:
     return lines.join(supplier, "l_suppkey")
 
 
+@derived
 def prices(spark, sf) -> DataFrame:
     """(firm, d, px, ntrades): one daily price per firm."""
     return _lines(spark, sf).groupBy("firm", "d").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.count(F.lit(1)).alias("ntrades"))
 
 
+@derived
 def estimates(spark, sf) -> DataFrame:
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("firm"), "c_name")
     o = table(spark, sf, "orders").withColumn("anndats", F.to_date("o_orderdate"))
@@ -46,22 +80,26 @@ def estimates(spark, sf) -> DataFrame:
     )
 
 
+@derived
 def earnings(spark, sf) -> DataFrame:
     """(firm, fpe, ed): one event date per firm and fiscal quarter."""
     cells = estimates(spark, sf).select("firm", "fpe").distinct()
     return cells.withColumn("ed", F.date_add("fpe", F.col("firm") % 15 + 20))
 
 
+@derived
 def cells(spark, sf) -> DataFrame:
     return earnings(spark, sf).withColumn("t", dates.decision_date("ed"))
 
 
+@derived
 def macro(spark, sf) -> DataFrame:
     """(d, oil, rigs): weekly price level and activity count."""
     lines = table(spark, sf, "lineitem").withColumn("d", F.to_date(F.date_trunc("week", "l_shipdate")))
     return lines.groupBy("d").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("oil"), F.count(F.lit(1)).alias("rigs"))
 
 
+@derived
 def fundq(spark, sf) -> DataFrame:
     """Quarterly fundamentals in millions. Some announcement dates are missing, some arrive late
     enough to be out of order."""
@@ -91,6 +129,7 @@ def fundq(spark, sf) -> DataFrame:
     )
 
 
+@derived
 def permits(spark, sf) -> DataFrame:
     """One well pad per supplier, spread over the calendar by key."""
     k = F.col("l_suppkey")

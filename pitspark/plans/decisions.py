@@ -40,8 +40,10 @@ def scoring_inputs(spark, sf, setting: str | None = "target") -> DataFrame:
     return with_ticker(oil.join(act, pit.CELL).join(cons, pit.CELL))
 
 
-def scored_cells(spark, sf, setting: str | None = "target", alpha: float = params.ALPHA) -> DataFrame:
-    return forecast.divergence(forecast.forecast(scoring_inputs(spark, sf, setting), alpha, 1.0), unit=1.0)
+@b.derived
+def scored_cells(spark, sf) -> DataFrame:
+    with b.written_once("cells", "permits"):
+        return forecast.divergence(forecast.forecast(scoring_inputs(spark, sf), unit=1.0), unit=1.0)
 
 
 SCORED = f"""{CPM} {o.ACTIVE}, {o.MACRO}, {ACTIVITY},
@@ -148,9 +150,11 @@ def cell_verdicts(spark, sf) -> DataFrame:
     return v.select("firm", "fpe", "decision", "conviction_tier", "disclosed")
 
 
-def composite_full(spark, sf, setting: str | None = "target", alpha: float = params.ALPHA, downgrade: bool = True) -> DataFrame:
-    """Activity, forecast, divergence, gate, verdict and size for every cell."""
-    return forecast.decide(scored_cells(spark, sf, setting, alpha), cell_verdicts(spark, sf), ["firm", "fpe"], downgrade)
+def composite_full(spark, sf, downgrade: bool = True) -> DataFrame:
+    """Activity, forecast, divergence, gate, verdict and size for every cell. The scored cells are few
+    and feed both sides of the gate, so they are written once."""
+    with b.written_once("scored_cells"):
+        return forecast.decide(scored_cells(spark, sf), cell_verdicts(spark, sf), ["firm", "fpe"], downgrade)
 
 
 CELL_VERDICTS = f"cv0 AS ({norm_sql('verdicts')}), cv AS (SELECT firm, fpe, decision, conviction_tier, disclosed FROM cv0 QUALIFY row_number() OVER (PARTITION BY firm, fpe ORDER BY verdict_id) = 1)"

@@ -17,6 +17,7 @@ from pitspark.plans import oracle_base as o
 from pitspark.plans.activity import CPM, TRUTH, noisy, relative, rolled
 from pitspark.plans.point_in_time import CAPS, EXITS, close_and_shares
 from pitspark.plans.registry import query
+from pitspark.session import materialize
 from pitspark.sources import sinks
 
 CP = f"{o.CELLS}, {o.PRICES}"
@@ -103,7 +104,10 @@ def strategy_signals(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
 
 
 def trades(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
-    return ledger.trade_ledger(strategy_signals(spark, sf, which), b.cells(spark, sf), b.prices(spark, sf))
+    """The ledger of the chosen strategies as a written table, since every report on it reads it
+    several times; the tables behind it are written once too."""
+    with b.written_once("cells", "prices", "macro", "fundq", "permits", "scored_cells"):
+        return materialize(ledger.trade_ledger(strategy_signals(spark, sf, which), b.cells(spark, sf), b.prices(spark, sf)), "trades")
 
 
 def ledger_sql(parts: dict[int, str]) -> str:
@@ -233,6 +237,11 @@ VARIANTS = [("baseline_target", 0.10, "target", True, 5.0), ("cm_optimistic", 0.
 
 def sweep(spark, sf) -> DataFrame:
     """All parameter variants in one plan: shared inputs are read once and the variants are rows."""
+    with b.written_once("cells", "permits"):
+        return _sweep(spark, sf)
+
+
+def _sweep(spark, sf) -> DataFrame:
     cells = b.cells(spark, sf)
     settings = sorted({v[2] for v in VARIANTS})
     act = reduce(DataFrame.unionByName, [relative(spark, sf, s).select(*pit.CELL, "n_new", "n_cont", "signal").withColumn("setting", F.lit(s)) for s in settings])
@@ -243,7 +252,7 @@ def sweep(spark, sf) -> DataFrame:
     mine = act.withColumn("p", F.explode(F.filter(rows, lambda r: r["setting_of"] == F.col("setting")))).select("*", "p.*").drop("p", "setting_of")
     mine = mine.withColumns({c: F.when(F.col("radar"), F.col(c)).otherwise(F.lit(0)) for c in ("n_new", "n_cont", "signal")})
     fc = forecast.forecast(mine.join(base, pit.CELL), F.col("alpha"), 1.0)
-    scored = forecast.divergence(fc, modest=F.col("modest"), strong=1e9, unit=1.0)
+    scored = materialize(forecast.divergence(fc, modest=F.col("modest"), strong=1e9, unit=1.0), "swept")
     return forecast.decide(scored, dec.cell_verdicts(spark, sf), ["firm", "fpe"]).withColumn("error", F.lit(""))
 
 
@@ -258,7 +267,7 @@ def sweep_sql() -> str:
         rels.append(f"SELECT '{name}' AS variant, {alpha}::DOUBLE AS alpha, {modest}::DOUBLE AS modest, firm, fpe, t, {'signal' if radar else '0.0::DOUBLE'} AS signal FROM {src}")
     go = "pct > modest"
     return f"""{dec.SCORED}, {o.VERDICTS}, {dec.CELL_VERDICTS}, {', '.join(acts)}, sw AS ({' UNION ALL '.join(rels)}),
-sw1 AS (SELECT sw.*, CASE WHEN f.n_analysts >= 1 THEN alpha * greatest(least(sw.signal, 1.0), -1.0) * 100 ELSE 0 END AS pct FROM sw JOIN fc f USING (firm, fpe, t)),
+sw1 AS (SELECT sw.*, CASE WHEN f.n_analysts >= 1 THEN (f.median_value * (1 + alpha * greatest(least(sw.signal, 1.0), -1.0)) - f.median_value) / f.median_value * 100 ELSE 0 END AS pct FROM sw JOIN fc f USING (firm, fpe, t)),
 sw2 AS (SELECT sw1.*, CASE WHEN {go} THEN coalesce(decision, 'no_trade') ELSE 'no_trade' END AS decision, CASE WHEN {go} THEN coalesce(conviction_tier, 'none') ELSE 'none' END AS conviction_tier FROM sw1 LEFT JOIN cv USING (firm, fpe)),
 swept AS ({dec.sized_sql('sw2')})"""
 
@@ -300,8 +309,9 @@ vm AS (SELECT variant, count(*) AS n_trades, avg(net_return) AS mean_net, median
 
 
 def ablation(spark, sf):
-    cells = variant_cells(spark, sf)
-    t = ledger.trade_ledger(cells, b.cells(spark, sf), b.prices(spark, sf))
+    with b.written_once("cells", "prices", "macro"):
+        cells = materialize(variant_cells(spark, sf), "variant_cells")
+        t = materialize(ledger.trade_ledger(cells, b.cells(spark, sf), b.prices(spark, sf)), "variant_trades")
     return ledger.ablation_table(cells, t, n_iter=200)
 
 

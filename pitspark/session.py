@@ -1,8 +1,9 @@
-"""Session defaults and the one place where lineage is cut."""
+"""Session defaults, and the one place where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,22 @@ def local_session(cores: str = "8", app: str = "pitspark") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the session names in spark.checkpoint.dir. Only a local
+    session that names none gets a temporary one, which is then remembered."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate table once and read it back. Its consumers start from files: they can
+    prune columns, know the size, and a lost executor repeats none of the work behind them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
