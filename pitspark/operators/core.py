@@ -179,12 +179,13 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
         wanted[upper_median] = (half, half, half.cast("double"))
     if not wanted:
         return sizes
-    hot = sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi")
+    # At most (rows / small) groups can be this large, so their list is safe to broadcast.
+    hot = F.broadcast(sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi"))
 
     direct = [F.percentile(value, F.lit(p)).alias(k) for k, p in quantiles.items()]
     if upper_median:
         direct.append(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(upper_median))
-    cold_part = rows.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).agg(*direct)
+    cold_part = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).agg(*direct)
 
     runs = rows.join(hot, keys).groupBy(*keys, "n", "lo", "hi", value).agg(F.count(F.lit(1)).alias("_c"))
     runs = runs.withColumn("_bin", value_bin(F.col(value), F.col("lo"), F.col("hi")))

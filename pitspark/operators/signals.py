@@ -78,10 +78,11 @@ def momentum_scores(panel: DataFrame, prices: DataFrame, skip: int = 30, lookbac
 
 
 def zscore_by(df: DataFrame, part: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Population z-score per column and group, 0 for fewer than two values or no spread. Adds z_*.
-    The group's moments are aggregated and joined back, so a large group is never in one task."""
+    """Population z-score per column and group, 0 for fewer than two values or no spread. Adds z_* and
+    the group's row count. Moments are aggregated and joined back, so a large group is never in one
+    task."""
     part = list(part)
-    aggs = [a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
+    aggs = [F.count(F.lit(1)).alias("n_group")] + [a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
     rows = df.join(df.groupBy(*part).agg(*aggs), part)
     flat = {c: (F.col(f"_n_{c}") < 2) | (F.col(f"_s_{c}") == 0) for c in cols}
     zs = {f"z_{c}": F.when(F.col(c).isNotNull(), F.when(flat[c], 0.0).otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))) for c in cols}
@@ -129,14 +130,12 @@ QUALITY_COLS = ["roe", "neg_de", "ocf_margin"]
 
 def composite(inputs: DataFrame, cols: Sequence[str], out: str, minimum: int = 2) -> DataFrame:
     """Mean of the z-scores per decision date; dates with fewer than ``minimum`` firms give none."""
-    sized = inputs.join(inputs.groupBy("t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum).drop("_n"), "t")
-    z = zscore_by(sized, ["t"], cols)
+    z = zscore_by(inputs, ["t"], cols).where(F.col("n_group") >= minimum)
     return z.withColumn(out, sum((F.col(f"z_{c}") for c in cols[1:]), F.col(f"z_{cols[0]}")) / len(cols))
 
 
-def partial_composite(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
+def partial_composite(z: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
     """Mean of the z-scores that exist; NULL when none does."""
-    z = zscore_by(df, ["t"], cols)
     have = sum((F.when(F.col(f"z_{c}").isNotNull(), 1).otherwise(0) for c in cols[1:]), F.when(F.col(f"z_{cols[0]}").isNotNull(), 1).otherwise(0))
     total = sum((F.coalesce(f"z_{c}", F.lit(0.0)) for c in cols[1:]), F.coalesce(f"z_{cols[0]}", F.lit(0.0)))
     return z.withColumn(out, F.when(have > 0, total / have))
@@ -188,4 +187,5 @@ def spec_scores(panel: DataFrame, fundq: DataFrame, prices: DataFrame) -> DataFr
         "s_ev": F.when(F.col("oibdpq") > 0, -ev / (F.col("oibdpq") * 1e6)), "s_pb": -cap / (equity * 1e6), "s_fcf": (F.col("ocf_q") - F.col("capex_q")) * 1e6 / cap,
         "s_roe": F.col("roe_4q"), "s_de": -(F.col("dlttq") + F.col("dlcq")) / equity, "s_ocf": F.when(F.col("saleq") > 0, F.col("ocf_q") / F.col("saleq")),
     })
-    return partial_composite(partial_composite(rows, ["s_ev", "s_pb", "s_fcf"], "value_spec"), ["s_roe", "s_de", "s_ocf"], "quality_spec")
+    value, quality = ["s_ev", "s_pb", "s_fcf"], ["s_roe", "s_de", "s_ocf"]
+    return partial_composite(partial_composite(zscore_by(rows, ["t"], value + quality), value, "value_spec"), quality, "quality_spec")

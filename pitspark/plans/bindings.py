@@ -14,31 +14,33 @@ from pyspark.sql import functions as F
 from pitspark.functions import dates
 from pitspark.session import materialize
 
-_scope: dict | None = None
+_scopes: list[dict] = []
 
 
 @contextmanager
 def written_once(*names: str):
     """Within the block the named tables are written to the shared folder when first asked for, and
-    every plan built in the block reads that one copy. Nothing is kept beyond the block."""
-    global _scope
-    outer, _scope = _scope, {**dict.fromkeys(names), **(_scope or {})}
+    every plan built in the block reads that one copy. A block inside another one shares the outer
+    block's copies. Nothing is kept beyond the outermost block that named the table."""
+    _scopes.append(dict.fromkeys(names))
     try:
         yield
     finally:
-        _scope = outer
+        _scopes.pop()
 
 
 def derived(fn):
     """A table function that takes part in ``written_once`` under its own name."""
+    name = fn.__name__
 
     @wraps(fn)
     def get(spark, sf):
-        if _scope is None or fn.__name__ not in _scope:
+        scope = next((s for s in _scopes if name in s), None)
+        if scope is None:
             return fn(spark, sf)
-        if _scope[fn.__name__] is None:
-            _scope[fn.__name__] = materialize(fn(spark, sf), fn.__name__)
-        return _scope[fn.__name__]
+        if scope[name] is None:
+            scope[name] = materialize(fn(spark, sf), name)
+        return scope[name]
 
     return get
 

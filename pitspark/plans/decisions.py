@@ -15,6 +15,7 @@ from pitspark.plans import oracle_base as o
 from pitspark.plans.activity import ACTIVITY, CPM, relative
 from pitspark.plans.point_in_time import FUND, FUND_AT, TRAILING
 from pitspark.plans.registry import query
+from pitspark.session import materialize
 
 TICKERS = {i: t for i, t in enumerate(params.UNIVERSE)}
 
@@ -250,6 +251,7 @@ def universe(spark, sf) -> DataFrame:
     return with_ticker(u).withColumn("shares", shares)
 
 
+@b.derived
 def panel(spark, sf) -> DataFrame:
     return signals.ranking_panel(b.cells(spark, sf), universe(spark, sf))
 
@@ -327,8 +329,11 @@ def _factor(src: str, score: str) -> str:
  SELECT p.firm, p.t, rnd(momentum, 6) AS momentum, m.r AS momentum_rank, coalesce(m.r <= 4, false) AS momentum_top, rnd(value_score, 6) AS value_score, v.r AS value_score_rank, coalesce(v.r <= 4, false) AS value_score_top,
  rnd(quality_score, 6) AS quality_score, q.r AS quality_score_rank, coalesce(q.r <= 4, false) AS quality_score_top FROM panel p LEFT JOIN m USING (firm, t) LEFT JOIN v USING (firm, t) LEFT JOIN q USING (firm, t)""")
 def g13(spark, sf):
-    scores = {"momentum": momentum(spark, sf), "value_score": value(spark, sf), "quality_score": quality(spark, sf)}
-    return signals.factor_panel(panel(spark, sf), scores).withColumns({c: rnd(c, 6) for c in scores})
+    with b.written_once("cells", "prices", "fundq", "panel"):
+        made = {"momentum": momentum(spark, sf), "value_score": value(spark, sf), "quality_score": quality(spark, sf)}
+        # A full ranking reads its input several times, so the scores are written first.
+        scores = {name: materialize(df.select("firm", "t", "idx", name), name) for name, df in made.items()}
+        return signals.factor_panel(panel(spark, sf), scores).withColumns({c: rnd(c, 6) for c in scores})
 
 
 SPEC = f"""fq4 AS (SELECT *, CASE WHEN row_number() OVER y = 1 THEN oancfy ELSE oancfy - lag(oancfy) OVER y END AS ocf_q, CASE WHEN row_number() OVER y = 1 THEN capxy ELSE capxy - lag(capxy) OVER y END AS capex_q,

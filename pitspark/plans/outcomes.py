@@ -106,7 +106,7 @@ def strategy_signals(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
 def trades(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
     """The ledger of the chosen strategies as a written table, since every report on it reads it
     several times; the tables behind it are written once too."""
-    with b.written_once("cells", "prices", "macro", "fundq", "permits", "scored_cells"):
+    with b.written_once("cells", "prices", "macro", "fundq", "permits", "scored_cells", "panel"):
         return materialize(ledger.trade_ledger(strategy_signals(spark, sf, which), b.cells(spark, sf), b.prices(spark, sf)), "trades")
 
 

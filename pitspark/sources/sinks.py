@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pitspark.functions.text import log_safe
 from pitspark.operators.core import latest_row
+from pitspark.sources.readers import read_table
 
 
 def upsert_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,23 +63,25 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.repartition(*[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+VERSIONS = "number long, folder string"
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> str:
-    """Upsert into a versioned Parquet table and return the new version's path. A version is written
-    beside the old ones and becomes current when it is complete, since a Parquet folder cannot be
-    overwritten while it is read. Concurrent writers need a table format with transactions."""
+    """Upsert into a versioned Parquet table and return the new version's folder. The version is
+    written beside the old ones, since a folder cannot be overwritten while it is read, and becomes
+    current when its line is added to the list of versions. One writer at a time; several need a table
+    format with transactions."""
     current = current_version(spark, path)
-    merged = new if current is None else upsert_by_key(spark.read.parquet(current), new, keys)
-    number = 0 if current is None else int(current.rsplit("v=", 1)[1].split("-")[0]) + 1
-    version = f"{path}/v={number:08d}-{uuid.uuid4().hex[:8]}"
-    merged.write.parquet(version)
-    return version
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Newest complete version folder, judged by its success marker."""
-    try:
-        marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path).select("path")
-        found = [r.path.rsplit("/", 1)[0] for r in marks.orderBy(F.col("path").desc()).limit(1).collect()]
-    except Exception:  # noqa: BLE001 - a missing folder means there is no version yet
-        return None
-    return found[0] if found else None
+    number = 0 if current is None else current.number + 1
+    merged = new if current is None else upsert_by_key(spark.read.parquet(current.folder), new, keys)
+    folder = f"{path}/data/{number:08d}-{uuid.uuid4().hex[:8]}"
+    merged.write.parquet(folder)
+    spark.createDataFrame([(number, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return folder
+
+
+def current_version(spark: SparkSession, path: str) -> Row | None:
+    """Number and folder of the newest finished version; None before the first."""
+    listed = read_table(spark, f"{path}/versions", StructType.fromDDL(VERSIONS))
+    newest = listed.orderBy(F.col("number").desc()).limit(1).collect()
+    return newest[0] if newest else None
