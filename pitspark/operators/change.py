@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitspark import params
 from pitspark.functions import dates, hashing, scoring
-from pitspark.operators.core import first_n, group_summary, window_join
+from pitspark.operators.core import first_n, group_summary, salted_join, window_join
 from pitspark.operators.pit import CELL, mask_permits
 
 PAD_CELL = ["pad_id", *CELL]
@@ -69,7 +69,7 @@ def classify_drop(obs: DataFrame, pad_cells: DataFrame, new: float = params.DROP
     q = F.col("fpe")
     start = F.trunc(F.date_sub(q, 92), "month")
     windows = pad_cells.select("pad_id", "fpe", F.trunc(F.date_sub(start, 92), "month").alias("_a"), start.alias("_q0"), q.alias("_b"))
-    hits = window_join(windows, obs.select("pad_id", "published", "vv_db"), ["pad_id"], "_a", "_b", "published")
+    hits = window_join(windows, obs.select("pad_id", "published", "vv_db"), ["pad_id"], "_a", "_b", "published", "vv_db")
     hits = hits.withColumn("_seg", F.when(F.col("published") >= F.col("_q0"), "cur").otherwise("prior"))
     med = group_summary(hits, ["pad_id", "fpe", "_seg"], "vv_db", upper_median="m")
 
@@ -117,7 +117,7 @@ def sample_pads(permits: DataFrame, cells: DataFrame, n: int = 5) -> DataFrame:
         .when(done.between(F.date_sub(q, 730), q), 1)
         .when(done < F.date_sub(q, 730), 2)
     )
-    rows = cells.select(*CELL).join(permits, "firm").withColumn("cohort", cohort).where("cohort IS NOT NULL")
+    rows = salted_join(cells.select(*CELL), permits, ["firm"], "pad_id").withColumn("cohort", cohort).where("cohort IS NOT NULL")
     dealt = first_n(rows, [*CELL, "cohort"], ["pad_id"], n, "in_cohort")
     return first_n(dealt, CELL, ["in_cohort", "cohort"], n, "deal")
 

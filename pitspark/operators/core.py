@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SMALL_GROUP_ROWS = 1_000_000
 VALUE_BINS = 1024
+SALTS = 32
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -24,6 +25,16 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
+def salted_join(small: DataFrame, big: DataFrame, on: Sequence[str], spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of a table with few rows per key to one where a key may hold a large part of all
+    rows. Rows of the big side get a salt from their own id and the small side is repeated per salt,
+    so a key is joined by many tasks. As the join is then not clustered on the key alone, a following
+    aggregation is done in part before it shuffles, instead of wholly inside the hot key's task."""
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return repeated.join(spread, [*on, "_salt"]).drop("_salt")
+
+
 def collapse_daily(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
     """One row per (keys, day): the greatest tuple of ``cols`` when a day repeats."""
     picked = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.max(F.struct(*cols)).alias("_v"))
@@ -82,14 +93,16 @@ def months_touched(start: Column, end: Column) -> Column:
     return F.when(start <= end, F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
 
 
-def window_join(windows: DataFrame, rows: DataFrame, keys: Sequence[str], start: str, end: str, ts: str) -> DataFrame:
+def window_join(windows: DataFrame, rows: DataFrame, keys: Sequence[str], start: str, end: str, ts: str, spread_by: str | None = None) -> DataFrame:
     """Rows of ``rows`` that fall in [start, end] of a window of the same key. Windows are cut into
     the months they touch, which turns the range join into an equi-join on (keys, month); the exact
-    bounds are a residual condition."""
+    bounds are a residual condition. Name an id in ``spread_by`` when the rows are not collapsed to
+    days, so that one crowded month is salted over several tasks."""
     cut = windows.withColumn("_m", F.explode(months_touched(F.col(start), F.col(end))))
     rows = rows.withColumn("_m", F.trunc(ts, "month"))
     on = [*keys, "_m"]
-    return cut.join(rows, on).where(F.col(ts).between(F.col(start), F.col(end))).drop("_m")
+    joined = salted_join(cut, rows, on, spread_by, 8) if spread_by else cut.join(rows, on)
+    return joined.where(F.col(ts).between(F.col(start), F.col(end))).drop("_m")
 
 
 def window_mean(cells: DataFrame, series: DataFrame, keys: Sequence[str], cell_key: Sequence[str], start: Column, end: Column, ts: str, value: str, out: str, default: float | None = None) -> DataFrame:
@@ -187,17 +200,24 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
         direct.append(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(upper_median))
     cold_part = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).agg(*direct)
 
-    runs = rows.join(hot, keys).groupBy(*keys, "n", "lo", "hi", value).agg(F.count(F.lit(1)).alias("_c"))
-    runs = runs.withColumn("_bin", value_bin(F.col(value), F.col("lo"), F.col("hi")))
-    bins = runs.groupBy(*keys, "n", "_bin").agg(F.sum("_c").alias("_bc"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_b0", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-    holds = F.lit(False)
-    for lo_rank, hi_rank, _ in wanted.values():
-        for r in (lo_rank, hi_rank):
-            holds = holds | ((F.col("_b0") <= r) & (r < F.col("_b0") + F.col("_bc")))
-    near = runs.join(bins.where(holds).select(*keys, "_bin", "_b0"), [*keys, "_bin"])
-    upto = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    def narrowed(runs: DataFrame, group: list[str], bin_col: str) -> DataFrame:
+        """Keep only the bins of each group that hold a wanted rank; ``_b0`` counts the rows before."""
+        runs = runs.withColumn(bin_col, value_bin(F.col(value), F.col("lo"), F.col("hi")))
+        bins = runs.groupBy(*group, "n", "_b0", bin_col).agg(F.sum("_c").alias("_bc"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        before = Window.partitionBy(*group).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_b0", F.col("_b0") + F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+        holds = F.lit(False)
+        for ranks in wanted.values():
+            for r in ranks[:2]:
+                holds = holds | ((F.col("_b0") <= r) & (r < F.col("_b0") + F.col("_bc")))
+        kept = bins.where(holds).drop("_bc", "n")
+        return runs.drop("_b0", "lo", "hi").join(kept, [*group, bin_col])
+
+    # Equal values are counted before they are shuffled by key and value, then two rounds of binning
+    # leave about a millionth of a spread-out group to be ordered.
+    runs = rows.join(hot, keys).groupBy(*keys, "n", "lo", "hi", value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b0", F.lit(0).cast("bigint"))
+    near = narrowed(narrowed(runs, keys, "_bin"), [*keys, "_bin"], "_fine")
+    upto = Window.partitionBy(*keys, "_bin", "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_e", F.col("_b0") + F.sum("_c").over(upto)).withColumn("_s", F.col("_e") - F.col("_c"))
 
     def at(rank: Column) -> Column:

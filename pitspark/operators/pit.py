@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitspark import params
 from pitspark.functions import dates
-from pitspark.operators.core import asof_join, first_n, group_summary, nth_row_after, window_join, window_mean
+from pitspark.operators.core import asof_join, first_n, group_summary, nth_row_after, salted_join, window_join, window_mean
 
 CELL = ["firm", "fpe", "t"]
 
@@ -29,7 +29,7 @@ def active_estimates(est: DataFrame, cells: DataFrame) -> DataFrame:
     the announcement) or revised only after T."""
     in_force = F.col("revdats").isNull() | (F.col("revdats") == F.col("anndats")) | (F.col("revdats") > F.col("t"))
     e = est.select("firm", "fpe", "analyst", "anndats", "revdats", "value", "row_id")
-    return cells.select(*CELL).join(e, ["firm", "fpe"]).where((F.col("anndats") <= F.col("t")) & in_force)
+    return salted_join(cells.select(*CELL), e, ["firm", "fpe"], "row_id").where((F.col("anndats") <= F.col("t")) & in_force)
 
 
 def latest_per_analyst(active: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def consensus_with_stops(est: DataFrame, cells: DataFrame, horizons: Sequence[in
     def still_open(c: str) -> Column:
         return F.col(c).isNull() | (F.col(c) > F.col("t"))
 
-    rows = cells.select(*CELL).join(est.where(F.col("fpi").isin(*horizons)), ["firm", "fpe"])
+    rows = salted_join(cells.select(*CELL), est.where(F.col("fpi").isin(*horizons)), ["firm", "fpe"], "row_id")
     rows = rows.where((F.col("anndats") <= F.col("t")) & still_open("revdats") & still_open("stopdats"))
     stats = group_summary(rows, CELL, "value", {"median_value": 0.5}, extra={"newest_anndats": F.max("anndats")})
     analysts = rows.select(*CELL, "analyst").distinct().groupBy(*CELL).agg(F.count("analyst").alias("n_analysts"))
@@ -65,7 +65,7 @@ def consensus_with_stops(est: DataFrame, cells: DataFrame, horizons: Sequence[in
 
 def mask_permits(permits: DataFrame, cells: DataFrame) -> DataFrame:
     """Each cell's permits filed by T, with later filings hidden while they lie after T."""
-    rows = cells.select(*CELL).join(permits, "firm").where(F.col("permit_date") <= F.col("t"))
+    rows = salted_join(cells.select(*CELL), permits, ["firm"], "pad_id").where(F.col("permit_date") <= F.col("t"))
     known = {c: F.when(F.col(c) <= F.col("t"), F.col(c)) for c in ("spud_date", "completion_date")}
     return rows.withColumns(known)
 
@@ -87,7 +87,7 @@ def articles_in_window(articles: DataFrame, cells: DataFrame, key: str, cell_key
     """First ``limit`` matching articles of each cell published from the previous event through T, by
     date and id. The text is matched in full before the join and then dropped."""
     slim = articles.where(matches).select(key, "article_id", "publish_date")
-    hits = window_join(cells.select(key, *[c for c in cell_key if c != key], "prev_ed", "t"), slim, [key], "prev_ed", "t", "publish_date")
+    hits = window_join(cells.select(key, *[c for c in cell_key if c != key], "prev_ed", "t"), slim, [key], "prev_ed", "t", "publish_date", "article_id")
     return first_n(hits.where("publish_date <= t"), cell_key, ["publish_date", "article_id"], limit, "position")
 
 

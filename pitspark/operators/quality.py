@@ -72,8 +72,14 @@ def leaks(df: DataFrame, availability: str, t: str = "t") -> DataFrame:
     return df.where(F.col(availability) > F.col(t))
 
 
-def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Row count and order-free content hash of a table. Hashes are summed as decimals, so neither the
-    order nor the partitioning matters and the sum cannot overflow."""
-    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content_hash")).select(F.lit(name).alias("table_name"), "n_rows", "content_hash")
+def table_fingerprint(df: DataFrame, name: str, portable: bool = False) -> DataFrame:
+    """Row count and order-free content hash of a table: row hashes are summed as decimals, so neither
+    order nor partitioning matters and the sum cannot overflow. ``portable`` hashes the columns' text
+    with md5, which other engines have too; the default is Spark's faster hash of the values."""
+    if portable:
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+        h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
+    else:
+        h = F.xxhash64(*df.columns)
+    total = F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("content_hash")).select(F.lit(name).alias("table_name"), "n_rows", "content_hash")

@@ -110,15 +110,17 @@ def binomial_tail(df: DataFrame, keys: Sequence[str], k: str, n: str, out: str =
     return df.join(tail, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def holm_bonferroni(df: DataFrame, family: Sequence[str], test: str, p: str = "p", out: str = "p_adjusted") -> DataFrame:
+def holm_bonferroni(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_adjusted") -> DataFrame:
     """Step-down family-wise p-values: running maximum of (m - i + 1) p(i), at most 1."""
     family = list(family)
-    size = df.groupBy(*family).agg(F.count(p).alias("_m"))
-    rows = df.join(size, family).withColumn("_pb", F.floor(F.col(p) * 1024))
-    numbered = block_scan(rows, family, ["_pb"], [p, test], sums={"_i": F.lit(1).cast("bigint")})
-    scaled = (F.col("_m") - F.col("_i") + 1) * F.col(p)
-    stepped = block_scan(numbered, family, ["_pb"], [p, test], maxes={out: scaled})
-    return stepped.withColumn(out, F.least(out, F.lit(1.0))).drop("_m", "_pb", "_i")
+    # Equal p-values get the same adjusted value, so only distinct ones are ranked: the rank of the
+    # first of them is one more than the number of smaller ones. Blocks are steps of ln(p).
+    distinct = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_pb", F.floor(F.ln(F.greatest(F.col(p), F.lit(1e-300))) * 8))
+    sizes = df.groupBy(*family).agg(F.count(p).alias("_m"))
+    counted = block_scan(distinct.join(sizes, family), family, ["_pb"], [p], sums={"_upto": F.col("_c")})
+    scaled = (F.col("_m") - (F.col("_upto") - F.col("_c"))) * F.col(p)
+    stepped = block_scan(counted, family, ["_pb"], [p], maxes={out: scaled}).select(*family, p, F.least(out, F.lit(1.0)).alias(out))
+    return df.join(stepped, [*family, p], "left")
 
 
 def placebo_shuffle(df: DataFrame, item: str, cols: Sequence[str], seed: str = "placebo") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitspark import params
 from pitspark.functions.rounding import rnd
 from pitspark.operators import change, pit
+from pitspark.operators.core import salted_join
 from pitspark.plans import bindings as b
 from pitspark.plans import oracle_base as o
 from pitspark.plans.point_in_time import MASKED
@@ -23,7 +24,7 @@ rise AS (SELECT *, CASE WHEN cur_db IS NULL THEN 'idle' WHEN base_db IS NULL THE
 
 def pad_cells(spark, sf):
     p = b.permits(spark, sf)
-    return b.cells(spark, sf).join(p, "firm").where("permit_date <= t").select("pad_id", "firm", "fpe", "t", "completion_date")
+    return salted_join(b.cells(spark, sf), p, ["firm"], "pad_id").where("permit_date <= t").select("pad_id", "firm", "fpe", "t", "completion_date")
 
 
 def rise(spark, sf):
@@ -201,7 +202,7 @@ def e13(spark, sf):
  SELECT c.firm, c.fpe, c.t, count(DISTINCT p.pad_id) AS n_active FROM cells c LEFT JOIN panel p ON p.firm = c.firm AND p.quarter = last_day(CAST(date_trunc('quarter', c.t - 90) AS DATE) + INTERVAL 2 MONTH) AND p.permit_date <= c.t GROUP BY 1, 2, 3""")
 def e14(spark, sf):
     cells = b.cells(spark, sf)
-    panel = change.truth_state(cells.select("firm", "fpe").distinct().join(b.permits(spark, sf), "firm"))
+    panel = change.truth_state(salted_join(cells.select("firm", "fpe").distinct(), b.permits(spark, sf), ["firm"], "pad_id"))
     panel = panel.select("firm", F.col("fpe").alias("quarter"), "pad_id", "permit_date", F.col("truth").alias("state"))
     return change.active_pads_at(panel, cells)
 

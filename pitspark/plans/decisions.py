@@ -145,47 +145,57 @@ def f10(spark, sf):
     return forecast.explode_opinions(opinions(spark, sf), ["verdict_id"])
 
 
-def cell_verdicts(spark, sf) -> DataFrame:
-    """The verdict used for a cell: the one with the smallest id."""
-    v = latest_row(b.verdicts(spark, sf), ["firm", "fpe"], [F.col("verdict_id").asc()])
+def cell_verdicts(spark, sf, news: bool = True) -> DataFrame:
+    """The verdict used for a cell: the one with the smallest id, or without news the first of those
+    that were given while nothing was disclosed."""
+    v = b.verdicts(spark, sf)
+    v = latest_row(v if news else v.where("NOT disclosed"), ["firm", "fpe"], [F.col("verdict_id").asc()])
     return v.select("firm", "fpe", "decision", "conviction_tier", "disclosed")
 
 
-def composite_full(spark, sf, downgrade: bool = True) -> DataFrame:
+def composite(spark, sf, news: bool = True, downgrade: bool = False) -> DataFrame:
     """Activity, forecast, divergence, gate, verdict and size for every cell. The scored cells are few
     and feed both sides of the gate, so they are written once."""
     with b.written_once("scored_cells"):
-        return forecast.decide(scored_cells(spark, sf), cell_verdicts(spark, sf), ["firm", "fpe"], downgrade)
+        return forecast.decide(scored_cells(spark, sf), cell_verdicts(spark, sf, news), ["firm", "fpe"], downgrade)
 
 
-CELL_VERDICTS = f"cv0 AS ({norm_sql('verdicts')}), cv AS (SELECT firm, fpe, decision, conviction_tier, disclosed FROM cv0 QUALIFY row_number() OVER (PARTITION BY firm, fpe ORDER BY verdict_id) = 1)"
+CELL_VERDICTS = f"""cv0 AS ({norm_sql('verdicts')}), cv AS (SELECT firm, fpe, decision, conviction_tier, disclosed FROM cv0 QUALIFY row_number() OVER (PARTITION BY firm, fpe ORDER BY verdict_id) = 1),
+cvn AS (SELECT firm, fpe, decision, conviction_tier, disclosed FROM cv0 WHERE NOT disclosed QUALIFY row_number() OVER (PARTITION BY firm, fpe ORDER BY verdict_id) = 1)"""
 
 
-def composite_sql(name: str, downgrade: bool) -> str:
+def composite_sql(name: str, verdicts: str = "cv", downgrade: bool = False) -> str:
     tier = f"CASE WHEN disclosed THEN {LOWER} ELSE conviction_tier END" if downgrade else "conviction_tier"
     go = "divergence_class IN ('modest_beat', 'strong_beat')"
     return f"""{name}0 AS (SELECT s.*, CASE WHEN {go} THEN coalesce(decision, 'no_trade') ELSE 'no_trade' END AS decision, CASE WHEN {go} THEN coalesce({tier}, 'none') ELSE 'none' END AS conviction_tier,
- CASE WHEN {go} THEN 'ok' ELSE 'short_circuit_' || divergence_class END AS reason FROM scored s LEFT JOIN cv USING (firm, fpe)), {name} AS ({sized_sql(name + '0')})"""
+ CASE WHEN {go} THEN 'ok' ELSE 'short_circuit_' || divergence_class END AS reason FROM scored s LEFT JOIN {verdicts} USING (firm, fpe)), {name} AS ({sized_sql(name + '0')})"""
 
 
-COMPOSITES = f"{SCORED}, {o.VERDICTS}, {CELL_VERDICTS}, {composite_sql('full_', True)}, {composite_sql('nonews', False)}"
+COMPOSITES = f"{SCORED}, {o.VERDICTS}, {CELL_VERDICTS}, {composite_sql('full_')}, {composite_sql('nonews', 'cvn')}, {composite_sql('lowered', downgrade=True)}"
 
 
-@query("f11_cap_concurrent", f"""WITH {COMPOSITES} SELECT firm, fpe, conviction_tier, CAST(row_number() OVER (PARTITION BY fpe ORDER BY {case('conviction_tier', params.TIER_RANK)}, abs(divergence_pct) DESC, firm) AS INTEGER) AS slot FROM nonews WHERE decision = 'long'
+@query("f11_cap_concurrent", f"""WITH {COMPOSITES} SELECT firm, fpe, conviction_tier, CAST(row_number() OVER (PARTITION BY fpe ORDER BY {case('conviction_tier', params.TIER_RANK)}, abs(divergence_pct) DESC, firm) AS INTEGER) AS slot FROM full_ WHERE decision = 'long'
  QUALIFY slot <= 3""")
 def f11(spark, sf):
-    return forecast.cap_concurrent(composite_full(spark, sf, downgrade=False), n=3).select("firm", "fpe", "conviction_tier", "slot")
+    return forecast.cap_concurrent(composite(spark, sf), n=3).select("firm", "fpe", "conviction_tier", "slot")
 
 
 @query("g1_signal_composite_full", f"WITH {COMPOSITES} SELECT firm, fpe, t, decision AS direction, size, conviction_tier, reason FROM full_")
 def g1(spark, sf):
-    return composite_full(spark, sf).select(*pit.CELL, F.col("decision").alias("direction"), "size", "conviction_tier", "reason")
+    return composite(spark, sf).select(*pit.CELL, F.col("decision").alias("direction"), "size", "conviction_tier", "reason")
 
 
 @query("g2_signal_composite_no_news", f"WITH {COMPOSITES} SELECT firm, fpe, t, decision AS direction, size FROM nonews")
 def g2(spark, sf):
-    """The same with the news input nulled: nothing is ever disclosed, so no tier is lowered."""
-    return composite_full(spark, sf, downgrade=False).select(*pit.CELL, F.col("decision").alias("direction"), "size")
+    """The same with verdicts given without news."""
+    return composite(spark, sf, news=False).select(*pit.CELL, F.col("decision").alias("direction"), "size")
+
+
+@query("g1_signal_with_downgrade", f"WITH {COMPOSITES} SELECT firm, fpe, t, decision AS direction, size FROM lowered")
+def g1_lowered(spark, sf):
+    """The documented rule that a disclosure lowers the tier by one, which the base strategy leaves to
+    the verdict."""
+    return composite(spark, sf, downgrade=True).select(*pit.CELL, F.col("decision").alias("direction"), "size")
 
 
 def signal_sql(go: str, source: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pitspark.plans import oracle_base as o
 from pitspark.plans.activity import CPM, TRUTH, noisy, relative, rolled
 from pitspark.plans.point_in_time import CAPS, EXITS, close_and_shares
 from pitspark.plans.registry import query
-from pitspark.session import materialize
+from pitspark.session import materialize, shared_folder
 from pitspark.sources import sinks
 
 CP = f"{o.CELLS}, {o.PRICES}"
@@ -416,7 +417,7 @@ def j5(spark, sf):
  SELECT family, firm, rnd(least(max((m - i + 1) * p) OVER (PARTITION BY family ORDER BY i), 1), 6) AS p_adjusted FROM h""")
 def j6(spark, sf):
     tests = tails(spark, sf).select((F.col("firm") % 2).alias("family"), "firm", F.round("p", 9).alias("p"))
-    return resample.holm_bonferroni(tests, ["family"], "firm").select("family", "firm", rnd("p_adjusted", 6).alias("p_adjusted"))
+    return resample.holm_bonferroni(tests, ["family"]).select("family", "firm", rnd("p_adjusted", 6).alias("p_adjusted"))
 
 
 @query("j7_placebo_shuffle", f"""WITH {o.PERMITS}, a AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(pad_id AS VARCHAR)), 1, 2), pad_id) AS i FROM permits),
@@ -519,9 +520,12 @@ def k7(spark, sf):
     return reduce(DataFrame.unionByName, [quality.table_fingerprint(b.table(spark, sf, n), n) for n in names])
 
 
-@query("k7_table_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("customer", "orders", "lineitem", "events")))
-def k7_counts(spark, sf):
-    return reduce(DataFrame.unionByName, [quality.table_fingerprint(b.table(spark, sf, n), n).drop("content_hash") for n in ("customer", "orders", "lineitem", "events")])
+PRINTED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "customer": ["c_custkey", "c_name", "c_nationkey"], "documents": ["doc_id", "text", "lang", "source"], "conversations": ["conv_id", "turn", "role", "text"]}
+
+
+@query("k7_portable_fingerprint", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', {', '.join(c)})), 1, 15))::BIGINT) AS VARCHAR) AS content_hash FROM {n}" for n, c in PRINTED.items()))
+def k7_portable(spark, sf):
+    return reduce(DataFrame.unionByName, [quality.table_fingerprint(b.table(spark, sf, n).select(*c), n, portable=True) for n, c in PRINTED.items()])
 
 
 # --- L. set operations around sinks
@@ -534,6 +538,37 @@ def l1(spark, sf):
     return sinks.upsert_by_key(base, new, ["o_orderkey"]).select("o_orderkey", "v")
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("l1_upsert_table", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders")
+def l1_table(spark, sf):
+    """The same against a versioned table on disk."""
+    base = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("v"))
+    path = _folder(spark, "upsert")
+    sinks.upsert_table(spark, path, base, ["o_orderkey"])
+    sinks.upsert_table(spark, path, base.where("o_orderstatus = 'P'").withColumn("v", F.col("v") * 2), ["o_orderkey"])
+    return spark.read.parquet(sinks.current_version(spark, path).folder).select("o_orderkey", "v")
+
+
+@query("l3_mirrored_writes", f"WITH {o.CELLS} SELECT 'parquet' AS kind, firm, fpe, ed FROM earnings UNION ALL SELECT 'csv', firm, fpe, ed FROM earnings")
+def l3(spark, sf):
+    path = _folder(spark, "mirrored")
+    sinks.write_mirrored(b.earnings(spark, sf), path, "earnings")
+    schema = "firm int, fpe date, ed date"
+    a = spark.read.schema(schema).parquet(f"{path}/earnings.parquet").withColumn("kind", F.lit("parquet"))
+    return a.unionByName(spark.read.schema(schema).option("header", True).csv(f"{path}/earnings.csv").withColumn("kind", F.lit("csv")))
+
+
+@query("l4_json_summary", "SELECT o_orderstatus, count(*) AS n, rnd(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def l4(spark, sf):
+    path = _folder(spark, "summary")
+    summary = b.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("o_totalprice"), 4).alias("mean"))
+    sinks.write_json_summary(summary, path)
+    return spark.read.schema("o_orderstatus string, n bigint, mean double").json(path)
+
+
 @query("l2_dedup_keep_last", "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def l2(spark, sf):
     rows = b.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))

@@ -111,7 +111,7 @@ def test_binomial_tail(spark, k, n):
 
 def test_holm(spark):
     df = spark.createDataFrame([("f", i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.005])], "family string, test int, p double")
-    got = {r.test: round(r.p_adjusted, 9) for r in resample.holm_bonferroni(df, ["family"], "test").collect()}
+    got = {r.test: round(r.p_adjusted, 9) for r in resample.holm_bonferroni(df, ["family"]).collect()}
     assert got == {3: 0.02, 0: 0.03, 2: 0.06, 1: 0.06}
 
 
