@@ -37,7 +37,10 @@ def salted_join(small: DataFrame, big: DataFrame, on: Sequence[str], spread_by:
 
 def collapse_daily(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
     """One row per (keys, day): the greatest tuple of ``cols`` when a day repeats."""
-    picked = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.max(F.struct(*cols)).alias("_v"))
+    dated = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts)
+    if len(cols) == 1:  # a plain maximum stays in the hash aggregate
+        return dated.agg(F.max(cols[0]).alias(cols[0]))
+    picked = dated.agg(F.max(F.struct(*cols)).alias("_v"))
     return picked.select(*keys, ts, "_v.*")
 
 

@@ -34,8 +34,11 @@ def active_estimates(est: DataFrame, cells: DataFrame) -> DataFrame:
 
 def latest_per_analyst(active: DataFrame) -> DataFrame:
     """Each analyst's last estimate in a cell; same day: the first in source order. A blank analyst is
-    one analyst. The choice is an aggregate, so it is made before the shuffle as far as possible."""
-    newest = F.max_by("value", F.struct("anndats", -F.col("row_id"))).alias("value")
+    one analyst. The choice is an aggregate, so it is made before the shuffle as far as possible; day
+    and row are ordered as one decimal, which the hash aggregate can hold."""
+    day = F.datediff("anndats", F.lit("1970-01-01").cast("date")).cast("decimal(10,0)")
+    order = day * F.lit("10000000000000000000").cast("decimal(20,0)") - F.col("row_id").cast("decimal(20,0)")
+    newest = F.max_by("value", order).alias("value")
     return active.withColumn("analyst", F.coalesce(F.col("analyst").cast("string"), F.lit(""))).groupBy(*CELL, "analyst").agg(newest)
 
 
