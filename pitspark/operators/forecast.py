@@ -77,6 +77,21 @@ def normalize_verdicts(df: DataFrame, text_limit: int = 3000) -> DataFrame:
     return df.withColumns(changes)
 
 
+def normalize_opinions(df: DataFrame, text_limit: int = 1500) -> DataFrame:
+    """Outside opinions made regular: long/buy or no_trade, three confidence levels (the rest low), at
+    most three pieces of evidence on either side, reasoning cut to the limit."""
+    word = F.lower(F.trim(F.coalesce("direction", F.lit(""))))
+    level = F.lower(F.trim(F.coalesce("confidence", F.lit(""))))
+    none = F.array().cast("array<string>")
+    return df.withColumns({
+        "direction": F.when(word.isin("long", "buy"), "long").otherwise("no_trade"),
+        "confidence": F.when(level.isin("high", "medium", "low"), level).otherwise("low"),
+        "key_evidence": F.slice(F.coalesce("key_evidence", none), 1, 3),
+        "counter_evidence": F.slice(F.coalesce("counter_evidence", none), 1, 3),
+        "reasoning_short": F.substring(F.coalesce("reasoning_short", F.lit("")), 1, text_limit),
+    })
+
+
 def size_position(df: DataFrame) -> DataFrame:
     """Tier to size. No trade has tier none and size 0; a long without a sized tier is no trade."""
     tier = F.when(F.col("decision") == "long", F.col("conviction_tier")).otherwise("none")

@@ -116,6 +116,19 @@ def f8(spark, sf):
     return n.select("verdict_id", "decision", "conviction_tier", rnd("weight", 6).alias("weight"), F.array_join("evidence", "|").alias("evidence"), "reasoning")
 
 
+@query("f8_normalize_opinions", """SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) THEN 'long' ELSE 'no_trade' END AS direction, CASE length(text) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
+ array_to_string(string_split(text, chr(10))[1:3], '|') AS key_evidence, substr(text, 1, 1500) AS reasoning_short FROM conversations""")
+def f8_opinions(spark, sf):
+    turn, size = F.col("turn") % 4, F.length("text") % 4
+    raw = b.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.when(turn == 0, "BUY ").when(turn == 1, "Long").when(turn == 2, "short").alias("direction"),
+        F.when(size == 0, " HIGH").when(size == 1, "Medium").when(size == 2, "certain").alias("confidence"),
+        F.split("text", "\n").alias("key_evidence"), F.lit(None).cast("array<string>").alias("counter_evidence"), F.col("text").alias("reasoning_short"),
+    )
+    got = forecast.normalize_opinions(raw)
+    return got.select("conv_id", "turn", "direction", "confidence", F.array_join("key_evidence", "|").alias("key_evidence"), "reasoning_short")
+
+
 LOWER = "CASE conviction_tier WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'none' END"
 
 
