@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitspark import params
 from pitspark.functions import dates, hashing, scoring
-from pitspark.operators.core import first_n, group_summary, salted_join, window_join
+from pitspark.operators.core import first_n, group_summary, salted_join, window_join, with_scalar
 from pitspark.operators.pit import CELL, mask_permits
 
 PAD_CELL = ["pad_id", *CELL]
@@ -21,7 +21,8 @@ NEW, CONT, IDLE = params.STATES
 
 def zonal_mean(pixels: DataFrame, pads: DataFrame, buffer: float = 0.005) -> DataFrame:
     """Mean of linear backscatter per pad and scene over the pixels in a box around the pad, then dB;
-    means that are not finite and positive are dropped. Pads are laid on a grid of box-sized cells
+    masked (NaN) pixels count but take no part in a mean, VV means that are not finite and positive are
+    dropped, and a VH mean that is not finite is NULL. A site seen in every scene is salted by scene. Pads are laid on a grid of box-sized cells
     (at most four each), so the spatial join is an equi-join on the grid cell."""
     size = 2 * buffer
 
@@ -31,7 +32,13 @@ def zonal_mean(pixels: DataFrame, pads: DataFrame, buffer: float = 0.005) -> Dat
     boxes = pads.select("pad_id", "lat", "lon").withColumn("_i", tiles("lat")).withColumn("_j", tiles("lon"))
     px = pixels.select("scene_id", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), "vv", "vh", F.floor(F.col("lat") / size).alias("_i"), F.floor(F.col("lon") / size).alias("_j"))
     inside = F.col("_la").between(F.col("lat") - buffer, F.col("lat") + buffer) & F.col("_lo").between(F.col("lon") - buffer, F.col("lon") + buffer)
-    means = boxes.join(px, ["_i", "_j"]).where(inside).groupBy("pad_id", "scene_id").agg(F.avg("vv").alias("vv"), F.avg("vh").alias("vh"), F.count(F.lit(1)).alias("n_pixels"))
+    hits = salted_join(boxes, px, ["_i", "_j"], "scene_id").where(inside)
+
+    def mean(c: str) -> Column:
+        return F.avg(F.when(~F.isnan(c), F.col(c)))
+
+    means = hits.groupBy("pad_id", "scene_id").agg(mean("vv").alias("vv"), mean("vh").alias("vh"), F.count(F.lit(1)).alias("n_pixels"))
+    means = means.withColumn("vh", F.when(F.abs("vh") < float("inf"), F.col("vh")))
     return means.withColumn("vv_db", scoring.linear_to_db("vv")).where("vv_db IS NOT NULL")
 
 
@@ -69,7 +76,7 @@ def classify_drop(obs: DataFrame, pad_cells: DataFrame, new: float = params.DROP
     q = F.col("fpe")
     start = F.trunc(F.date_sub(q, 92), "month")
     windows = pad_cells.select("pad_id", "fpe", F.trunc(F.date_sub(start, 92), "month").alias("_a"), start.alias("_q0"), q.alias("_b"))
-    hits = window_join(windows, obs.select("pad_id", "published", "vv_db"), ["pad_id"], "_a", "_b", "published", "vv_db")
+    hits = window_join(windows, obs.select("pad_id", "published", "vv_db", "scene_id"), ["pad_id"], "_a", "_b", "published", "scene_id")
     hits = hits.withColumn("_seg", F.when(F.col("published") >= F.col("_q0"), "cur").otherwise("prior"))
     med = group_summary(hits, ["pad_id", "fpe", "_seg"], "vv_db", upper_median="m")
 
@@ -195,10 +202,19 @@ def validation_summary(matches: DataFrame, precision_goal: float = params.TARGET
     return rated.withColumn("passes", (F.col("precision") >= precision_goal) & (F.col("recall") >= recall_goal))
 
 
-def thin_coverage(obs: DataFrame, minimum: int = 30) -> DataFrame:
-    """Pad-years with fewer acquisitions than the minimum."""
+def thin_coverage(obs: DataFrame, pads: DataFrame, minimum: int = 30) -> DataFrame:
+    """Pad-years with fewer acquisitions than the minimum, those without any included. The years are
+    those that any pad was observed in, one per calendar year, so their list is bounded."""
     per = obs.groupBy("pad_id", F.year("acq").alias("year")).agg(F.count(F.lit(1)).alias("n_obs"))
-    return per.where(F.col("n_obs") < minimum)
+    years = per.agg(F.collect_set("year").alias("_years"))
+    due = with_scalar(pads.select("pad_id").distinct(), years).select("pad_id", F.explode("_years").alias("year"))
+    return due.join(per, ["pad_id", "year"], "left").na.fill(0, ["n_obs"]).where(F.col("n_obs") < minimum)
+
+
+def malformed_files(texts: DataFrame, key: str, col: str, schema: str = "array<struct<pad_id:string>>") -> DataFrame:
+    """Observation files per key whose text is no JSON array: how many, of how many."""
+    bad = F.col(col).isNull() | F.from_json(col, schema).isNull()
+    return texts.groupBy(key).agg(F.count_if(bad).alias("n_malformed"), F.count(F.lit(1)).alias("n_files"))
 
 
 def coverage_by_firm(activity: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pitspark.functions import dates, scoring, text
 from pitspark.operators.core import collapse_daily
 
 
-def remap_entities(df: DataFrame, col: str, mapping: Mapping[str, str] = params.LEGACY_TICKERS, drop: Sequence[str] = params.DROPPED_TICKERS, universe: Sequence[str] = params.UNIVERSE) -> DataFrame:
-    """Old identifier to current one; rows on the drop list or outside the universe are removed."""
+def remap_entities(df: DataFrame, col: str, mapping: Mapping[str, str] = params.LEGACY_TICKERS, drop: Sequence[str] = params.DROPPED_TICKERS, universe: Sequence[str] = (*params.UNIVERSE, *params.BENCHMARK_SYMBOLS)) -> DataFrame:
+    """Old identifier to current one; rows on the drop list, or outside the universe and the two
+    benchmark symbols, are removed."""
     current = F.coalesce(scoring.lookup(F.col(col), dict(mapping)), F.col(col))
     return df.where(~F.col(col).isin(*drop)).withColumn(col, current).where(F.col(col).isin(*universe))
 

@@ -26,18 +26,18 @@ def asof_fundamentals(cells: DataFrame, fundq: DataFrame, cols: Sequence[str]) -
 
 def active_estimates(est: DataFrame, cells: DataFrame) -> DataFrame:
     """Estimates in force at T: announced by T, and never revised (revision date missing or equal to
-    the announcement) or revised only after T."""
+    the announcement) or revised only after T. A row without a value is no estimate and hides none."""
     in_force = F.col("revdats").isNull() | (F.col("revdats") == F.col("anndats")) | (F.col("revdats") > F.col("t"))
-    e = est.select("firm", "fpe", "analyst", "anndats", "revdats", "value", "row_id")
+    e = est.where("value IS NOT NULL").select("firm", "fpe", "analyst", "anndats", "revdats", "value", "row_id")
     return salted_join(cells.select(*CELL), e, ["firm", "fpe"], "row_id").where((F.col("anndats") <= F.col("t")) & in_force)
 
 
 def latest_per_analyst(active: DataFrame) -> DataFrame:
-    """Each analyst's last estimate in a cell; same day: the first in source order. A blank analyst is
+    """Each analyst's last estimate in a cell; same day: the first in source order, rows without a number last. A blank analyst is
     one analyst. The choice is an aggregate, so it is made before the shuffle as far as possible; day
     and row are ordered as one decimal, which the hash aggregate can hold."""
     day = F.datediff("anndats", F.lit("1970-01-01").cast("date")).cast("decimal(10,0)")
-    order = day * F.lit("10000000000000000000").cast("decimal(20,0)") - F.col("row_id").cast("decimal(20,0)")
+    order = day * F.lit("10000000000000000000").cast("decimal(20,0)") - F.coalesce("row_id", F.lit(2**63 - 1)).cast("decimal(20,0)")
     newest = F.max_by("value", order).alias("value")
     return active.withColumn("analyst", F.coalesce(F.col("analyst").cast("string"), F.lit(""))).groupBy(*CELL, "analyst").agg(newest)
 

@@ -7,6 +7,7 @@ the same whatever the partitioning, and the same after a lost executor."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,7 +113,11 @@ def binomial_tail(df: DataFrame, keys: Sequence[str], k: str, n: str, out: str =
     increment = F.when(F.col("_i") == 0, 0.0).otherwise(F.ln((F.col("_n") - F.col("_i") + 1) / F.when(F.col("_i") > 0, F.col("_i"))))
     scanned = block_scan(terms, keys, ["_blk"], ["_i"], sums={"_lc": increment})
     tail = scanned.where(F.col("_i") >= F.col("_k")).groupBy(*keys).agg(F.sum(F.exp(F.col("_lc") - F.col("_n") * F.ln(F.lit(2.0)))).alias(out))
-    return df.join(tail, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    named = tail.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], out)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], F.lit(True))
+    joined = df.join(named, same, "left").select(*df.columns, out)
+    # Past n there is nothing to sum: the tail is 0. A missing k or n leaves it unknown.
+    return joined.withColumn(out, F.when(F.col(k) > F.col(n), 0.0).otherwise(F.col(out)))
 
 
 def holm_bonferroni(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_adjusted") -> DataFrame:
@@ -180,7 +185,8 @@ def residual_alpha(df: DataFrame, keys: Sequence[str], order: str, y: str, xs: S
         return [[xx[r][c] for c in size if c != j] for r in size if r != i]
 
     det = agg.withColumns({"_det": _det(xx), **{f"_c{i}{j}": (1 if (i + j) % 2 == 0 else -1) * _det(minor(i, j)) for i in size for j in size}})
-    det = det.where(F.abs("_det") > 0)
+    # A determinant is small against the product of its diagonal when columns nearly depend on each other.
+    det = det.where(F.abs("_det") > 1e-10 * reduce(Column.__mul__, [xx[i][i] for i in size]))
     solved = det.select(
         *keys, "n", *[(sum((F.col(f"_c{j}{i}") * F.col(f"_y{j}") for j in list(size)[1:]), F.col(f"_c0{i}") * F.col("_y0")) / F.col("_det")).alias(f"_b{i}") for i in size],
         *[(F.col(f"_c{i}0") / F.col("_det")).alias(f"_a{i}") for i in size],

@@ -159,13 +159,14 @@ def factor_panel(panel: DataFrame, scores: dict[str, DataFrame], n: int = 4) ->
 
 def spec_fundamentals(fundq: DataFrame) -> DataFrame:
     """Year-to-date cash flows turned into quarterly ones, and four-quarter return on equity (all four
-    quarters required)."""
+    quarters required). A quarter's flow needs the sum of the quarter before it, unless it is the
+    first of its year; across a missing quarter it is unknown."""
     year = Window.partitionBy("firm", F.year("datadate")).orderBy("datadate")
     four = Window.partitionBy("firm").orderBy("datadate").rowsBetween(-3, 0)
 
     def quarterly(c: str) -> Column:
-        first = F.row_number().over(year) == 1
-        return F.when(first, F.col(c)).otherwise(F.col(c) - F.lag(c).over(year))
+        follows = F.last_day(F.add_months("datadate", -3)) == F.last_day(F.lag("datadate").over(year))
+        return F.when(F.month("datadate") <= 3, F.col(c)).when(follows, F.col(c) - F.lag(c).over(year))
 
     full = (F.count("niq").over(four) == 4) & (F.count("ceqq").over(four) == 4)
     return fundq.withColumns({

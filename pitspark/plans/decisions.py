@@ -359,10 +359,10 @@ def g13(spark, sf):
         return signals.factor_panel(panel(spark, sf), scores).withColumns({c: rnd(c, 6) for c in scores})
 
 
-SPEC = f"""fq4 AS (SELECT *, CASE WHEN row_number() OVER y = 1 THEN oancfy ELSE oancfy - lag(oancfy) OVER y END AS ocf_q, CASE WHEN row_number() OVER y = 1 THEN capxy ELSE capxy - lag(capxy) OVER y END AS capex_q,
+SPEC = f"""fq4 AS (SELECT *, CASE WHEN month(datadate) <= 3 THEN oancfy WHEN CAST(last_day(datadate - INTERVAL 3 MONTH) AS DATE) = lag(datadate) OVER y THEN oancfy - lag(oancfy) OVER y END AS ocf_q, CASE WHEN month(datadate) <= 3 THEN capxy WHEN CAST(last_day(datadate - INTERVAL 3 MONTH) AS DATE) = lag(datadate) OVER y THEN capxy - lag(capxy) OVER y END AS capex_q,
   CASE WHEN count(niq) OVER f = 4 AND count(ceqq) OVER f = 4 AND avg(ceqq) OVER f > 0 THEN sum(niq) OVER f / avg(ceqq) OVER f END AS roe_4q FROM fundq
   WINDOW y AS (PARTITION BY firm, year(datadate) ORDER BY datadate), f AS (PARTITION BY firm ORDER BY datadate ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-{FUND_PANEL.replace('FROM fundq)', 'FROM fq4)')},
+{FUND_PANEL.replace('LEFT JOIN fundq f', 'LEFT JOIN fq4 f')},
 sp0 AS (SELECT f.*, p.px, CASE WHEN p.px > 0 THEN p.px * shares * 1e6 END AS cap, CASE WHEN ceqq > 0 THEN ceqq END AS eq FROM fund_at f ASOF LEFT JOIN prices p ON f.firm = p.firm AND f.t >= p.d),
 sp1 AS (SELECT *, CASE WHEN oibdpq > 0 THEN -(cap + (dlttq + dlcq - cheq) * 1e6) / (oibdpq * 1e6) END AS a, -cap / (eq * 1e6) AS b, (ocf_q - capex_q) * 1e6 / cap AS c, roe_4q AS d, -(dlttq + dlcq) / eq AS e, CASE WHEN saleq > 0 THEN ocf_q / saleq END AS f FROM sp0),
 sp2 AS (SELECT firm, t, cap, {', '.join(f'{z_sql(c)} AS z{c}' for c in 'abcdef')} FROM sp1)"""

@@ -31,8 +31,8 @@ def c1_lines(spark, sf):
 
 
 FUND = ["rdq", "saleq", "oibdpq", "niq", "oancfy", "capxy", "ceqq", "dlttq", "dlcq", "cheq"]
-FUND_AT = """fr AS (SELECT *, max(coalesce(rdq, datadate)) OVER (PARTITION BY firm ORDER BY datadate) AS reach FROM fundq),
-fund_at AS (SELECT c.firm, c.fpe, c.t, f.* EXCLUDE (firm, reach) FROM cells c LEFT JOIN fr f ON f.firm = c.firm AND f.reach <= c.t
+FUND_AT = """fund_at AS (SELECT c.firm, c.fpe, c.t, f.* EXCLUDE (firm) FROM cells c LEFT JOIN fundq f ON f.firm = c.firm AND coalesce(f.rdq, f.datadate) <= c.t
+  AND NOT EXISTS (SELECT 1 FROM fundq g WHERE g.firm = f.firm AND g.datadate < f.datadate AND coalesce(g.rdq, g.datadate) > c.t)
  QUALIFY row_number() OVER (PARTITION BY c.firm, c.fpe, c.t ORDER BY f.datadate DESC NULLS LAST) = 1)"""
 
 
@@ -47,14 +47,22 @@ def c3(spark, sf):
     return pit.active_estimates(b.estimates(spark, sf), b.cells(spark, sf)).select("row_id", "firm", "fpe", "t", "anndats", "value")
 
 
-@query("c4_latest_per_analyst", f"WITH {o.CELLS} {o.ACTIVE} SELECT firm, fpe, t, CAST(analyst AS VARCHAR) AS analyst, value FROM latest")
+# Some estimates without a value: they hide none of the analyst's others.
+GAPPED = o.ACTIVE.replace("JOIN estimates e", "JOIN (SELECT * REPLACE (CASE WHEN row_id % 17 <> 3 THEN value END AS value) FROM estimates) e").replace("WHERE e.anndats", "WHERE e.value IS NOT NULL AND e.anndats")
+
+
+def gapped(spark, sf):
+    return b.estimates(spark, sf).withColumn("value", F.when(F.col("row_id") % 17 != 3, F.col("value")))
+
+
+@query("c4_latest_per_analyst", f"WITH {o.CELLS} {GAPPED} SELECT firm, fpe, t, CAST(analyst AS VARCHAR) AS analyst, value FROM latest")
 def c4(spark, sf):
-    return pit.latest_per_analyst(pit.active_estimates(b.estimates(spark, sf), b.cells(spark, sf)))
+    return pit.latest_per_analyst(pit.active_estimates(gapped(spark, sf), b.cells(spark, sf)))
 
 
-@query("c5_consensus_at", f"WITH {o.CELLS} {o.ACTIVE} SELECT firm, fpe, t, n_analysts, rnd(median_value, 4) AS median_value, rnd(mean_value, 4) AS mean_value, rnd(dispersion, 4) AS dispersion FROM consensus")
+@query("c5_consensus_at", f"WITH {o.CELLS} {GAPPED} SELECT firm, fpe, t, n_analysts, rnd(median_value, 4) AS median_value, rnd(mean_value, 4) AS mean_value, rnd(dispersion, 4) AS dispersion FROM consensus")
 def c5(spark, sf):
-    c = pit.consensus_at(b.estimates(spark, sf), b.cells(spark, sf))
+    c = pit.consensus_at(gapped(spark, sf), b.cells(spark, sf))
     return c.select("firm", "fpe", "t", "n_analysts", *[rnd(x, 4).alias(x) for x in ("median_value", "mean_value", "dispersion")])
 
 

@@ -186,10 +186,10 @@ def a13(spark, sf):
     return readers.latest_run(_runs(spark, sf)).withColumnRenamed("window", "window_label")
 
 
-_SAMPLE_TICKERS = ["FANG", "COG", "CDEV", "ECA", "AMR", "ZZZ", "EOG"]
+_SAMPLE_TICKERS = ["FANG", "COG", "CDEV", "ECA", "XLE", "ZZZ", "EOG"]
 
 
-@query("b1_remap_entities", """WITH r AS (SELECT *, CASE l_suppkey % 7 WHEN 0 THEN 'FANG' WHEN 1 THEN 'CTRA' WHEN 2 THEN 'PR' WHEN 3 THEN 'OVV' WHEN 6 THEN 'EOG' END AS ticker FROM lineitem)
+@query("b1_remap_entities", """WITH r AS (SELECT *, CASE l_suppkey % 7 WHEN 0 THEN 'FANG' WHEN 1 THEN 'CTRA' WHEN 2 THEN 'PR' WHEN 3 THEN 'OVV' WHEN 4 THEN 'XLE' WHEN 6 THEN 'EOG' END AS ticker FROM lineitem)
  SELECT ticker, count(*) AS n, rnd(sum(l_quantity), 2) AS qty FROM r WHERE ticker IS NOT NULL GROUP BY 1""")
 def b1(spark, sf):
     name = F.element_at(F.array(*[F.lit(t) for t in _SAMPLE_TICKERS]), (F.col("l_suppkey") % 7 + 1).cast("int"))

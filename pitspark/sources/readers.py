@@ -12,7 +12,7 @@ from pitspark import params, schemas
 from pitspark.functions.text import article_key
 from pitspark.operators.core import block_scan, latest_row
 
-ISO = "yyyy-MM-dd"
+ISO = "yyyy-M-d"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:

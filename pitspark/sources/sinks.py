@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,15 @@ from pitspark.operators.core import latest_row
 from pitspark.sources.readers import read_table
 
 
-def upsert_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing rows whose key is not in ``new``, plus ``new``: the last write wins."""
-    return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Existing rows whose key is not in ``new``, plus ``new``: the last write wins. Of several new rows
+    with one key the last in ``order`` counts (by the greatest values of the other columns, if no order
+    is given). NULL is a key like any other."""
+    rest = [*order, *[c for c in new.columns if c not in keys and c not in order]]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]) if rest else new.distinct()
+    touched = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    same = reduce(Column.__and__, [existing[c].eqNullSafe(touched[f"_k{i}"]) for i, c in enumerate(keys)])
+    return existing.join(touched, same, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def dedup_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
