@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,12 +159,12 @@ def surprise_hit_rate(scored: DataFrame, actuals: DataFrame, keys: Sequence[str]
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("surprise_hit_rate"))
 
 
-def evidence_pack(headline: DataFrame, test: DataFrame, ablations: DataFrame) -> DataFrame:
-    """One nested record: headline rows, test row and ablation rows (a handful each)."""
-    def gathered(df: DataFrame, name: str, key: str) -> DataFrame:
-        rest = [c for c in df.columns if c != key]
-        return df.agg(F.array_sort(F.collect_list(F.struct(key, *rest))).alias(name))
-
-    packed = gathered(headline, "headline", "strategy").withColumn("_one", F.lit(1))
-    packed = packed.join(gathered(ablations, "ablations", "variant").withColumn("_one", F.lit(1)), "_one")
-    return packed.join(test.select(F.struct(*test.columns).alias("primary_test")).withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+def evidence_pack(sections: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """One nested record with an array of rows per section, in the order of its key. Sections are report
+    tables: a row per strategy, metric or variant."""
+    packed = None
+    for name, df in sections.items():
+        rest = [c for c in df.columns if c != keys[name]]
+        rows = df.agg(F.array_sort(F.collect_list(F.struct(keys[name], *rest))).alias(name)).withColumn("_one", F.lit(1))
+        packed = rows if packed is None else packed.join(rows, "_one")
+    return packed.drop("_one")

@@ -61,11 +61,12 @@ def cluster_bootstrap(trades: DataFrame, cluster: str, n_iter: int = 1000, seed:
 
 def primary_test(trades: DataFrame, cluster: str, n_iter: int = 1000, seed: int = 0, by: Sequence[str] = (), null: float = 0.5) -> DataFrame:
     """One-sided test that the hit rate exceeds the null: replicates are shifted to the null's mean and
-    p is the share at or above the observed rate. The interval is that of the unshifted replicates."""
+    p is the share at or above the observed rate. The interval is that of the unshifted replicates.
+    ``p_exact`` is the tail of a fair coin for the same wins and trades."""
     reps = replicate_stats(trades, cluster, n_iter, seed, by)
     tagged, keys = _by(trades, by)
     observed = tagged.groupBy(*keys).agg(F.avg((F.col("net_return") > 0).cast("double")).alias("hit_rate_obs"), F.count_if(F.col("net_return") > 0).alias("wins"), F.count("net_return").alias("n"))
-    return _centred(reps, observed, keys, "hit_rate", "hit_rate_obs", null).drop(ALL)
+    return binomial_tail(_centred(reps, observed, keys, "hit_rate", "hit_rate_obs", null), keys, "wins", "n").drop(ALL)
 
 
 def _centred(reps: DataFrame, observed: DataFrame, keys: list[str], stat: str, obs: str, null: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -97,14 +98,17 @@ def h5(spark, sf):
 # --- I. ledger and metrics
 
 
-def strategy_signals(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
+TRADING = (1, 2, 3, 4, 5, 6, 8, 9, 10)
+
+
+def strategy_signals(spark, sf, which=TRADING) -> DataFrame:
     """Stacked signals of the chosen strategies."""
     make = {1: dec.g1, 2: dec.g2, 3: dec.g3, 4: dec.g4, 5: dec.g5, 6: dec.g6, 8: dec.g8, 9: dec.g9, 10: dec.g10}
     parts = [make[s](spark, sf).select(*pit.CELL, "direction", "size").withColumn("strategy", F.lit(s)) for s in which]
     return reduce(DataFrame.unionByName, parts)
 
 
-def trades(spark, sf, which=(3, 4, 5, 6)) -> DataFrame:
+def trades(spark, sf, which=TRADING) -> DataFrame:
     """The ledger of the chosen strategies as a written table, since every report on it reads it
     several times; the tables behind it are written once too."""
     with b.written_once("cells", "prices", "macro", "fundq", "permits", "scored_cells", "panel"):
@@ -126,7 +130,13 @@ met AS (SELECT strategy, count(*) AS n_trades, avg(CASE WHEN net_return > 0 THEN
 
 
 SIMPLE = {3: dec.G3, 4: dec.G4, 5: dec.G5, 6: dec.signal_sql("true", "cells")}
-LED = f"{CP}, {o.MACRO} {o.ACTIVE} {dec.REVISION}, {dec.OIL}, {dec.RIGS}, {ledger_sql(SIMPLE)}"
+LED4 = f"{CP}, {o.MACRO} {o.ACTIVE} {dec.REVISION}, {dec.OIL}, {dec.RIGS}, {ledger_sql(SIMPLE)}"
+ALL_SIGNALS = SIMPLE | {1: "SELECT firm, fpe, t, decision AS direction, size FROM full_", 2: "SELECT firm, fpe, t, decision AS direction, size FROM nonews"}
+for _id, _src, _score in ((8, "mom", "momentum"), (9, "val", "value_score"), (10, "qua", "quality_score")):
+    ALL_SIGNALS[_id] = dec.signal_sql("top", f"(SELECT c.*, k.firm IS NOT NULL AS top FROM cells c LEFT JOIN (SELECT firm, t FROM {_src} WHERE {_score} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_score} DESC, idx) <= 4) k ON c.firm = k.firm AND c.t = k.t)")
+PRICES_TAIL = o.PRICES.removeprefix(o.LINES + ", ")
+ALL_CTE = f"""{dec.COMPOSITES}, {PRICES_TAIL} {dec.REVISION}, {dec.OIL}, {dec.RIGS}, {dec.BUY_HOLD}, {dec.PANEL}, {dec.MOM_PANEL}, {o.FUNDQ_ONLY}, {dec.FUND_PANEL}, {dec.VALUE}, {dec.composite_score('val1', 'val', 'value_score')}, {dec.QUALITY}, {dec.composite_score('qua1', 'qua', 'quality_score')}, {ledger_sql(ALL_SIGNALS)}"""
+LED = ALL_CTE
 EQUAL = f"{CP}, {ledger_sql({6: dec.signal_sql('true', 'cells')})}"
 MET_COLS = ("hit_rate", "mean_net", "median_net", "sharpe", "max_drawdown")
 MET = ", ".join(f"rnd({c}, 6) AS {c}" for c in MET_COLS)
@@ -160,17 +170,10 @@ def i3_firm(spark, sf):
     return rounded(stats, 6, "hit_rate", "mean_net_return")
 
 
-@query("i4_equity_curve", f"WITH {LED} SELECT strategy, firm, fpe, entry_date, rnd(growth, 6) AS growth, rnd(running_max, 6) AS running_max, rnd(drawdown, 6) AS drawdown FROM eq")
+@query("i4_equity_curve", f"WITH {LED} SELECT strategy, firm, fpe, entry_date, rnd(ln(growth), 6) AS log_growth, rnd(ln(running_max), 6) AS log_peak, rnd(drawdown, 6) AS drawdown FROM eq")
 def i4(spark, sf):
-    e = ledger.equity_curve(trades(spark, sf)).select("strategy", "firm", "fpe", "entry_date", "growth", "running_max", "drawdown")
-    return rounded(e, 6, "growth", "running_max", "drawdown")
-
-
-ALL_SIGNALS = SIMPLE | {1: "SELECT firm, fpe, t, decision AS direction, size FROM full_", 2: "SELECT firm, fpe, t, decision AS direction, size FROM nonews"}
-for _id, _src, _score in ((8, "mom", "momentum"), (9, "val", "value_score"), (10, "qua", "quality_score")):
-    ALL_SIGNALS[_id] = dec.signal_sql("top", f"(SELECT c.*, k.firm IS NOT NULL AS top FROM cells c LEFT JOIN (SELECT firm, t FROM {_src} WHERE {_score} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_score} DESC, idx) <= 4) k ON c.firm = k.firm AND c.t = k.t)")
-PRICES_TAIL = o.PRICES.removeprefix(o.LINES + ", ")
-ALL_CTE = f"""{dec.COMPOSITES}, {PRICES_TAIL} {dec.REVISION}, {dec.OIL}, {dec.RIGS}, {dec.BUY_HOLD}, {dec.PANEL}, {dec.MOM_PANEL}, {o.FUNDQ_ONLY}, {dec.FUND_PANEL}, {dec.VALUE}, {dec.composite_score('val1', 'val', 'value_score')}, {dec.QUALITY}, {dec.composite_score('qua1', 'qua', 'quality_score')}, {ledger_sql(ALL_SIGNALS)}"""
+    e = ledger.equity_curve(trades(spark, sf)).select("strategy", "firm", "fpe", "entry_date", F.ln("growth").alias("log_growth"), F.ln("running_max").alias("log_peak"), "drawdown")
+    return rounded(e, 6, "log_growth", "log_peak", "drawdown")
 
 
 def strategies(spark) -> DataFrame:
@@ -181,7 +184,7 @@ def strategies(spark) -> DataFrame:
  SELECT strategy, name, coalesce(n_trades, 0) AS n_trades, {MET} FROM dim LEFT JOIN met USING (strategy) WHERE strategy <> 7
  UNION ALL SELECT 7, 'buy_hold', 1, CASE WHEN p1 > p0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, rnd((p1 - p0) / p0 - 0.003, 6), rnd((p1 - p0) / p0 - 0.003, 6), NULL, NULL FROM bh""")
 def i5(spark, sf):
-    table = ledger.headline_table(trades(spark, sf, (1, 2, 3, 4, 5, 6, 8, 9, 10)), strategies(spark), dec.buy_hold(spark, sf))
+    table = ledger.headline_table(trades(spark, sf), strategies(spark), dec.buy_hold(spark, sf))
     return rounded(table, 6, *MET_COLS)
 
 
@@ -189,7 +192,7 @@ def labelled(df: DataFrame) -> DataFrame:
     return df.withColumn("window_label", dates.year_window("fpe", 1995, 1999, "2000"))
 
 
-@query("i6_window_breakdown", f"""WITH {LED}, lab AS (SELECT *, CASE WHEN year(fpe) BETWEEN 1995 AND 1999 THEN CAST(year(fpe) AS VARCHAR) ELSE '2000' END AS window_label FROM led WHERE strategy = 3),
+@query("i6_window_breakdown", f"""WITH {LED4}, lab AS (SELECT *, CASE WHEN year(fpe) BETWEEN 1995 AND 1999 THEN CAST(year(fpe) AS VARCHAR) ELSE '2000' END AS window_label FROM led WHERE strategy = 3),
  sp AS (SELECT CASE WHEN year(fpe) BETWEEN 1995 AND 1999 THEN CAST(year(fpe) AS VARCHAR) ELSE '2000' END AS window_label, count(*) AS n_cells FROM cells GROUP BY 1)
  SELECT s.window_label, s.n_cells, count(l.firm) AS n_trades, count(*) FILTER (net_return > 0) AS wins, count(*) FILTER (net_return <= 0) AS losses, rnd(avg(CASE WHEN net_return > 0 THEN 1.0 WHEN net_return <= 0 THEN 0.0 END), 6) AS hit_rate,
  rnd(avg(net_return), 6) AS mean_net, rnd(coalesce(sum(net_pnl), 0), 4) AS total_pnl FROM sp s LEFT JOIN lab l USING (window_label) GROUP BY 1, 2""")
@@ -217,8 +220,8 @@ def i7(spark, sf):
     return rounded(curves(spark, sf), 4, "value")
 
 
-@query("i8_step_equity", f"""WITH {LED}, grid AS (SELECT strategy, d FROM (SELECT DISTINCT strategy FROM led), (SELECT d FROM macro)), cum AS (SELECT strategy, exit_date, sum(pnl) OVER (PARTITION BY strategy ORDER BY exit_date) AS c FROM (SELECT strategy, exit_date, sum(net_pnl) AS pnl FROM led GROUP BY 1, 2))
- SELECT g.strategy, g.d, rnd(1000000 + coalesce(c, 0), 4) AS value FROM grid g ASOF LEFT JOIN cum ON g.strategy = cum.strategy AND g.d >= cum.exit_date""")
+@query("i8_step_equity", f"""WITH {LED}, steps AS (SELECT strategy, d FROM (SELECT DISTINCT strategy FROM led), (SELECT d FROM macro)), cum AS (SELECT strategy, exit_date, sum(pnl) OVER (PARTITION BY strategy ORDER BY exit_date) AS c FROM (SELECT strategy, exit_date, sum(net_pnl) AS pnl FROM led GROUP BY 1, 2))
+ SELECT g.strategy, g.d, rnd(1000000 + coalesce(c, 0), 4) AS value FROM steps g ASOF LEFT JOIN cum ON g.strategy = cum.strategy AND g.d >= cum.exit_date""")
 def i8(spark, sf):
     t = trades(spark, sf)
     days = b.macro(spark, sf).select("d").agg(F.collect_set("d").alias("_d"))
@@ -279,14 +282,13 @@ def i11(spark, sf):
 
 
 def variant_cells(spark, sf) -> DataFrame:
-    """A light set of variants for the ablation table: the simple strategies, with errors marked."""
-    s = strategy_signals(spark, sf, (3, 4, 5))
-    bad = F.when(F.col("firm") % 13 == 5, F.lit("ValueError, no data"))
-    rows = sinks.with_errors(s, bad)
-    return rows.withColumn("variant", F.concat(F.lit("s"), F.col("strategy").cast("string"))).withColumn("decision", F.col("direction"))
+    """The pipeline's variants as cells of the ablation table, with errors marked."""
+    rows = sweep(spark, sf).select("variant", *pit.CELL, F.col("decision").alias("direction"), "size")
+    marked = sinks.with_errors(rows, F.when(F.col("firm") % 13 == 5, F.lit("ValueError, no data")))
+    return marked.withColumn("decision", F.col("direction"))
 
 
-def boot_sql(source: str, cluster: str, by: str, n_iter: int = 200, seed: int = 0) -> str:
+def boot_sql(source: str, cluster: str, by: str, n_iter: int = 1000, seed: int = 0) -> str:
     """Replicates of a clustered bootstrap over a ledger-like relation, per group."""
     return f"""bc AS (SELECT {by}, {cluster} AS cl, count(*) AS n, count(*) FILTER (net_return > 0) AS wins, sum(net_return) AS s, sum(net_return * net_return) AS ss FROM {source} GROUP BY 1, 2),
 bi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS k FROM bc),
@@ -302,24 +304,27 @@ tp AS (SELECT b.{by}, avg(CASE WHEN round(hit_rate - m + 0.5 - obs, 12) >= 0 THE
 test AS (SELECT * FROM tob JOIN tc USING ({by}) JOIN tp USING ({by}))"""
 
 
-VAR = f"""vled AS (SELECT *, 's' || strategy AS variant FROM led WHERE strategy IN (3, 4, 5) AND firm % 13 <> 5),
-vcells AS (SELECT 's' || strategy AS variant, CASE WHEN firm % 13 = 5 THEN 'no_trade' ELSE direction END AS decision, firm % 13 = 5 AS bad FROM sig WHERE strategy IN (3, 4, 5)),
-vst AS (SELECT variant, count(*) AS n_cells, count(*) FILTER (decision = 'long') AS n_long, count(*) FILTER (decision = 'no_trade') AS n_no_trade, count(*) FILTER (bad) AS n_error FROM vcells GROUP BY 1),
+NAMES = [v[0] for v in VARIANTS]
+VARIANT_SIGNALS = {i + 1: f"SELECT firm, fpe, t, decision AS direction, size FROM swept WHERE variant = '{v}' AND firm % 13 <> 5" for i, v in enumerate(NAMES)}
+VAR = f"""{ledger_sql(VARIANT_SIGNALS)}, vled AS (SELECT *, ({NAMES})[strategy] AS variant FROM led),
+vst AS (SELECT variant, count(*) AS n_cells, count(*) FILTER (decision = 'long' AND firm % 13 <> 5) AS n_long, count(*) FILTER (decision = 'no_trade' OR firm % 13 = 5) AS n_no_trade, count(*) FILTER (firm % 13 = 5) AS n_error FROM swept GROUP BY 1),
 {boot_sql('vled', 'firm', 'variant')}, {test_sql('vled', 'variant')},
-vm AS (SELECT variant, count(*) AS n_trades, avg(net_return) AS mean_net, median(net_return) AS median_net FROM vled GROUP BY 1)"""
+vm AS (SELECT ({NAMES})[strategy] AS variant, * EXCLUDE (strategy) FROM met),
+abl AS (SELECT variant, n_cells, n_long, n_no_trade, n_error, coalesce(n_trades, 0) AS n_trades, hit_rate, mean_net, median_net, sharpe, max_drawdown, CASE WHEN n_trades >= 5 THEN p_value END AS p_value, CASE WHEN n_trades >= 5 THEN p_value < 0.05 END AS reject,
+  CASE WHEN n_trades >= 5 THEN ci_low END AS ci_low, CASE WHEN n_trades >= 5 THEN ci_high END AS ci_high FROM vst LEFT JOIN vm USING (variant) LEFT JOIN test USING (variant))"""
+TESTED = ("p_value", "ci_low", "ci_high")
 
 
 def ablation(spark, sf):
-    with b.written_once("cells", "prices", "macro"):
+    with b.written_once("cells", "prices", "macro", "permits"):
         cells = materialize(variant_cells(spark, sf), "variant_cells")
         t = materialize(ledger.trade_ledger(cells, b.cells(spark, sf), b.prices(spark, sf)), "variant_trades")
-    return ledger.ablation_table(cells, t, n_iter=200)
+    return ledger.ablation_table(cells, t)
 
 
-@query("i10_ablation_table", f"""WITH {LED}, {VAR} SELECT variant, n_cells, n_long, n_no_trade, n_error, n_trades, rnd(obs, 6) AS hit_rate, rnd(mean_net, 6) AS mean_net, rnd(median_net, 6) AS median_net, rnd(p_value, 6) AS p_value, p_value < 0.05 AS reject, rnd(ci_low, 6) AS ci_low, rnd(ci_high, 6) AS ci_high
- FROM vst JOIN vm USING (variant) JOIN test USING (variant)""")
+@query("i10_ablation_table", f"""WITH {sweep_sql()}, {PRICES_TAIL}, {VAR} SELECT variant, n_cells, n_long, n_no_trade, n_error, n_trades, {MET}, rnd(p_value, 6) AS p_value, reject, rnd(ci_low, 6) AS ci_low, rnd(ci_high, 6) AS ci_high FROM abl""")
 def i10(spark, sf):
-    return rounded(ablation(spark, sf).drop("sharpe", "max_drawdown"), 6, "hit_rate", "mean_net", "median_net", "p_value", "ci_low", "ci_high")
+    return rounded(ablation(spark, sf), 6, *MET_COLS, *TESTED)
 
 
 @query("i12_regime_split", f"""WITH {LED}, mean_oil AS (SELECT avg(oil) AS m FROM macro), reg AS (SELECT t AS entry_date, CASE WHEN now >= m THEN 'oil_high' ELSE 'oil_low' END AS regime FROM (SELECT DISTINCT t, now FROM oil2), mean_oil
@@ -344,20 +349,10 @@ def i13(spark, sf):
     return rounded(ledger.surprise_hit_rate(dec.scored_cells(spark, sf), actual, ["firm", "fpe"], ["firm"]), 6, "surprise_hit_rate")
 
 
-@query("i14_evidence_pack", f"""WITH {LED}, {VAR}, {boot_sql('led', 'firm', 'strategy').replace('bc AS', 'hbc AS').replace('bi AS', 'hbi AS').replace('bd AS', 'hbd AS').replace('br AS', 'hbr AS').replace('boot AS', 'hboot AS').replace('FROM bc', 'FROM hbc').replace('FROM bi', 'FROM hbi').replace('FROM bd d JOIN bi ON bi.', 'FROM hbd d JOIN hbi ON hbi.').replace('AND bi.', 'AND hbi.').replace('FROM br', 'FROM hbr')}
- SELECT (SELECT '[' || string_agg('{{"strategy":' || strategy || ',"n_trades":' || n_trades || '}}', ',' ORDER BY strategy) || ']' FROM met) AS headline, (SELECT '[' || string_agg('{{"variant":"' || variant || '","n_long":' || n_long || '}}', ',' ORDER BY variant) || ']' FROM vst) AS ablations,
- (SELECT count(*) FROM hboot WHERE strategy = 6) AS n_iter""")
-def i14(spark, sf):
-    t = trades(spark, sf)
-    test = resample.primary_test(t.where("strategy = 6"), "firm", 200)
-    pack = ledger.evidence_pack(ledger.strategy_metrics(t).select("strategy", "n_trades"), test, ablation(spark, sf).select("variant", "n_long"))
-    return pack.select(F.to_json("headline").alias("headline"), F.to_json("ablations").alias("ablations"), F.col("primary_test.n_iter").alias("n_iter"))
-
-
 # --- F12, on the ledger
 
 
-@query("f12_cash_sleeve", f"""WITH {LED}, by_q AS (SELECT fpe, count(*) AS n_names, sum(size) AS allocated, sum(size * net_return) AS traded, min(entry_date) AS a, max(exit_date) AS z FROM led WHERE strategy = 3 GROUP BY 1),
+@query("f12_cash_sleeve", f"""WITH {LED4}, by_q AS (SELECT fpe, count(*) AS n_names, sum(size) AS allocated, sum(size * net_return) AS traded, min(entry_date) AS a, max(exit_date) AS z FROM led WHERE strategy = 3 GROUP BY 1),
  pr AS (SELECT q.*, coalesce((pz.oil - pa.oil) / pa.oil, 0) AS cash_return FROM by_q q ASOF LEFT JOIN macro pa ON q.a >= pa.d ASOF LEFT JOIN macro pz ON q.z >= pz.d)
  SELECT fpe, n_names, rnd(allocated, 6) AS allocated, rnd(CASE WHEN n_names < 12 THEN greatest(1 - allocated, 0) ELSE 0 END, 6) AS cash_weight, rnd(cash_return, 6) AS cash_return, rnd(traded + CASE WHEN n_names < 12 THEN greatest(1 - allocated, 0) ELSE 0 END * cash_return, 6) AS season_return FROM pr""")
 def f12(spark, sf):
@@ -381,24 +376,69 @@ def j2(spark, sf):
     return rounded(resample.cluster_bootstrap(trades(spark, sf, (6,)), "fpe"), 6, "mean", "ci_low", "ci_high")
 
 
-@query("j3_primary_test", f"""WITH {LED}, {boot_sql('led', 'firm', 'strategy', 1000)}, {test_sql('led', 'strategy')} SELECT strategy, rnd(obs, 6) AS hit_rate_obs, wins, n, rnd(ci_low, 6) AS ci_low, rnd(ci_high, 6) AS ci_high, n_iter, rnd(p_value, 6) AS p_value, p_value < 0.05 AS reject FROM test""")
+@query("j3_primary_test", f"""WITH {LED}, {boot_sql('led', 'firm', 'strategy', 1000)}, {test_sql('led', 'strategy')} SELECT strategy, rnd(obs, 6) AS hit_rate_obs, wins, n, rnd(ci_low, 6) AS ci_low, rnd(ci_high, 6) AS ci_high, n_iter, rnd(p_value, 6) AS p_value, p_value < 0.05 AS reject, rnd((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(test.wins, test.n + 1) r(i)), 6) AS p_exact FROM test""")
 def j3(spark, sf):
     got = resample.primary_test(trades(spark, sf), "firm", by=["strategy"])
-    return rounded(got, 6, "hit_rate_obs", "ci_low", "ci_high", "p_value")
+    return rounded(got, 6, "hit_rate_obs", "ci_low", "ci_high", "p_value", "p_exact")
+
 
+def diff_sql(a: int, b: int) -> str:
+    """The block test of strategy a's hit rate against b's as tables of its own; the last is h2."""
+    sums = ", ".join(f"count(*) FILTER (strategy = {k}{won}) AS {n}" for k, won, n in ((a, "", "na"), (a, " AND net_return > 0", "wa"), (b, "", "nb"), (b, " AND net_return > 0", "wb")))
+    beyond = "avg(CASE WHEN round(diff - m + 0.03 - (ha - hb), 12) >= 0 THEN 1.0 ELSE 0.0 END)"
+    return f"""hab AS (SELECT fpe AS cl, {sums} FROM led WHERE strategy IN ({a}, {b}) GROUP BY 1),
+ hai AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER () AS k FROM hab), had AS (SELECT rep, ('0x' || substr(md5('0|' || rep || '|' || idx), 1, 7))::BIGINT % k AS pick FROM hai, range(1000) r(rep)),
+ har AS (SELECT rep, sum(wa) / sum(na) - sum(wb) / sum(nb) AS diff FROM had JOIN hai ON hai.idx = had.pick GROUP BY 1 HAVING sum(na) > 0 AND sum(nb) > 0), hobs AS (SELECT sum(wa) / sum(na) AS ha, sum(wb) / sum(nb) AS hb FROM hab HAVING sum(na) > 0 AND sum(nb) > 0),
+ hc AS (SELECT avg(diff) AS m, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, count(*) AS n FROM har),
+ h2 AS (SELECT ha AS hit_rate_a, hb AS hit_rate_b, ha - hb AS diff_obs, lo AS ci_low, hi AS ci_high, n AS n_iter, {beyond} AS p_value, {beyond} < 0.05 AS reject FROM har, hobs, hc GROUP BY ha, hb, lo, hi, n)"""
 
-@query("j4_block_diff_test", f"""WITH {LED}, ab AS (SELECT fpe AS cl, count(*) FILTER (strategy = 3) AS na, count(*) FILTER (strategy = 3 AND net_return > 0) AS wa, count(*) FILTER (strategy = 4) AS nb, count(*) FILTER (strategy = 4 AND net_return > 0) AS wb FROM led WHERE strategy IN (3, 4) GROUP BY 1),
- ai AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER () AS k FROM ab), ad AS (SELECT rep, ('0x' || substr(md5('0|' || rep || '|' || idx), 1, 7))::BIGINT % k AS pick FROM ai, range(1000) r(rep)),
- ar AS (SELECT rep, sum(wa) / sum(na) - sum(wb) / sum(nb) AS diff FROM ad JOIN ai ON ai.idx = ad.pick GROUP BY 1 HAVING sum(na) > 0 AND sum(nb) > 0), obs AS (SELECT sum(wa) / sum(na) AS ha, sum(wb) / sum(nb) AS hb FROM ab),
- c AS (SELECT avg(diff) AS m, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, count(*) AS n FROM ar)
- SELECT rnd(ha, 6) AS hit_rate_a, rnd(hb, 6) AS hit_rate_b, rnd(ha - hb, 6) AS diff_obs, rnd(lo, 6) AS ci_low, rnd(hi, 6) AS ci_high, n AS n_iter, rnd(avg(CASE WHEN round(diff - m + 0.03 - (ha - hb), 12) >= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_value,
- avg(CASE WHEN round(diff - m + 0.03 - (ha - hb), 12) >= 0 THEN 1.0 ELSE 0.0 END) < 0.05 AS reject FROM ar, obs, c GROUP BY ha, hb, lo, hi, n""")
+
+@query("j4_block_diff_test", f"""WITH {LED}, {diff_sql(1, 3)} SELECT rnd(hit_rate_a, 6) AS hit_rate_a, rnd(hit_rate_b, 6) AS hit_rate_b, rnd(diff_obs, 6) AS diff_obs, rnd(ci_low, 6) AS ci_low, rnd(ci_high, 6) AS ci_high, n_iter, rnd(p_value, 6) AS p_value, reject FROM h2""")
 def j4(spark, sf):
-    t = trades(spark, sf, (3, 4))
-    got = resample.block_diff_test(t.where("strategy = 3"), t.where("strategy = 4"))
+    t = trades(spark, sf, (1, 3))
+    got = resample.block_diff_test(t.where("strategy = 1"), t.where("strategy = 3"))
     return rounded(got, 6, "hit_rate_a", "hit_rate_b", "diff_obs", "ci_low", "ci_high", "p_value")
 
 
+PACK_FIELDS = {
+    "headline": ("strategy", ["n_trades", *MET_COLS]), "primary_test": ("strategy", ["hit_rate_obs", "wins", "n", "p_value", "p_exact", *TESTED[1:], "n_iter"]),
+    "h2_test": ("a", ["hit_rate_a", "hit_rate_b", "diff_obs", "p_value", "ci_low", "ci_high", "n_iter"]), "intervals": ("metric", ["mean", "ci_low", "ci_high", "n_iter"]),
+    "ablations": ("variant", ["n_cells", "n_long", "n_no_trade", "n_error", "n_trades", *MET_COLS, *TESTED]),
+}
+
+
+def _apart(sql: str) -> str:
+    """The variants' tables under names of their own, beside those of the strategies."""
+    return re.sub(r"\b(exits|sig|priced|led0|led|eq0|eq1|eq|met|bc|bi|bd|br|boot|tc|tob|tp|test)\b", r"v_\1", sql)
+
+
+def pack_sql() -> str:
+    one = "(SELECT * FROM led WHERE strategy = 1)"
+    exact = "(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(test.wins, test.n + 1) r(i))"
+    tables = {
+        "headline": "SELECT * FROM met", "primary_test": f"SELECT strategy, obs AS hit_rate_obs, wins, n, p_value, {exact} AS p_exact, ci_low, ci_high, n_iter FROM test", "h2_test": "SELECT 1 AS a, * FROM h2", "ablations": "SELECT * FROM abl",
+        "intervals": "SELECT metric, avg(x) AS mean, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high, count(*) AS n_iter FROM (UNPIVOT boot ON hit_rate, mean_return, sharpe INTO NAME metric VALUE x) GROUP BY 1",
+    }
+    parts = [f"SELECT '{name}' AS section, CAST({key} AS VARCHAR) AS item, '{f}' AS field, rnd(CAST({f} AS DOUBLE), 6) AS \"value\" FROM ({tables[name]}) WHERE {f} IS NOT NULL" for name, (key, fields) in PACK_FIELDS.items() for f in fields]
+    swept = sweep_sql().removeprefix(f"{dec.SCORED}, {o.VERDICTS}, {dec.CELL_VERDICTS}, ")
+    return f"WITH {LED}, {swept}, {_apart(VAR)}, {boot_sql(one, 'firm', 'strategy')}, {test_sql(one, 'strategy')}, {diff_sql(1, 3)} " + " UNION ALL ".join(parts)
+
+
+@query("i14_evidence_pack", pack_sql())
+def i14(spark, sf):
+    t = trades(spark, sf)
+    own = t.where("strategy = 1")
+    pack = ledger.evidence_pack({
+        "headline": ledger.strategy_metrics(t), "primary_test": resample.primary_test(own, "firm", by=["strategy"]), "h2_test": resample.block_diff_test(own, t.where("strategy = 3")).select(F.lit(1).alias("a"), "*"),
+        "intervals": resample.cluster_bootstrap(own, "firm"), "ablations": ablation(spark, sf),
+    }, {name: key for name, (key, _) in PACK_FIELDS.items()})
+    rows = []
+    for name, (key, fields) in PACK_FIELDS.items():
+        each = pack.select(F.explode(name).alias("r")).select(F.lit(name).alias("section"), F.col(f"r.{key}").cast("string").alias("item"), *[F.col(f"r.{f}").cast("double").alias(f) for f in fields])
+        rows.append(each.unpivot(["section", "item"], fields, "field", "value").where("value IS NOT NULL"))
+    return rounded(reduce(DataFrame.unionByName, rows), 6, "value")
+
+
 WINS = "wk AS (SELECT firm, count(*) FILTER (net_return > 0) AS k, count(*) AS n FROM led GROUP BY 1), pe AS (SELECT firm, k, n, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(wk.k, wk.n + 1) r(i)) AS p FROM wk)"
 
 
@@ -452,7 +492,7 @@ gl AS (SELECT strategy, g * g + 2 * g * (0.8 * coalesce(lag(g, 1) OVER w, 0) + 0
 gv AS (SELECT strategy, sum(v) AS v FROM gl GROUP BY 1)"""
 
 
-@query("j8_residual_alpha", f"WITH {LED}, {REG} SELECT strategy, n, rnd(b0, 6) AS alpha, rnd(b1, 6) AS beta_x1, rnd(b2, 6) AS beta_x2, rnd(b0 / sqrt(v), 5) AS t_stat FROM al JOIN gv USING (strategy)")
+@query("j8_residual_alpha", f"WITH {LED4}, {REG} SELECT strategy, n, rnd(b0, 6) AS alpha, rnd(b1, 6) AS beta_x1, rnd(b2, 6) AS beta_x2, rnd(b0 / sqrt(v), 5) AS t_stat FROM al JOIN gv USING (strategy)")
 def j8(spark, sf):
     got = resample.residual_alpha(regression_rows(spark, sf), ["strategy"], "fpe", "y", ["x1", "x2"])
     return rounded(rounded(got, 6, "alpha", "beta_x1", "beta_x2"), 5, "t_stat")
