@@ -119,16 +119,19 @@ ORACLE = {
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""".replace("LOWERED", _LOWERED),
     "op6_substring_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(WORDS, []) AS ws FROM documents),
-        w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i + 1 : i + 20], ' ') ORDER BY doc_id, i) AS rn FROM d, unnest(range(0, len(ws) - 19)) AS t(i)),
-        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w, unnest(range(0, 20)) AS t(k) WHERE rn > 1),
-        e AS (SELECT doc_id, i, ws[i + 1] AS word FROM d, unnest(range(0, len(ws))) AS t(i)),
-        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        g AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER win AS g, count(*) OVER win AS n FROM e WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(g), g ORDER BY doc_id, i) > 1 AS again FROM g WHERE n = 20),
+        c AS (SELECT doc_id, i, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM e LEFT JOIN w USING (doc_id, i)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM c WHERE NOT gone GROUP BY doc_id)
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept k USING (doc_id)""".replace("WORDS", _WORDS),
     "op8_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(WORDS, []) AS ws,
                           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
-        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i + 1 : i + 5], ' ')) AS n FROM d, unnest(range(0, len(ws) - 4)) AS t(i)),
+        e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        f5 AS (SELECT doc_id, i, string_agg(word, ' ') OVER win AS g, count(*) OVER win AS n FROM e WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM f5 WHERE n = 5),
         r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, unnest(range(0, 5)) AS t(k) WHERE g.n > 1 GROUP BY doc_id),
         c AS (SELECT doc_id, text, len(ws) AS n, length(array_to_string(ws, '')) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS symbols,
                      len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS dups, coalesce(r.n, 0) AS rep,
