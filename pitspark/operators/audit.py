@@ -46,9 +46,12 @@ def eligibility_counts(panel: DataFrame) -> DataFrame:
     return panel.groupBy("firm").agg(F.count_if("eligible").alias("n_eligible"), F.count(F.lit(1)).alias("n_quarters"))
 
 
-def coverage_matrix(panel: DataFrame, quarters: Sequence[str]) -> DataFrame:
-    """Firm x quarter table of analyst counts; ``quarters`` are the labels (2024Q1) to show."""
+def coverage_matrix(panel: DataFrame, quarters: Sequence[str] | None = None) -> DataFrame:
+    """Firm x quarter table of analyst counts; ``quarters`` are the labels (2024Q1) to show, by default
+    all that occur (one per calendar quarter, so their list is bounded)."""
     labelled = panel.withColumn("_q", F.concat(F.year("fpe").cast("string"), F.lit("Q"), F.quarter("fpe").cast("string")))
+    if quarters is None:
+        quarters = sorted(r["_q"] for r in labelled.where("_q IS NOT NULL").select("_q").distinct().collect())
     return labelled.groupBy("firm").pivot("_q", list(quarters)).agg(F.max("n_analysts"))
 
 

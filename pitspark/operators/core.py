@@ -25,6 +25,13 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner equi-join in which NULL is a key like any other; the keys are kept once."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(named, same).drop(*[f"_r_{c}" for c in on])
+
+
 def salted_join(small: DataFrame, big: DataFrame, on: Sequence[str], spread_by: str, salts: int = SALTS) -> DataFrame:
     """Inner join of a table with few rows per key to one where a key may hold a large part of all
     rows. Rows of the big side get a salt from their own id and the small side is repeated per salt,
@@ -137,7 +144,7 @@ def block_scan(df: DataFrame, keys: Sequence[str], block: Sequence[str], order:
         *[F.max(f"_t_{k}").over(earlier).alias(f"_o_{k}") for k in maxes],
     )
     here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(offsets, part)
+    out = join_null_safe(df, offsets, part)
     out = out.withColumns({
         **{k: F.col(f"_o_{k}") + F.sum(c).over(here) for k, c in sums.items()},
         **{k: F.greatest(F.col(f"_o_{k}"), F.max(c).over(here)) for k, c in maxes.items()},
@@ -162,7 +169,7 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column
     Rows of a key are spread over value bins, so ranking a key does not need one task."""
     has = df.where(F.col(value).isNotNull())
     span = has.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    binned = has.join(span, list(keys)).withColumn("_bin", value_bin(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    binned = (join_null_safe(has, span, keys) if keys else with_scalar(has, span)).withColumn("_bin", value_bin(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     order = [F.col(value).desc() if desc else F.col(value).asc(), *ties]
     numbered = block_scan(binned, keys, ["_bin"], order, sums={out: F.lit(1).cast("bigint")}, desc=desc).drop("_bin")
     return numbered.unionByName(df.where(F.col(value).isNull()), allowMissingColumns=True)
@@ -195,13 +202,14 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
         wanted[upper_median] = (half, half, half.cast("double"))
     if not wanted:
         return sizes
-    # At most (rows / small) groups can be this large, so their list is safe to broadcast.
-    hot = F.broadcast(sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi"))
+    # At most (rows / small) groups are this large. Whether their list is broadcast is left to Spark's
+    # own check of its size.
+    hot = sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi")
 
     direct = [F.percentile(value, F.lit(p)).alias(k) for k, p in quantiles.items()]
     if upper_median:
         direct.append(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(upper_median))
-    cold_part = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).agg(*direct)
+    cold_part = rows.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).agg(*direct)
 
     def narrowed(runs: DataFrame, group: list[str], bin_col: str) -> DataFrame:
         """Keep only the bins of each group that hold a wanted rank; ``_b0`` counts the rows before."""

@@ -72,14 +72,24 @@ def leaks(df: DataFrame, availability: str, t: str = "t") -> DataFrame:
     return df.where(F.col(availability) > F.col(t))
 
 
-def table_fingerprint(df: DataFrame, name: str, portable: bool = False) -> DataFrame:
-    """Row count and order-free content hash of a table: row hashes are summed as decimals, so neither
-    order nor partitioning matters and the sum cannot overflow. ``portable`` hashes the columns' text
-    with md5, which other engines have too; the default is Spark's faster hash of the values."""
-    if portable:
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
-        h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
-    else:
-        h = F.xxhash64(*df.columns)
+def canonical_text(col: str, dtype: str) -> Column:
+    """A value as text that other engines write alike: numbers with a fraction to 13 digits, times as
+    microseconds, the elements of an array in billionths one after the other."""
+    if dtype in ("double", "float"):
+        return F.format_string("%.12e", F.col(col).cast("double"))
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("string")
+    if dtype in ("array<double>", "array<float>"):
+        return F.array_join(F.transform(col, lambda x: F.floor(x.cast("double") * 1e9).cast("string")), ",")
+    return F.col(col).cast("string")
+
+
+def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
+    """Row count and order-free content hash of a table over all its columns: row hashes are summed as
+    decimals, so neither order nor partitioning matters and the sum cannot overflow. A row's text has
+    each column's name and its value with the value's length, or "null", so no two rows read alike."""
+    texts = [(c, canonical_text(c, t)) for c, t in df.dtypes]
+    text = F.concat(*[F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null"))) for c, t in texts])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
     total = F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("content_hash")).select(F.lit(name).alias("table_name"), "n_rows", "content_hash")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitspark import params
 from pitspark.operators import pit
-from pitspark.operators.core import asof_join, first_n, ranked, with_scalar
+from pitspark.operators.core import asof_join, first_n, join_null_safe, ranked, with_scalar
 
 BASE_SIZE = 0.10
 
@@ -83,7 +83,7 @@ def zscore_by(df: DataFrame, part: Sequence[str], cols: Sequence[str]) -> DataFr
     task."""
     part = list(part)
     aggs = [F.count(F.lit(1)).alias("n_group")] + [a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
-    rows = df.join(df.groupBy(*part).agg(*aggs), part)
+    rows = join_null_safe(df, df.groupBy(*part).agg(*aggs), part)
     flat = {c: (F.col(f"_n_{c}") < 2) | (F.col(f"_s_{c}") == 0) for c in cols}
     zs = {f"z_{c}": F.when(F.col(c).isNotNull(), F.when(flat[c], 0.0).otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))) for c in cols}
     return rows.withColumns(zs).drop(*[f"_{k}_{c}" for c in cols for k in "msn"])

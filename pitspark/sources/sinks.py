@@ -50,10 +50,14 @@ def quality_log(df: DataFrame, keys: Sequence[str], low_quality: str, reason: st
     return df.select(*keys, F.col(low_quality).alias("low_quality_flag"), log_safe(F.col(reason)).alias("reason"))
 
 
-def write_mirrored(df: DataFrame, folder: str, name: str) -> None:
-    """The table as Parquet, and the same rows as one CSV file with header (for report-sized tables).
-    The CSV is made from the written Parquet, so the plan runs once."""
+def write_mirrored(df: DataFrame, folder: str, name: str, max_rows: int = 1_000_000) -> None:
+    """The table as Parquet, and the same rows as one CSV file with header. The CSV is made from the
+    written Parquet, so the plan runs once. One file is one task, so a table of more than ``max_rows``
+    rows is no report and raises an error (after the Parquet was written); nothing is cut."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    rows = df.sparkSession.read.parquet(f"{folder}/{name}.parquet").count()
+    if rows > max_rows:
+        raise ValueError(f"{name} has {rows} rows, more than the {max_rows} that one CSV file may hold")
     df.sparkSession.read.parquet(f"{folder}/{name}.parquet").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 

@@ -1,5 +1,6 @@
 """Command line: python tests/run_compare.py [sf] [key prefix ...]"""
 
+import os
 import sys
 import time
 
@@ -13,7 +14,7 @@ from pitspark.session import local_session  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 prefixes = tuple(sys.argv[2:]) or ("",)
 sf_dir = f"/root/testdata/sf{sf}"
-spark = local_session()
+spark = local_session(os.environ.get("CORES", "8"))
 spark.sparkContext.setLogLevel("ERROR")
 con = compare.connect(sf_dir)
 sqls = entry.oracle_sql()
