@@ -10,7 +10,7 @@ document with a smaller doc_id, or further up in the same one.
    each recurring window, runs of neighbouring recurring windows are merged into passages: the first copies
    of everything that recurs.
 3. **Automata.** Documents are dealt into shards of bounded size. A shard gets the passages that share an
-   anchor with one of its documents, cuts them into blocks of 10 words (every 20-word match holds a whole
+   anchor with one of its documents (or a window, where many passages share the anchor), cuts them into blocks of 10 words (every 20-word match holds a whole
    block) and compiles these into one automaton over word symbols. All documents of the shard are streamed
    through it; each hit is extended word by word in both directions, and a stretch of 20 words or more whose
    passage stands earlier is removed.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm.batches import Words, docs_only, mix, pieces, windows
@@ -40,7 +40,8 @@ from pitspark.session import materialize
 WINDOW = 20
 STRETCH = 6
 BLOCK = 10
-SHARD_BYTES = 8 << 20
+FEW = 4
+SHARD_BYTES = 2 << 20
 
 
 def _content(hashes: np.ndarray) -> int:
@@ -67,25 +68,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs_only(docs).where("doc_id is not null and text is not null")
 
 
-def contents(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, n_words) of the documents with an id and 20 words or more."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for part, texts in pieces(batches):
-            hashes, first = words(texts)
-            ids, found = part.column("doc_id").to_pylist(), []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if b - a >= WINDOW:
-                    found.append((ids[i], _content(hashes[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], schema=schema)
-
-    return _texts(docs).mapInArrow(run, "doc_id long, content long")
-
-
 def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, times): the anchors of every document, times 2 if its stretch occurs twice in it."""
+    """(anchor, doc_id, times): the anchors of every document of 20 words or more, times 2 if an anchor's
+    stretch occurs twice in it; and one row with times 0 whose anchor is the hash of all words."""
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +83,8 @@ def anchors(docs: DataFrame) -> DataFrame:
                     own = np.unique(window_anchors(hashes[a:b]))
                     stretches = np.sort(windows(hashes[a:b], STRETCH))
                     twice = np.searchsorted(stretches, own, "right") - np.searchsorted(stretches, own) > 1
-                    for column, value in zip(out, (_signed(own), np.full(len(own), doc), np.where(twice, 2, 1).astype(np.int8)), strict=True):
+                    marks = np.append(_signed(own), np.int64(_content(hashes[a:b])))
+                    for column, value in zip(out, (marks, np.full(len(marks), doc), np.append(np.where(twice, 2, 1), 0).astype(np.int8)), strict=True):
                         column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
@@ -120,29 +106,32 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def candidate_windows(staged: DataFrame) -> DataFrame:
-    """(window, doc_id, times) of the windows with a recurring anchor."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int8())])
+    """(window, anchor, doc_id, times) of the windows with a recurring anchor."""
+    schema = pa.schema([("window", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part, texts in pieces(batches):
             hashes, first = words(texts)
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for doc, known, a, b in zip(part.column("doc_id").to_pylist(), _lists(part.column("anchors")), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                own, times = np.unique(windows(hashes[a:b], WINDOW)[_chosen(hashes[a:b], known)], return_counts=True)
-                for column, value in zip(out, (_signed(own), np.full(len(own), doc), np.minimum(times, 2).astype(np.int8)), strict=True):
+                starts = _chosen(hashes[a:b], known)
+                own, first_at, times = np.unique(windows(hashes[a:b], WINDOW)[starts], return_index=True, return_counts=True)
+                marks = window_anchors(hashes[a:b])[starts[first_at]] if len(own) else own
+                for column, value in zip(out, (_signed(own), _signed(marks), np.full(len(own), doc), np.minimum(times, 2).astype(np.int8)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return staged.select("doc_id", "text", "anchors").mapInArrow(run, "window long, doc_id long, times tinyint")
+    return staged.select("doc_id", "text", "anchors").mapInArrow(run, "window long, anchor long, doc_id long, times tinyint")
 
 
-PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 
 
 def first_passages(firsts: DataFrame) -> DataFrame:
-    """(passage, doc_id, start, words, anchors): runs of neighbouring windows of ``windows`` in the
-    documents that hold them first. ``firsts``: (doc_id, text, windows)."""
+    """(passage, doc_id, start, words, anchors, windows): runs of neighbouring windows of ``windows`` in
+    the documents that hold them first, with each window's hash and anchor. ``firsts``: (doc_id, text,
+    windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -154,14 +143,16 @@ def first_passages(firsts: DataFrame) -> DataFrame:
                 if not len(own) or not len(known):
                     continue
                 starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+                # Of a window that the document itself repeats only the first copy; periodic texts stay short.
+                starts = np.sort(starts[np.unique(own[starts], return_index=True)[1]])
                 split, marks = text.split(), window_anchors(hashes[a:b])
                 for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     if len(run_):
                         s, e = int(run_[0]), int(run_[-1]) + WINDOW
-                        rows.append((int(_signed(mix(np.array([doc], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(s)))[0]), doc, s, b" ".join(split[s:e]), _signed(np.unique(marks[run_]))))
+                        rows.append((int(_signed(mix(np.array([doc], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(s)))[0]), doc, s, b" ".join(split[s:e]), _signed(marks[run_]), _signed(own[run_])))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(PASSAGE)], schema=PASSAGE)
 
-    return firsts.select("doc_id", "text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, anchors array<long>")
+    return firsts.select("doc_id", "text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, anchors array<long>, windows array<long>")
 
 
 def _symbols(hashes: np.ndarray) -> str:
@@ -246,13 +237,27 @@ def _untouched(staged: DataFrame) -> DataFrame:
     return staged.select("doc_id", "text", "copy").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
 
+def _routes(passages: DataFrame, candidates: DataFrame, shard: Column) -> DataFrame:
+    """(passage, shard): where a document may hold 20 words of the passage. An anchor leads to the shards
+    of its documents, unless more than FEW passages have it, as when a common line is followed by
+    different texts. There the window decides, which belongs to one passage only."""
+    parts = passages.select("passage", F.explode(F.arrays_zip("anchors", "windows")).alias("w")).select("passage", F.col("w.anchors").alias("anchor"), F.col("w.windows").alias("window"))
+    many = parts.select("passage", "anchor").distinct().groupBy("anchor").count().where(F.col("count") > FEW).select("anchor")
+    by_anchor = parts.select("passage", "anchor").distinct().join(many, "anchor", "left_anti")
+    held = candidates.select(shard, F.explode("anchors").alias("anchor")).distinct()
+    seen = candidate_windows(candidates).join(many, "anchor", "left_semi").select("window", shard).distinct()
+    by_window = parts.join(many, "anchor", "left_semi").select("passage", "window").distinct()
+    return by_anchor.join(held, "anchor").select("passage", "shard").unionByName(by_window.join(seen, "window").select("passage", "shard")).distinct()
+
+
 def remove_repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row; text is the kept words joined by one space.
     Intermediate tables go to the shared folder."""
     docs = docs_only(docs)
-    same = contents(docs)
+    marks = materialize(anchors(docs), "anchors")
+    same = marks.where("times = 0").select(F.col("anchor").alias("content"), "doc_id")
     copies = same.join(same.groupBy("content").agg(F.min("doc_id").alias("first")), "content").where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    found = anchors(docs)
+    found = marks.where("times > 0")
     recurring = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     of_doc = found.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     info = of_doc.join(copies, "doc_id", "full").select("doc_id", "copy", F.when(F.col("copy").isNull(), F.col("anchors")).alias("anchors"))
@@ -266,8 +271,7 @@ def remove_repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
-    held = candidates.select(shard, F.explode("anchors").alias("anchor")).distinct()
-    needed = passages.select("passage", F.explode("anchors").alias("anchor")).join(held, "anchor").select("passage", "shard").distinct()
+    needed = _routes(passages, candidates, shard)
     routed = passages.select("passage", "doc_id", "start", "words").join(needed, "passage")
     left = candidates.select("doc_id", "text", shard).groupBy("shard")
     right = routed.select("doc_id", "start", "words", "shard").groupBy("shard")
