@@ -39,10 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write an intermediate table once and read it back. Its consumers start from files: they can
-    prune columns, know the size, and a lost executor repeats none of the work behind them."""
+    prune columns, know the size, and a lost executor repeats none of the work behind them. The
+    shuffle files behind the table are not needed after it, so Spark is told to remove them with it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
