@@ -13,11 +13,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     every node of an edge. Each round takes the smallest label among a node's neighbours (aggregated in
     part before the shuffle, so a node with very many edges is split) and then that label's own label,
     which halves the remaining paths. Every round is written, so lineage stays short."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = materialize(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node != other").distinct(), "edges")
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("changed"))
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("m"))
+        lower = labels.join(near, "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("changed"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         out = materialize(lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "changed"), "labels")
         if out.where("changed").isEmpty():

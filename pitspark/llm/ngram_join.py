@@ -15,9 +15,10 @@ of which one has no more than that still agree in a partition that isn't thin.
 **Links.** Exact copies have the same set; they are one class from the start (a 64-bit hash of set and size).
 Round one compares, in every signature group, each class with the group's smallest class only: a star, which
 is linear in the group. Members of a group that end up in different components may still be similar to each
-other, so round two signs all classes of such groups again, with larger subsets that strangers rarely share,
-and compares what shares one and lies in different components. Every comparison is exact, on the texts.
-So each link lies inside a component, and no group is cut or capped.
+other, so round two compares what is left of these groups across components. In a group of near copies that
+would be nearly all pairs, most of them not similar enough, so pairs are first held against two bounds that
+lose none: of two similar sets, each has an element of the other among its own rarest (``rare_elements``), and
+they differ in few cells of a sketch (``cells_apart``). Every comparison is exact, on the texts. So each link lies inside a component, and no group is cut or capped.
 
 Signature rows of one piece of input are reduced to the first class per signature before they are shuffled;
 the others of the piece become rows with a key of their own. So a signature that a third of all documents
@@ -34,7 +35,7 @@ from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.llm.batches import Words, docs_only, mix, pieces, windows
@@ -42,6 +43,7 @@ from pitspark.llm.components import connected_components
 from pitspark.session import materialize
 
 SEEN = 200_000
+LONGS = 16
 
 
 class Sets:
@@ -64,14 +66,14 @@ def class_of(elements: np.ndarray) -> int | None:
 
 
 class PartEnum:
-    """Signatures for one threshold. For each band group the cheapest (k2, n2) is chosen whose signatures
-    hold ``least`` elements in the mean; with ``spare`` partitions for the thin ones that a set of the
-    group's smallest size is expected to have, and four deviations more."""
+    """Signatures for one threshold. For each band group the (k2, n2) with the fewest signatures is chosen,
+    with ``spare`` partitions for the thin ones that a set of the group's smallest size is expected to
+    have, and four deviations more. Very small sets have one partition and sign for every subset."""
 
     CHOICES = ((0, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6), (3, 7))
 
-    def __init__(self, num: int, den: int, least: float, seed: int):
-        self.num, self.den, self.least, self.seed = num, den, least, seed
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
         self.steps = 2 if 20 * num >= 17 * den else 1  # a band spans this power of the threshold
         self.bounds = [1]  # first size of each band
         self.plans: dict[int, tuple[int, int, int, list[np.ndarray]] | None] = {}
@@ -93,15 +95,13 @@ class PartEnum:
             largest, smallest = self.bounds[group + 1] - 1, max(1, self.bounds[group] * self.num // self.den)
             k = (self.den - self.num) * 2 * largest // (self.den + self.num)
             found = [x for c in self.CHOICES if k and (x := self._size(k, smallest, *c))]
-            rich = [x for x in found if x[1] >= self.least]
-            best = min(rich, default=None) or max(found, key=lambda x: x[1], default=(0, 0, 1, k + 2, k, k + 1))
-            _, _, n1, n2, k2, spare = best
+            _, n1, n2, k2, spare = min(found, default=(0, 1, k + 2, k, 0))
             self.plans[group] = (n1, n2, spare, [np.array(c) for c in combinations(range(n2), n2 - k2)]) if k else None
         return self.plans[group]
 
     @staticmethod
     def _size(k: int, smallest: int, k2: int, n2: int) -> tuple | None:
-        """(rows, elements per signature, n1, n2, k2, spare)."""
+        """(rows, n1, n2, k2, spare), or None if too many partitions would be thin."""
         base, subsets, spare = k // (k2 + 1) + 1, comb(n2, k2), 0
         while True:
             n1 = base + spare
@@ -111,7 +111,7 @@ class PartEnum:
                 return None
             need = ceil(n1 * thin + 4 * sqrt(n1 * thin * (1 - thin)))
             if need <= spare:
-                return n1 * subsets, elements, n1, n2, k2, spare
+                return n1 * subsets, n1, n2, k2, spare
             spare += 1
 
     def __call__(self, elements: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ class PartEnum:
             if (plan := self.plan(group)) is None:
                 continue
             n1, n2, spare, subsets = plan
-            salted = mix(elements + np.uint64((self.seed * 1_000_003 + group * 7919) & 0xFFFFFFFF))
+            salted = mix(elements + np.uint64(group * 7919 + 1))
             cell = (salted % np.uint64(n1 * n2)).astype(np.int64)
             sums = np.zeros(n1 * n2, np.uint64)
             np.add.at(sums, cell, mix(salted))
@@ -133,10 +133,6 @@ class PartEnum:
         return np.concatenate(out)
 
 
-LIGHT = {"least": 0.0, "seed": 1}
-STRONG = {"least": 14.0, "seed": 2}
-
-
 def classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, class) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
@@ -150,14 +146,14 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs_only(docs).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-def signatures(texts: DataFrame, n: int, num: int, den: int, params: dict) -> DataFrame:
+def signatures(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(signature, class, local) rows of a table with a text column; ``local`` is the first class of the
     same piece with that signature, null if this is the first. A class met before in the task is skipped
     (up to SEEN classes are remembered)."""
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("local", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, sign, seen = Sets(n), PartEnum(num, den, **params), set()
+        sets, sign, seen = Sets(n), PartEnum(num, den), set()
         for _, raw in pieces(batches):
             if len(seen) > SEEN:
                 seen.clear()
@@ -169,7 +165,7 @@ def signatures(texts: DataFrame, n: int, num: int, den: int, params: dict) -> Da
                     s = np.unique(sign(x))
                     signed.append(s)
                     owner.append(np.full(len(s), own, np.int64))
-            if not signed:
+            if not any(map(len, signed)):
                 continue
             s, c = np.concatenate(signed), np.concatenate(owner)
             order = np.lexsort((c, s))
@@ -236,7 +232,7 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     known = members.where("doc_id is not null and class is not null")
     heads = known.groupBy("class").agg(F.min("doc_id").alias("head"))
 
-    signed = signatures(docs.where("doc_id is not null"), n, num, den, LIGHT)
+    signed = signatures(docs.where("doc_id is not null"), n, num, den)
     shared = materialize(shared_signatures(signed), "shared")
     wanted = shared.select("class").union(shared.select(F.col("pivot").alias("class"))).distinct().join(heads, "class")
     texts = materialize(own_texts(docs.join(wanted, docs["doc_id"] == wanted["head"]).select("class", "text"), n), "texts")
@@ -248,12 +244,17 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     placed = shared.select("signature", "class").union(shared.select("signature", F.col("pivot").alias("class"))).join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
     residual = placed.join(split, "signature", "left_semi").select("class", "component").distinct()
-    again = materialize(residual.join(texts, "class"), "residual")
-    strong = materialize(resigned(again, n, num, den), "signed")
-    left = strong.select("signature", F.col("class").alias("a"), F.col("component").alias("_ca"), F.col("size").alias("_na"))
-    right = strong.select("signature", F.col("class").alias("b"), F.col("component").alias("_cb"), F.col("size").alias("_nb"))
-    sizes_fit = (F.col("_na") * den >= F.col("_nb") * num) & (F.col("_nb") * den >= F.col("_na") * num)
-    cross = left.join(right, "signature").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & sizes_fit).select("a", "b").distinct()
+    left_over = materialize(residual.join(texts, "class"), "residual")
+    rare = materialize(rare_elements(left_over, n, num, den).join(sketches(left_over, n), "class"), "rare")
+    left, right = (rare.select("element", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "alone", "rare", "sketch")]) for x in "ab")
+    total = F.col("size_a") + F.col("size_b")
+    near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
+    near = near & (cells_apart(F.col("sketch_a"), F.col("sketch_b")) * (den + num) <= total * (den - num))
+    # What only one class has is in the union and not in the intersection.
+    most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
+    near = near & (most * den >= (most + F.col("alone_a") + F.col("alone_b")) * num)
+    once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("element")
+    cross = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near & once).select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "links")
     final = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
@@ -265,20 +266,59 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def resigned(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(signature, class, component, size): the strong signatures of (class, component, text) rows that
-    occur in two components."""
-    schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32())])
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(class, sketch): the domain cut into 16 * LONGS cells, and four bits of hash of what a set has in
+    each. Cells that differ hold different elements, so their number is a lower bound of the elements that
+    two sets don't share."""
+    cells = 16 * LONGS
+    schema = pa.schema([("class", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, sign = Sets(n), PartEnum(num, den, **STRONG)
+        sets = Sets(n)
+        for part, raw in pieces(batches):
+            found = []
+            for x in sets(raw):
+                sums = np.zeros(cells, np.uint64)
+                np.add.at(sums, (mix(x + np.uint64(5)) % np.uint64(cells)).astype(np.int64), mix(x))
+                found.append(((mix(sums) >> np.uint64(60)).reshape(LONGS, 16) << places).sum(1, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+
+    return texts.select("class", "text").mapInArrow(run, "class long, sketch array<long>")
+
+
+def cells_apart(a: Column, b: Column) -> Column:
+    """Number of cells in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(LONGS):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def rare_elements(residual: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(element, class, component, size, alone, rare): of each (class, component, text) row the rarest elements of its
+    set, as many as must hold one that any similar set counts among its own rarest. Similar sets share
+    num / den of the larger one, so that is all but this share of a set, and one more. Elements that a
+    single class has (``alone`` of them) count, but have no partner and are left out. ``rare`` lists all
+    kept elements of the class."""
+    schema = pa.schema([("element", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(n)
         for part, raw in pieces(batches):
-            for own, component, x in zip(part.column("class").to_pylist(), part.column("component").to_pylist(), sets(raw), strict=True):
-                s = np.unique(sign(x)).view(np.int64)
-                if not len(s):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), own)), pa.array(np.full(len(s), component)), pa.array(np.full(len(s), len(x)), pa.int32())], schema=schema)
-
-    signed = materialize(texts.select("class", "component", "text").mapInArrow(run, "signature long, class long, component long, size int"), "strong")
-    mixed = signed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
-    return signed.join(mixed, "signature", "left_semi")
+            found = sets(raw)
+            sizes = np.array([len(x) for x in found])
+            columns = [np.concatenate(found).view(np.int64), *(np.repeat(np.array(part.column(c).to_pylist(), np.int64), sizes) for c in ("class", "component")), np.repeat(sizes, sizes).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    elements = materialize(residual.select("class", "component", "text").mapInArrow(run, "element long, class long, component long, size int"), "elements")
+    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = elements.join(common, "element")
+    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("class"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "element"))
+    needed = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    kept = shared.withColumns({"alone": alone, "_rank": rank}).where(F.col("alone") + F.col("_rank") <= needed)
+    return kept.select("element", "class", "component", "size", "alone", F.collect_list("element").over(Window.partitionBy("class")).alias("rare"))
