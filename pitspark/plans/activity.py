@@ -177,8 +177,7 @@ def e10_summary(spark, sf):
  due AS (SELECT p.pad_id, y.year FROM (SELECT DISTINCT pad_id FROM permits) p, (SELECT DISTINCT CAST(year(acq) AS INTEGER) AS year FROM seen) y)
  SELECT due.pad_id, due.year, count(acq) AS n_obs FROM due LEFT JOIN seen ON seen.pad_id = due.pad_id AND year(acq) = due.year GROUP BY 1, 2 HAVING count(acq) < 80""")
 def e11(spark, sf):
-    seen = b.sar_obs(spark, sf).where("pad_id % 10 <> 7")  # pads that no file covers
-    return change.thin_coverage(seen, b.permits(spark, sf), 80)
+    return change.thin_coverage(b.sar_obs(spark, sf), b.permits(spark, sf), 80)
 
 
 @query("e11_coverage_by_firm", f"WITH {CPM}, {TRUTH}, activity AS ({rolled('truth', 'cells', 'truth')}) SELECT firm, count(*) AS n_aggregates, count(DISTINCT fpe) AS n_quarters FROM activity WHERE total_monitored > 0 GROUP BY 1")
