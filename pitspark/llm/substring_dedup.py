@@ -4,16 +4,18 @@ A window is 20 consecutive words of one document. A word goes if a window over i
 document with a smaller doc_id, or further up in the same one.
 
 1. **Anchors.** Every window is represented by the smallest hash of its 6-word stretches, so equal windows
-   have equal anchors, and a text has about one anchor per eight words. Anchors that occur once in the corpus
-   rule out their windows; only the others' windows are looked at again.
-2. **Confirmed passages.** The remaining windows are counted over all documents. In the first document of
-   each recurring window, runs of neighbouring recurring windows are merged into passages: the first copies
+   have equal anchors, and a text has about one anchor per eight words. Anchors of one doc_id only rule out
+   their windows; only the others' windows are looked at again.
+2. **Confirmed passages.** The remaining windows are compared over all documents. In the first document of
+   each window of several ids, runs of neighbouring recurring windows are merged into passages: the first copies
    of everything that recurs.
 3. **Automata.** Documents are dealt into shards of bounded size. A shard gets the passages that share an
    anchor with one of its documents (or a window, where many passages share the anchor), cuts them into blocks of 10 words (every 20-word match holds a whole
    block) and compiles these into one automaton over word symbols. All documents of the shard are streamed
    through it; each hit is extended word by word in both directions, and a stretch of 20 words or more whose
-   passage stands earlier is removed.
+   passage has a smaller doc_id is removed.
+
+What a document repeats of itself is found in the document, by sorting its windows.
 
 Whole copies are settled first by a hash of their words: all but the first are removed whole, if they have
 20 words. A passage that a third of all documents share is one row per shard; counting is aggregated in part
@@ -21,7 +23,7 @@ before each shuffle, and the one join on anchors is split by the skew join.
 
 Words are what spaces and the controls 0x09-0x0D separate, compared unchanged through 64-bit hashes. Null
 texts have no words and become "". Rows with the same id and text are the same document; other texts under
-one id don't precede each other. Rows without an id lose nothing. An empty table gives an empty one."""
+one id, told apart by a 64-bit hash, don't precede each other. Rows without an id lose nothing. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -64,32 +66,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _text): the columns that are read, and the hash that tells texts under one id apart."""
+    return docs_only(docs).withColumn("_text", F.xxhash64("text"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs_only(docs).where("doc_id is not null and text is not null")
+    return _hashed(docs).where("doc_id is not null and text is not null")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, times): the anchors of every document of 20 words or more, times 2 if an anchor's
-    stretch occurs twice in it; and one row with times 0 whose anchor is the hash of all words."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int8())])
+    """(anchor, doc_id, _text, whole): the anchors of every document of 20 words or more; and one row that is
+    ``whole``, whose anchor is the hash of all words."""
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("_text", pa.int64()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part, texts in pieces(batches):
             hashes, first = words(texts)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, own_text, a, b in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if b - a >= WINDOW:
                     own = np.unique(window_anchors(hashes[a:b]))
-                    stretches = np.sort(windows(hashes[a:b], STRETCH))
-                    twice = np.searchsorted(stretches, own, "right") - np.searchsorted(stretches, own) > 1
                     marks = np.append(_signed(own), np.int64(_content(hashes[a:b])))
-                    for column, value in zip(out, (marks, np.full(len(marks), doc), np.append(np.where(twice, 2, 1), 0).astype(np.int8)), strict=True):
+                    for column, value in zip(out, (marks, np.full(len(marks), doc), np.full(len(marks), own_text), np.arange(len(marks)) == len(own)), strict=True):
                         column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "anchor long, doc_id long, times tinyint")
+    return _texts(docs).mapInArrow(run, "anchor long, doc_id long, _text long, whole boolean")
 
 
 def _chosen(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -106,23 +111,23 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def candidate_windows(staged: DataFrame) -> DataFrame:
-    """(window, anchor, doc_id, times) of the windows with a recurring anchor."""
-    schema = pa.schema([("window", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int8())])
+    """(window, anchor, doc_id, _text) of the windows with a recurring anchor."""
+    schema = pa.schema([("window", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("_text", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part, texts in pieces(batches):
             hashes, first = words(texts)
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, known, a, b in zip(part.column("doc_id").to_pylist(), _lists(part.column("anchors")), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            for doc, own_text, known, a, b in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist(), _lists(part.column("anchors")), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 starts = _chosen(hashes[a:b], known)
-                own, first_at, times = np.unique(windows(hashes[a:b], WINDOW)[starts], return_index=True, return_counts=True)
+                own, first_at = np.unique(windows(hashes[a:b], WINDOW)[starts], return_index=True)
                 marks = window_anchors(hashes[a:b])[starts[first_at]] if len(own) else own
-                for column, value in zip(out, (_signed(own), _signed(marks), np.full(len(own), doc), np.minimum(times, 2).astype(np.int8)), strict=True):
+                for column, value in zip(out, (_signed(own), _signed(marks), np.full(len(own), doc), np.full(len(own), own_text)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return staged.select("doc_id", "text", "anchors").mapInArrow(run, "window long, anchor long, doc_id long, times tinyint")
+    return staged.select("doc_id", "text", "_text", "anchors").mapInArrow(run, "window long, anchor long, doc_id long, _text long")
 
 
 PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
@@ -131,14 +136,14 @@ PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start",
 def first_passages(firsts: DataFrame) -> DataFrame:
     """(passage, doc_id, start, words, anchors, windows): runs of neighbouring windows of ``windows`` in
     the documents that hold them first, with each window's hash and anchor. ``firsts``: (doc_id, text,
-    windows)."""
+    _text, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part, texts in pieces(batches):
             hashes, first = words(texts)
             rows: list[tuple] = []
-            for doc, text, known, a, b in zip(part.column("doc_id").to_pylist(), texts, _lists(part.column("windows")), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            for doc, text, own_text, known, a, b in zip(part.column("doc_id").to_pylist(), texts, part.column("_text").to_pylist(), _lists(part.column("windows")), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 own = windows(hashes[a:b], WINDOW)
                 if not len(own) or not len(known):
                     continue
@@ -149,10 +154,11 @@ def first_passages(firsts: DataFrame) -> DataFrame:
                 for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     if len(run_):
                         s, e = int(run_[0]), int(run_[-1]) + WINDOW
-                        rows.append((int(_signed(mix(np.array([doc], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(s)))[0]), doc, s, b" ".join(split[s:e]), _signed(marks[run_]), _signed(own[run_])))
+                        name = mix(mix(np.array([own_text], np.int64).view(np.uint64)) + np.array([doc], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(s))
+                        rows.append((int(_signed(name)[0]), doc, s, b" ".join(split[s:e]), _signed(marks[run_]), _signed(own[run_])))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(PASSAGE)], schema=PASSAGE)
 
-    return firsts.select("doc_id", "text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, anchors array<long>, windows array<long>")
+    return firsts.select("doc_id", "text", "_text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, anchors array<long>, windows array<long>")
 
 
 def _symbols(hashes: np.ndarray) -> str:
@@ -162,14 +168,31 @@ def _symbols(hashes: np.ndarray) -> str:
     return code.astype("<u4").tobytes().decode("utf-32-le")
 
 
+def repeated_within(hashes: np.ndarray) -> np.ndarray:
+    """Mask of the words under windows that also start further up in the same text."""
+    gone = np.zeros(len(hashes), bool)
+    own = windows(hashes, WINDOW)
+    _, first_at, which = np.unique(own, return_index=True, return_inverse=True)
+    source = first_at[which]
+    again = np.flatnonzero(source < np.arange(len(own)))
+    if len(again):
+        for j in range(WINDOW):
+            again = again[hashes[again + j] == hashes[source[again] + j]]
+        edges = np.zeros(len(hashes) + 1, np.int64)
+        edges[again] += 1
+        edges[again + WINDOW] -= 1
+        gone = np.cumsum(edges)[:-1] > 0
+    return gone
+
+
 class Phrases:
-    """An automaton over the blocks of passages: (doc_id, start, word hashes)."""
+    """An automaton over the blocks of passages: (doc_id, word hashes)."""
 
-    def __init__(self, passages: list[tuple[int, int, np.ndarray]]):
+    def __init__(self, passages: list[tuple[int, np.ndarray]]):
         self.passages = passages
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, _, hashes) in enumerate(passages):
+        for k, (_, hashes) in enumerate(passages):
             text = _symbols(hashes)
             for q in {*range(0, len(text) - BLOCK + 1, BLOCK), len(text) - BLOCK}:
                 places[text[q : q + BLOCK]].append((k, q))
@@ -179,7 +202,7 @@ class Phrases:
             self.automaton.make_automaton()
 
     def removed(self, doc: int, hashes: np.ndarray) -> np.ndarray:
-        """Mask of the words that a passage standing earlier covers."""
+        """Mask of the words that a passage of a document with a smaller doc_id covers."""
         gone = np.zeros(len(hashes), bool)
         if len(self.automaton):
             done: dict[tuple[int, int], int] = {}
@@ -188,8 +211,8 @@ class Phrases:
                 for k, q in where:
                     if p < done.get((k, p - q), 0):
                         continue
-                    source, start, own = self.passages[k]
-                    if source > doc or (source == doc and start + q >= p):
+                    source, own = self.passages[k]
+                    if source >= doc:
                         continue
                     n = min(len(hashes) - p, len(own) - q)
                     apart = np.flatnonzero(hashes[p : p + n] != own[q : q + n])
@@ -212,27 +235,33 @@ def _stream(left: pa.Table, right: pa.Table) -> pa.Table:
     passages = []
     for batch, raw in pieces(right.to_batches(), "words"):
         hashes, first = words(raw)
-        passages += [(d, s, hashes[a:b]) for d, s, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        passages += [(d, hashes[a:b]) for d, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
     phrases = Phrases(passages)
     rows = []
     for batch, raw in pieces(left.to_batches()):
         hashes, first = words(raw)
         for doc, text, a, b in zip(batch.column("doc_id").to_pylist(), raw, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            gone = phrases.removed(doc, hashes[a:b])
+            gone = phrases.removed(doc, hashes[a:b]) | repeated_within(hashes[a:b])
             kept = [w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g]
             rows.append((doc, b" ".join(kept).decode(), b - a, int(gone.sum())))
     return pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(KEPT)], schema=KEPT)
 
 
 def _untouched(staged: DataFrame) -> DataFrame:
-    """Documents without candidates: their words joined by one space; copies lose them all."""
+    """Documents without candidates: their words joined by one space, without what they repeat themselves;
+    copies lose all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for part, texts in pieces(batches):
-            split, copies = [(t or b"").split() for t in texts], part.column("copy").to_pylist()
-            kept = [b"" if c else b" ".join(w) for w, c in zip(split, copies, strict=True)]
-            columns = [part.column("doc_id"), pa.array([k.decode() for k in kept], pa.string()), pa.array([len(w) for w in split], pa.int64()), pa.array([len(w) if c else 0 for w, c in zip(split, copies, strict=True)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=KEPT)
+            hashes, first = words(texts)
+            rows = []
+            for doc, text, copy, a, b in zip(part.column("doc_id").to_pylist(), texts, part.column("copy").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                split = (text or b"").split()
+                gone = np.full(b - a, True) if copy else repeated_within(hashes[a:b]) if doc is not None else np.zeros(b - a, bool)
+                kept = [w for w, g in zip(split, gone.tolist(), strict=True) if not g] if gone.any() else split
+                rows.append((doc, b" ".join(kept).decode(), b - a, int(gone.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(KEPT)], schema=KEPT)
 
     return staged.select("doc_id", "text", "copy").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
@@ -253,27 +282,28 @@ def _routes(passages: DataFrame, candidates: DataFrame, shard: Column) -> DataFr
 def remove_repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row; text is the kept words joined by one space.
     Intermediate tables go to the shared folder."""
-    docs = docs_only(docs)
+    document = ["doc_id", "_text"]
     marks = materialize(anchors(docs), "anchors")
-    same = marks.where("times = 0").select(F.col("anchor").alias("content"), "doc_id")
-    copies = same.join(same.groupBy("content").agg(F.min("doc_id").alias("first")), "content").where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    found = marks.where("times > 0")
-    recurring = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    of_doc = found.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    info = of_doc.join(copies, "doc_id", "full").select("doc_id", "copy", F.when(F.col("copy").isNull(), F.col("anchors")).alias("anchors"))
-    staged = materialize(docs.join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "anchors"), "staged")
+    same = marks.where("whole").select(F.col("anchor").alias("content"), *document)
+    copies = same.join(same.groupBy("content").agg(F.min("doc_id").alias("first")), "content").where("doc_id > first").select(*document).distinct().withColumn("copy", F.lit(True))
+    found = marks.where("not whole")
+    recurring = found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    of_doc = found.select("anchor", *document).join(recurring, "anchor").groupBy(*document).agg(F.collect_set("anchor").alias("anchors"))
+    info = of_doc.join(copies, document, "full").select(*document, "copy", F.when(F.col("copy").isNull(), F.col("anchors")).alias("anchors"))
+    staged = materialize(_hashed(docs).join(info, document, "left").select(*document, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "anchors"), "staged")
     candidates = staged.where("anchors is not null and text is not null")
 
-    first = candidate_windows(candidates).groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.sum("times").alias("n")).where("n > 1")
-    listed = first.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
-    passages = materialize(first_passages(candidates.select("doc_id", "text").join(listed, "doc_id")), "passages")
+    # Of the texts under a window's smallest id one is enough: none of them precedes the others.
+    held = candidate_windows(candidates).groupBy("window").agg(F.min(F.struct(*document)).alias("first"), F.max("doc_id").alias("last"))
+    listed = held.where("first.doc_id < last").groupBy("first.doc_id", "first._text").agg(F.collect_list("window").alias("windows"))
+    passages = materialize(first_passages(candidates.select(*document, "text").join(listed, document)), "passages")
 
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64(*document), F.lit(shards)).cast("int").alias("shard")
     needed = _routes(passages, candidates, shard)
-    routed = passages.select("passage", "doc_id", "start", "words").join(needed, "passage")
+    routed = passages.select("passage", "doc_id", "words").join(needed, "passage")
     left = candidates.select("doc_id", "text", shard).groupBy("shard")
-    right = routed.select("doc_id", "start", "words", "shard").groupBy("shard")
+    right = routed.select("doc_id", "words", "shard").groupBy("shard")
     touched = left.cogroup(right).applyInArrow(_stream, "doc_id long, text string, n_words long, n_removed long")
     return touched.unionByName(_untouched(staged.where("anchors is null or text is null")))
