@@ -23,7 +23,8 @@ before each shuffle, and the one join on anchors is split by the skew join.
 
 Words are what spaces and the controls 0x09-0x0D separate, compared unchanged through 64-bit hashes. Null
 texts have no words and become "". Rows with the same id and text are the same document; other texts under
-one id, told apart by a 64-bit hash, don't precede each other. Rows without an id lose nothing. An empty table gives an empty one."""
+one id, told apart by a 64-bit hash, don't precede each other. Rows without an id
+neither take words from other rows nor lose any to them, only what they repeat themselves. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -258,7 +259,7 @@ def _untouched(staged: DataFrame) -> DataFrame:
             rows = []
             for doc, text, copy, a, b in zip(part.column("doc_id").to_pylist(), texts, part.column("copy").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 split = (text or b"").split()
-                gone = np.full(b - a, True) if copy else repeated_within(hashes[a:b]) if doc is not None else np.zeros(b - a, bool)
+                gone = np.full(b - a, True) if copy else repeated_within(hashes[a:b])
                 kept = [w for w, g in zip(split, gone.tolist(), strict=True) if not g] if gone.any() else split
                 rows.append((doc, b" ".join(kept).decode(), b - a, int(gone.sum())))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(KEPT)], schema=KEPT)

@@ -19,3 +19,11 @@ def test_substring_dedup_of_ids_with_several_texts(spark, shard_bytes):
         rows.append((rng.randrange(6, 14), " ".join(rng.choice(some)[rng.randrange(60) :] for _ in range(rng.randint(1, 4)))))
     got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, DOCS), shard_bytes)
     assert as_rows(got, "doc_id", "text", "n_words", "n_removed") == brute_passages(rows)
+
+
+def test_substring_dedup_inside_rows_without_id(spark):
+    once, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(None, f"{once} {other} {once}"), (None, once), (1, other), (None, other), (2, f"{once} end")]
+    got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, DOCS))
+    want = [(None, f"{once} {other}", 90, 30), (None, once, 30, 0), (1, other, 30, 0), (None, other, 30, 0), (2, f"{once} end", 31, 0)]
+    assert as_rows(got, "doc_id", "text", "n_words", "n_removed") == sorted(want, key=str)
