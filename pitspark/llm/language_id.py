@@ -11,6 +11,9 @@ Forward-backward runs over many texts at once: the words of a batch are one chai
 word forgets what came before. The chain is cut into equal blocks; their transfer matrices are multiplied
 side by side, one short scan joins the blocks, and the words inside are filled in side by side.
 
+A run of more than ``LONGEST`` letters, as in scripts without spaces, counts as several words: consecutive
+stretches of that many letters, each with its own affixes.
+
 A null text, and one without a letter, is "und" with score 0. Rows are independent; an empty table gives an
 empty one; with no labelled text every row is "und". The model is fitted on a sample of at most about
 ``ROWS_PER_LANGUAGE`` documents of each language."""
@@ -42,7 +45,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; those of more than LONGEST are cut into consecutive stretches of that length."""
+    words = _WORD.findall(text.lower())
+    if any(len(w) > LONGEST for w in words):
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
 @dataclass
@@ -56,7 +63,7 @@ class Field:
 
 def features(words: list[str], lexicon: dict[str, list[int]], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of many distinct words: (ids in word order, where each word's ids begin)."""
-    framed = [f"^{w[:LONGEST]}$" for w in words]
+    framed = [f"^{w}$" for w in words]
     chars = np.frombuffer("".join(framed).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.array([len(w) for w in framed])
     end = np.cumsum(size)
