@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, source_divergence, substring_dedup, toxicity, url_filter
 from pitspark.llm.batches import fold_is
 
 
@@ -80,6 +80,10 @@ def ngram_components(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.link_documents(_read(spark, sf, "documents"), 3, 90, 100).drop("class")
 
 
+def divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": toxicity_scores,
     "op2_url_filter": url_verdicts,
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_quality_rules": rule_verdicts,
     "op9_quality_classifier": quality_scores,
     "op10_ngram_join": ngram_components,
+    "op13_source_divergence": divergence,
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -152,4 +157,20 @@ ORACLE = {
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT r.a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""".replace("LOWERED", _LOWERED),
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(LOWERED, '') AS text FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(max(v), 0) AS v, coalesce(max(l.n), 0) AS lang_n, (SELECT coalesce(sum(n), 0) FROM c WHERE c.lang = x.lang AND c.source = x.source) AS n
+              FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l USING (lang) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS had,
+                     1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.n + 5 * g.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (g.lang_n + 5 * g.v)::HUGEINT AS q
+              FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        found AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE had > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""".replace("LOWERED", _LOWERED),
 }
