@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, source_divergence, substring_dedup, toxicity, url_filter
+from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, toxicity, url_filter
 from pitspark.llm.batches import fold_is
 
 
@@ -80,6 +80,10 @@ def ngram_components(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.link_documents(_read(spark, sf, "documents"), 3, 90, 100).drop("class")
 
 
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.span_digests(pii.find_pii(_read(spark, sf, "documents")))
+
+
 def divergence(spark: SparkSession, sf: str) -> DataFrame:
     return source_divergence.audit(_read(spark, sf, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_quality_rules": rule_verdicts,
     "op9_quality_classifier": quality_scores,
     "op10_ngram_join": ngram_components,
+    "op12_pii": personal_data,
     "op13_source_divergence": divergence,
 }
 
