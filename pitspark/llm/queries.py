@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, toxicity, url_filter
+from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, periodic_runs, pii, quality_classifier, quality_rules, source_divergence, substring_dedup, toxicity, url_filter
 from pitspark.llm.batches import fold_is
 
 
@@ -80,6 +80,34 @@ def ngram_components(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.link_documents(_read(spark, sf, "documents"), 3, 90, 100).drop("class")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth text by crc32 of its id, h, is periodic from word a on: a and the
+    period p follow from g = h div 10 and the number of words n."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    rows = rows.select("*", n.alias("n"), g.alias("g"), (g % n).cast("int").alias("a")).where("h % 10 = 0 and n > 0")
+    rows = rows.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    changed = rows.select("doc_id", F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ").alias("text"))
+    return docs.select("doc_id", "text").where(~((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")) | F.col("doc_id").isNull() | F.col("text").isNull()).unionByName(changed)
+
+
+def _run_digests(found: DataFrame) -> DataFrame:
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    start, length, period = longest["start"], -longest["less"], longest["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_digests(periodic_runs.find_runs(_with_periods(_read(spark, sf, "documents"))))
+
+
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(_read(spark, sf, "documents")))
 
@@ -99,6 +127,7 @@ QUERIES = {
     "op8_quality_rules": rule_verdicts,
     "op9_quality_classifier": quality_scores,
     "op10_ngram_join": ngram_components,
+    "op11_periodic_runs": word_runs,
     "op12_pii": personal_data,
     "op13_source_divergence": divergence,
 }
