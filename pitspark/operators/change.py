@@ -76,7 +76,8 @@ def classify_drop(obs: DataFrame, pad_cells: DataFrame, new: float = params.DROP
     q = F.col("fpe")
     start = F.trunc(F.date_sub(q, 92), "month")
     windows = pad_cells.select("pad_id", "fpe", F.trunc(F.date_sub(start, 92), "month").alias("_a"), start.alias("_q0"), q.alias("_b"))
-    hits = window_join(windows, obs.select("pad_id", "published", "vv_db", "scene_id"), ["pad_id"], "_a", "_b", "published", "scene_id")
+    spread = F.xxhash64(*[c for c in ("scene_id", "pad_id", "published", "vv_db") if c in obs.columns]).alias("_row")
+    hits = window_join(windows, obs.select("pad_id", "published", "vv_db", spread), ["pad_id"], "_a", "_b", "published", "_row")
     hits = hits.withColumn("_seg", F.when(F.col("published") >= F.col("_q0"), "cur").otherwise("prior"))
     med = group_summary(hits, ["pad_id", "fpe", "_seg"], "vv_db", upper_median="m")
 
@@ -182,13 +183,16 @@ def relative_activity(activity: DataFrame) -> DataFrame:
 
 def match_events(predicted: DataFrame, truth: DataFrame, window_days: int = params.MATCH_WINDOW_DAYS) -> DataFrame:
     """Per pad and quarter: is a newly active prediction backed by a filed event in [q-92, q+window]?
-    The event kept is the first in source order."""
+    The event kept is the first in source order; its date counts, and that of the detection, the quarter's
+    end, where one was predicted. Events are first reduced to the first row per pad and day, so a pad has at
+    most one per day in the join."""
     windows = predicted.select("pad_id", "fpe", F.date_sub("fpe", 92).alias("_a"), F.date_add("fpe", window_days).alias("_b"))
-    hits = window_join(windows, truth, ["pad_id"], "_a", "_b", "event_date")
+    daily = truth.groupBy("pad_id", "event_date").agg(F.min("row_id").alias("row_id"))
+    hits = window_join(windows, daily, ["pad_id"], "_a", "_b", "event_date")
     first = hits.groupBy("pad_id", "fpe").agg(F.min_by("event_date", "row_id").alias("event_date"))
     rows = predicted.select("pad_id", "fpe", "state").join(first, ["pad_id", "fpe"], "left")
     says, is_ = F.col("state") == NEW, F.col("event_date").isNotNull()
-    return rows.withColumns({"predicted": says, "actual": is_, "matched": says == is_})
+    return rows.withColumns({"detection_date": F.when(says, F.col("fpe")), "predicted": says, "actual": is_, "matched": says == is_})
 
 
 def validation_summary(matches: DataFrame, precision_goal: float = params.TARGET_PRECISION, recall_goal: float = params.TARGET_RECALL) -> DataFrame:

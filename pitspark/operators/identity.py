@@ -81,5 +81,5 @@ def fraction_with_provenance(targets: DataFrame, filings: DataFrame, key: str, p
     return got.select(
         key, "fiscal_year", F.when(pure, F.lit(1.0)).otherwise(F.col("share")).alias("fraction"), method.alias("method"),
         F.when(~pure, F.col("filing_date")).alias("source_filing_date"),
-        F.when(method == "manual", F.concat(F.lit("No 10-K filed in CY "), (F.col("fiscal_year") + 1).cast("string"), F.lit("."))).otherwise("").alias("notes"),
+        F.replace(scoring.lookup(method, params.SHARE_NOTES), F.lit("{}"), (F.col("fiscal_year") + 1).cast("string")).alias("notes"),
     )

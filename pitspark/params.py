@@ -77,6 +77,14 @@ SHARE_YEARS = (2020, 2025)
 # Fixed value: the sentence pattern that states a basin share.
 SHARE_PATTERN = r"Permian[^.]{0,200}?(\d{1,3}(?:\.\d+)?)\s*%[^.]{0,80}?(?:production|output|barrels|boe)"
 
+# What is noted beside a share, by the way it was found; {} is the calendar year of the filing.
+SHARE_NOTES = {
+    "pure_play_default": "Pure-play Permian operator; assumed 100% Permian.",
+    "manual": "No 10-K filed in CY {}.",
+    "regex_table": "Regex match on '<X>% ... production'.",
+    "llm_narrative": "Regex did not match; pass excerpt to LLM with `llm_extract_permian_fraction_prompt`.",
+}
+
 # Conviction tiers.
 TIER_SIZE = {"high": 0.15, "medium": 0.10, "low": 0.05, "none": 0.0}
 TIER_BELOW = {"high": "medium", "medium": "low", "low": "none", "none": "none"}

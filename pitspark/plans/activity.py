@@ -151,7 +151,7 @@ def e9(spark, sf):
 
 
 EVENTS = "truth_events AS (SELECT pad_id, spud_date AS event_date, pad_id * 2 AS row_id FROM permits WHERE spud_date IS NOT NULL UNION ALL SELECT pad_id, completion_date, pad_id * 2 + 1 FROM permits WHERE completion_date IS NOT NULL)"
-MATCHES = f"""{EVENTS}, {TRUTH}, noisy AS ({noisy('truth', 'target')}), predicted AS (SELECT pad_id, fpe, observed AS state FROM noisy), matches AS (SELECT r.pad_id, r.fpe, r.state, arg_min(e.event_date, e.row_id) AS event_date, r.state = 'newly_active' AS predicted, count(e.event_date) > 0 AS actual, (r.state = 'newly_active') = (count(e.event_date) > 0) AS matched
+MATCHES = f"""{EVENTS}, {TRUTH}, noisy AS ({noisy('truth', 'target')}), predicted AS (SELECT pad_id, fpe, observed AS state FROM noisy), matches AS (SELECT r.pad_id, r.fpe, r.state, arg_min(e.event_date, e.row_id) AS event_date, CASE WHEN r.state = 'newly_active' THEN r.fpe END AS detection_date, r.state = 'newly_active' AS predicted, count(e.event_date) > 0 AS actual, (r.state = 'newly_active') = (count(e.event_date) > 0) AS matched
  FROM predicted r LEFT JOIN truth_events e ON e.pad_id = r.pad_id AND e.event_date BETWEEN r.fpe - 92 AND r.fpe + 30 GROUP BY 1, 2, 3)"""
 
 
@@ -173,7 +173,7 @@ def e10_summary(spark, sf):
     return change.validation_summary(matches(spark, sf)).withColumns({"precision": rnd("precision", 6), "recall": rnd("recall", 6)})
 
 
-@query("e11_coverage_check", f"""WITH {o.PERMITS}, {o.SAR}, seen AS (SELECT pad_id, acq FROM sar_obs WHERE pad_id % 10 <> 7),
+@query("e11_coverage_check", f"""WITH {o.PERMITS}, {o.SAR}, seen AS (SELECT pad_id, acq FROM sar_obs),
  due AS (SELECT p.pad_id, y.year FROM (SELECT DISTINCT pad_id FROM permits) p, (SELECT DISTINCT CAST(year(acq) AS INTEGER) AS year FROM seen) y)
  SELECT due.pad_id, due.year, count(acq) AS n_obs FROM due LEFT JOIN seen ON seen.pad_id = due.pad_id AND year(acq) = due.year GROUP BY 1, 2 HAVING count(acq) < 80""")
 def e11(spark, sf):

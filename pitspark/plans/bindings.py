@@ -11,6 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitspark import params
 from pitspark.functions import dates
 from pitspark.session import materialize
 
@@ -171,6 +172,30 @@ def outlet_cells(spark, sf) -> DataFrame:
     return grid.withColumn("t", F.date_add("fpe", 6)).withColumn("prev_ed", F.date_add(dates.prior_quarter_end("fpe", 1), 20))
 
 
+def company_news(spark, sf) -> DataFrame:
+    """The articles with a mention of a company behind the whole text, in capitals, broken over lines or in a
+    possessive; some mention none of the registered ones, some lack a keyword."""
+    k = F.col("article_id")
+    names = F.array(*[F.lit(x) for x in [*params.NEWS_PHRASES.values(), "Diamondbacks Energy", "Devon Energetic"]])
+    name = F.get(names, (k % 12).cast("int"))
+    spelled = F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, F.replace(name, F.lit(" "), F.lit(" \n"))).otherwise(F.concat(name, F.lit("'s")))
+    rest = F.when(k % 5 == 4, F.lit(" oil")).otherwise(F.lit(" Drilling for (oil)"))
+    return articles(spark, sf).select("article_id", "publish_date", F.concat(F.coalesce("body", F.lit("")), F.lit("\n"), spelled, rest).alias("body"))
+
+
+def ticker_cells(spark, sf) -> DataFrame:
+    """Every company with the quarters of the outlets' cells."""
+    tickers = F.array(*[F.lit(x) for x in params.UNIVERSE])
+    return outlet_cells(spark, sf).select("fpe", "t", "prev_ed").distinct().withColumn("ticker", F.explode(tickers))
+
+
+def news_registry(spark) -> tuple[DataFrame, DataFrame]:
+    """(ticker, text) of the registered phrases and of the keywords that every ticker needs."""
+    phrases = spark.createDataFrame(list(params.NEWS_PHRASES.items()), "ticker string, text string")
+    keywords = spark.createDataFrame([(t, w) for t in params.NEWS_PHRASES for w in params.NEWS_KEYWORDS], "ticker string, text string")
+    return phrases, keywords
+
+
 def verdicts(spark, sf) -> DataFrame:
     """Raw verdict strings per order: what an outside judge would return, not yet normalised."""
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("firm"))

@@ -1,5 +1,7 @@
 """The same tables as DuckDB common table expressions, for the oracle."""
 
+from pitspark import params
+
 LINES = "lines AS (SELECT l.*, CAST(l_shipdate AS DATE) AS d, s_nationkey AS firm FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey)"
 PRICES = LINES + ", prices AS (SELECT firm, d, avg(l_extendedprice / l_quantity) AS px, count(*) AS ntrades FROM lines GROUP BY firm, d)"
 ESTIMATES = """ord AS (SELECT o.*, CAST(o_orderdate AS DATE) AS anndats, c_nationkey AS firm, c_name FROM orders o JOIN customer ON o_custkey = c_custkey),
@@ -36,6 +38,14 @@ SAR = """sar_obs AS (SELECT l_suppkey AS pad_id, l_orderkey * 10 + l_linenumber
 ARTICLES = "articles AS (SELECT source AS outlet, doc_id AS article_id, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS publish_date, text AS body FROM documents)"
 OUTLET_CELLS = """outlet_cells AS (SELECT outlet, fpe, CAST(fpe + 6 AS DATE) AS t, CAST(last_day(fpe - INTERVAL 3 MONTH) + 20 AS DATE) AS prev_ed
   FROM (SELECT DISTINCT source AS outlet FROM documents), (VALUES (DATE '2024-03-31'), (DATE '2024-06-30'), (DATE '2024-09-30'), (DATE '2024-12-31')) q(fpe))"""
+NEWS = ARTICLES + ", " + OUTLET_CELLS + ", registry(i, ticker, phrase) AS (VALUES " + ", ".join(f"({i}, '{t}', '{p.lower()}')" for i, (t, p) in enumerate(params.NEWS_PHRASES.items())) + r"""),
+named AS (SELECT article_id, publish_date, body, CASE article_id % 12 WHEN 10 THEN 'Diamondbacks Energy' WHEN 11 THEN 'Devon Energetic' ELSE NAMES[CAST(article_id % 12 + 1 AS INTEGER)] END AS name FROM articles),
+company_news AS (SELECT article_id, publish_date, coalesce(body, '') || chr(10) || CASE article_id % 3 WHEN 0 THEN upper(name) WHEN 1 THEN replace(name, ' ', ' ' || chr(10)) ELSE name || '''s' END
+  || CASE WHEN article_id % 5 = 4 THEN ' oil' ELSE ' Drilling for (oil)' END AS body FROM named),
+padded AS (SELECT article_id, publish_date, ' ' || regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS body FROM company_news),
+ticker_cells AS (SELECT DISTINCT ticker, fpe, t, prev_ed FROM outlet_cells, registry),
+hits AS (SELECT c.ticker, c.fpe, a.article_id, a.publish_date, CAST(row_number() OVER (PARTITION BY c.ticker, c.fpe ORDER BY a.publish_date, a.article_id) AS INTEGER) AS "position" FROM ticker_cells c JOIN registry r USING (ticker)
+  JOIN padded a ON a.publish_date BETWEEN c.prev_ed AND c.t AND contains(a.body, ' ' || r.phrase || ' ') AND contains(a.body, ' oil ') AND contains(a.body, ' drilling ') QUALIFY "position" <= 75)""".replace("NAMES", "['" + "', '".join(params.NEWS_PHRASES.values()) + "']")
 VERDICTS = """verdicts AS (SELECT o_orderkey AS verdict_id, c_nationkey AS firm, last_day(CAST(date_trunc('quarter', CAST(o_orderdate AS DATE) - 20) AS DATE) + INTERVAL 2 MONTH) AS fpe,
   CASE o_orderstatus WHEN 'F' THEN ' Long ' WHEN 'O' THEN 'BUY' ELSE 'hold' END AS decision,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Strong' WHEN '2-HIGH' THEN ' high' WHEN '3-MEDIUM' THEN 'moderate' WHEN '5-LOW' THEN 'weak' END AS conviction_tier,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions import dates
 from pitspark.functions.rounding import rnd
-from pitspark.operators import pit
+from pitspark.operators import news, pit
 from pitspark.operators.core import asof_join
 from pitspark.plans import bindings as b
 from pitspark.plans import oracle_base as o
@@ -101,6 +101,22 @@ def c10(spark, sf):
     return got.select("outlet", "fpe", "article_id", "publish_date", "position")
 
 
+def _fetched(spark, sf):
+    return news.articles_for_cells(b.company_news(spark, sf), b.ticker_cells(spark, sf), *b.news_registry(spark), "ticker", ["ticker", "fpe"])
+
+
+@query("c10_news_by_ticker", f"""WITH {o.NEWS} SELECT ticker, fpe, article_id, publish_date, "position", "position" <= 30 AS used FROM hits""")
+def c10_news(spark, sf):
+    return _fetched(spark, sf).select("ticker", "fpe", "article_id", "publish_date", "position", "used")
+
+
+@query("c10_news_per_cell", f"""WITH {o.NEWS} SELECT c.ticker, c.fpe, count(h.article_id) AS n_articles_in_window, coalesce(string_agg(CAST(h.article_id AS VARCHAR), ',' ORDER BY h."position") FILTER (h."position" <= 30), '') AS used_ids
+ FROM ticker_cells c LEFT JOIN hits h USING (ticker, fpe) GROUP BY 1, 2""")
+def c10_cells(spark, sf):
+    got = news.news_per_cell(b.ticker_cells(spark, sf), _fetched(spark, sf), ["ticker", "fpe"])
+    return got.withColumn("used_ids", F.array_join(F.col("used_ids").cast("array<string>"), ","))
+
+
 @query("c11_available_at", f"WITH {o.SAR} SELECT pad_id, count(*) AS n, max(acq) AS last_acq FROM sar_obs WHERE acq + CAST(1 + scene_id % 5 AS INTEGER) <= DATE '1999-06-30' GROUP BY 1")
 def c11(spark, sf):
     obs = b.sar_obs(spark, sf).withColumn("published", F.date_add("acq", (F.col("scene_id") % 5 + 1).cast("int")))

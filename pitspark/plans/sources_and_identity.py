@@ -318,7 +318,8 @@ def b17(spark, sf):
  SELECT ticker, fiscal_year, CASE WHEN ticker IN ('T1', 'T5') THEN 1.0::DOUBLE ELSE share END AS fraction,
   CASE WHEN ticker IN ('T1', 'T5') THEN 'pure_play_default' WHEN filing_date IS NULL THEN 'manual' WHEN share IS NOT NULL THEN 'regex_table' ELSE 'llm_narrative' END AS method,
   CASE WHEN ticker NOT IN ('T1', 'T5') THEN filing_date END AS source_filing_date,
-  CASE WHEN ticker NOT IN ('T1', 'T5') AND filing_date IS NULL THEN 'No 10-K filed in CY ' || (fiscal_year + 1) || '.' ELSE '' END AS notes
+  CASE WHEN ticker IN ('T1', 'T5') THEN 'Pure-play Permian operator; assumed 100% Permian.' WHEN filing_date IS NULL THEN 'No 10-K filed in CY ' || (fiscal_year + 1) || '.'
+   WHEN share IS NOT NULL THEN 'Regex match on ''<X>% ... production''.' ELSE 'Regex did not match; pass excerpt to LLM with `llm_extract_permian_fraction_prompt`.' END AS notes
  FROM targets LEFT JOIN g USING (ticker, fiscal_year)""")
 def b18(spark, sf):
     k = F.col("page_id")
