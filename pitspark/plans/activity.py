@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pitspark import params
@@ -12,6 +14,8 @@ from pitspark.plans import bindings as b
 from pitspark.plans import oracle_base as o
 from pitspark.plans.point_in_time import MASKED
 from pitspark.plans.registry import query
+from pitspark.session import shared_folder
+from pitspark.sources import files
 
 CPM = f"{o.CELLS}, {o.PERMITS}, {MASKED}"
 PAD_CELLS = "pad_cells AS (SELECT c.firm, c.fpe, c.t, p.pad_id, p.completion_date FROM cells c JOIN permits p ON c.firm = p.firm WHERE p.permit_date <= c.t)"
@@ -180,6 +184,36 @@ def e11(spark, sf):
     return change.thin_coverage(b.sar_obs(spark, sf), b.permits(spark, sf), 80)
 
 
+PAD_YEARS = "pad_years AS (SELECT s.pad_id, CAST(year(acq) AS INTEGER) AS year, count(*) AS n, s.pad_id % 7 AS kind FROM sar_obs s JOIN permits p USING (pad_id) GROUP BY 1, 2, 4)"
+
+
+def cached_files(spark, sf):
+    """The observation files, written to the shared folder and listed again."""
+    folder = f"{shared_folder(spark)}/observation-files-{uuid.uuid4().hex}"
+    files.write_texts(b.observation_files(spark, sf), folder)
+    return files.read_texts(spark, folder)
+
+
+@query("e11_file_audit", f"""WITH {o.PERMITS}, {o.SAR}, {PAD_YEARS} SELECT CAST(pad_id AS VARCHAR) AS pad_id, year, CASE WHEN kind = 3 THEN 'no_json' WHEN kind = 5 THEN 'no_list' WHEN n + CAST(kind = 6 AS INTEGER) < 80 THEN 'too_few' ELSE 'fine' END AS status,
+ CASE WHEN kind IN (3, 5) THEN 0 ELSE n + CAST(kind = 6 AS INTEGER) END AS n_obs, CAST(CASE WHEN kind = 6 THEN 1 ELSE 0 END AS BIGINT) AS n_incomplete, kind NOT IN (3, 5, 6) AS readable FROM pad_years""")
+def e11_files(spark, sf):
+    return files.audit_observation_files(cached_files(spark, sf), 80).select("pad_id", "year", "status", "n_obs", "n_incomplete", "readable")
+
+
+@query("e11_file_audit_summary", f"""WITH {o.PERMITS}, {o.SAR}, {PAD_YEARS}, audit AS (SELECT year, CASE WHEN kind = 3 THEN 'no_json' WHEN kind = 5 THEN 'no_list' WHEN n + CAST(kind = 6 AS INTEGER) < 80 THEN 'too_few' ELSE 'fine' END AS status,
+ CASE WHEN kind IN (3, 5) THEN 0 ELSE n + CAST(kind = 6 AS INTEGER) END AS n_obs, kind FROM pad_years)
+ SELECT year, status, count(*) AS n_files, CAST(sum(n_obs) AS BIGINT) AS n_obs, count(*) FILTER (kind IN (3, 5)) AS n_issues, count(*) FILTER (kind IN (3, 5, 6)) AS n_unreadable FROM audit GROUP BY 1, 2""")
+def e11_files_summary(spark, sf):
+    return files.audit_summary(files.audit_observation_files(cached_files(spark, sf), 80))
+
+
+@query("a7_read_observation_files", f"""WITH {o.PERMITS}, {o.SAR} SELECT CAST(s.pad_id AS VARCHAR) AS pad_id, CAST(scene_id AS VARCHAR) AS scene_id, acq AS acquisition_date, rnd(vv_db, 6) AS vv_db, CAST(s.pad_id AS VARCHAR) || '_' || printf('%.4f', lat) || '_' || printf('%.4f', lon) || '_' || year(acq) AS in_file
+ FROM sar_obs s JOIN permits p USING (pad_id) WHERE s.pad_id % 7 NOT IN (3, 5, 6) QUALIFY row_number() OVER (PARTITION BY s.pad_id, scene_id ORDER BY year(acq), acq, vv) = 1""")
+def a7_files(spark, sf):
+    got = files.read_observations(cached_files(spark, sf))
+    return got.select("pad_id", "scene_id", "acquisition_date", rnd("vv_mean_db", 6).alias("vv_db"), F.regexp_extract("file", r"=([^/]+_\d{4})-01-01_", 1).alias("in_file"))
+
+
 @query("e11_coverage_by_firm", f"WITH {CPM}, {TRUTH}, activity AS ({rolled('truth', 'cells', 'truth')}) SELECT firm, count(*) AS n_aggregates, count(DISTINCT fpe) AS n_quarters FROM activity WHERE total_monitored > 0 GROUP BY 1")
 def e11_firm(spark, sf):
     return change.coverage_by_firm(change.observed_activity(b.permits(spark, sf), b.cells(spark, sf), None))

@@ -157,6 +157,22 @@ def sar_obs(spark, sf) -> DataFrame:
     )
 
 
+def observation_files(spark, sf) -> DataFrame:
+    """(name, text): a file per pad and year as a fetcher would cache it. By pad some are cut off, some are an
+    object instead of a list, and some hold a record without its values."""
+    obs = sar_obs(spark, sf).join(permits(spark, sf).select("pad_id", "lat", "lon"), "pad_id").withColumn("year", F.year("acq"))
+    record = F.struct(
+        F.col("pad_id").cast("string").alias("pad_id"), "lat", "lon", F.col("scene_id").cast("string").alias("scene_id"), F.date_format("acq", "yyyy-MM-dd").alias("acquisition_date"),
+        F.col("vv").alias("vv_mean_linear"), F.col("vv_db").alias("vv_mean_db"), F.col("vh").alias("vh_mean_linear"),
+    )
+    per = obs.groupBy("pad_id", "lat", "lon", "year").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("text"))
+    name = F.format_string("%d_%.4f_%.4f_%d-01-01_%d-12-31", "pad_id", "lat", "lon", "year", "year")
+    kind, text = F.col("pad_id") % 7, F.col("text")
+    broken = F.when(kind == 3, F.left(text, F.length(text) - 9)).when(kind == 5, F.concat(F.lit('{"observations":'), text, F.lit("}")))
+    short = F.when(kind == 6, F.concat(F.lit('[{"pad_id":"0"},'), F.substring(text, F.lit(2), F.length(text))))
+    return per.select(name.alias("name"), F.coalesce(broken, short, text).alias("text"))
+
+
 def articles(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("source").alias("outlet"), F.col("doc_id").alias("article_id"),
