@@ -19,10 +19,16 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
 
 
+def _literal(x) -> str:
+    """A string, number or truth value as SQL text."""
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else str(x)
+
+
 def lookup(key: Column, table: dict, default=None) -> Column:
     """A small fixed table as a literal map, so that no join is planned for it."""
-    entries = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.try_element_at(F.create_map(*entries), key)
+    found = F.try_element_at(F.expr(f"map({', '.join(_literal(x) for kv in table.items() for x in kv)})"), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

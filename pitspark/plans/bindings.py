@@ -6,6 +6,7 @@ the decision date ``t``. Every table here is a plain plan over whole input table
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pitspark import params
 from pitspark.functions import dates
 from pitspark.session import materialize
 
-_scopes: list[dict] = []
+_scopes: ContextVar[tuple[dict, ...]] = ContextVar("_scopes", default=())
 
 
 @contextmanager
@@ -23,11 +24,11 @@ def written_once(*names: str):
     """Within the block the named tables are written to the shared folder when first asked for, and
     every plan built in the block reads that one copy. A block inside another one shares the outer
     block's copies. Nothing is kept beyond the outermost block that named the table."""
-    _scopes.append(dict.fromkeys(names))
+    before = _scopes.set((*_scopes.get(), dict.fromkeys(names)))
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.reset(before)
 
 
 def derived(fn):
@@ -36,7 +37,7 @@ def derived(fn):
 
     @wraps(fn)
     def get(spark, sf):
-        scope = next((s for s in _scopes if name in s), None)
+        scope = next((s for s in _scopes.get() if name in s), None)
         if scope is None:
             return fn(spark, sf)
         if scope[name] is None:

@@ -19,8 +19,9 @@ from pitspark.plans import oracle_base as o
 from pitspark.plans.activity import CPM, TRUTH, noisy, relative, rolled
 from pitspark.plans.point_in_time import CAPS, EXITS, close_and_shares
 from pitspark.plans.registry import query
-from pitspark.session import materialize, shared_folder
+from pitspark.session import at_once, materialize, shared_folder
 from pitspark.sources import sinks
+from pitspark.sources.snapshots import BucketTable
 
 CP = f"{o.CELLS}, {o.PRICES}"
 
@@ -103,14 +104,24 @@ TRADING = (1, 2, 3, 4, 5, 6, 8, 9, 10)
 def strategy_signals(spark, sf, which=TRADING) -> DataFrame:
     """Stacked signals of the chosen strategies."""
     make = {1: dec.g1, 2: dec.g2, 3: dec.g3, 4: dec.g4, 5: dec.g5, 6: dec.g6, 8: dec.g8, 9: dec.g9, 10: dec.g10}
-    parts = [make[s](spark, sf).select(*pit.CELL, "direction", "size").withColumn("strategy", F.lit(s)) for s in which]
+    parts = at_once(*[lambda s=s: make[s](spark, sf).select(*pit.CELL, "direction", "size").withColumn("strategy", F.lit(s)) for s in which])
     return reduce(DataFrame.unionByName, parts)
 
 
 def trades(spark, sf, which=TRADING) -> DataFrame:
     """The ledger of the chosen strategies as a written table, since every report on it reads it
-    several times; the tables behind it are written once too."""
-    with b.written_once("cells", "prices", "macro", "fundq", "permits", "scored_cells", "panel"):
+    several times; the tables behind it are written once too, those that need no other at the same time."""
+    tables = {"cells": b.cells, "prices": b.prices}
+    if {1, 2, 4, 5} & set(which):
+        tables["macro"] = b.macro
+    if {1, 2} & set(which):
+        tables |= {"permits": b.permits}
+    if {9, 10} & set(which):
+        tables |= {"fundq": b.fundq}
+    later = ({"scored_cells": dec.scored_cells} if {1, 2} & set(which) else {}) | ({"panel": dec.panel} if {8, 9, 10} & set(which) else {})
+    with b.written_once(*tables, *later):
+        for wave in (tables, later):
+            at_once(*[lambda get=get: get(spark, sf) for get in wave.values()])
         return materialize(ledger.trade_ledger(strategy_signals(spark, sf, which), b.cells(spark, sf), b.prices(spark, sf)), "trades")
 
 
@@ -605,6 +616,18 @@ def l1_table(spark, sf):
     return spark.read.parquet(sinks.current_version(spark, path).folder).select("o_orderkey", "v")
 
 
+@query("l1_upsert_buckets", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders
+ UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+def l1_buckets(spark, sf):
+    """The same against a table in buckets: changed and new keys, then a snapshot to read."""
+    base = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("v"))
+    changed = base.where("o_orderstatus = 'P'")
+    store = BucketTable(spark, _folder(spark, "buckets"), 1 << 17)
+    store.create(base, ["o_orderkey"])
+    store.upsert(changed.withColumn("v", F.col("v") * 2).unionByName(changed.withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N")})))
+    return store.read()
+
+
 @query("l3_mirrored_writes", f"WITH {o.CELLS} SELECT 'parquet' AS kind, firm, fpe, ed FROM earnings UNION ALL SELECT 'csv', firm, fpe, ed FROM earnings")
 def l3(spark, sf):
     path = _folder(spark, "mirrored")

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import copy_context
+from functools import cache, partial
+from threading import Lock
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+T = TypeVar("T")
 
 
 def local_session(cores: str = "8", app: str = "pitspark") -> SparkSession:
@@ -40,6 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers, _before = Lock(), 0, None
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files go with the write that needed them. The setting is the session's, so it is set with the first
+    of several writes at once and put back with the last."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.unset(CLEANUP) if _before is None else spark.conf.set(CLEANUP, _before)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -48,13 +77,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     shuffle files behind the table are not needed after it, so Spark is told to remove them with it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` has written, once everything read from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def at_once(*steps: Callable[[], T]) -> list[T]:
+    """Results of steps that don't need each other, run from as many threads: small writes share the cluster instead
+    of waiting for each other, and plans are built while others are."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        return list(pool.map(lambda step: step(), [partial(copy_context().run, inheritable_thread_target(x)) for x in steps]))
