@@ -13,23 +13,27 @@ agree between strangers; they are signed only by sets with more than ``spare`` t
 of which one has no more than that still agree in a partition that isn't thin.
 
 **Links.** Exact copies have the same set; they are one class from the start (a 64-bit hash of set and size).
-Round one compares, in every signature group, each class with the group's smallest class only: a star, which
-is linear in the group. Members of a group that end up in different components may still be similar to each
-other, so round two compares what is left of these groups across components. In a group of near copies that
+Every signature group has a pivot, its smallest class: a star, which is linear in the group. Round one compares each
+class with the smallest of its pivots only, round two with the others where the two are in different components
+still. Members of a group that end up in different components may be similar to each other, so round three
+compares what is left of these groups across components. In a group of near copies that
 would be nearly all pairs, most of them not similar enough, so pairs are first held against two bounds that
 lose none: of two similar sets, each has an element of the other among its own rarest (``rare_elements``), and
 they differ in few cells of a sketch (``cells_apart``). Every comparison is exact, on the texts. So each link lies inside a component, and no group is cut or capped.
 
 Signature rows of one piece of input are reduced to the first class per signature before they are shuffled;
 the others of the piece become rows with a key of their own. So a signature that a third of all documents
-share has one row per piece in its task, and that task streams them.
+share has one row per piece in its task, and that task streams them. Signatures are shuffled in rounds, each with its
+own share of them, so that their shuffle files take about as much disk as the texts.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows without an id have
-no component and link with nothing. Repeated rows are copies. An empty table gives an empty one."""
+no component and link with nothing. Repeated rows are copies. Very long texts are pieces of their own; other columns
+may have any names. An empty table gives an empty one."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb, exp, sqrt
 
@@ -40,10 +44,11 @@ from pyspark.sql import functions as F
 
 from pitspark.llm.batches import Words, docs_only, mix, pieces, windows
 from pitspark.llm.components import connected_components
-from pitspark.session import materialize
+from pitspark.session import discard, materialize
 
 SEEN = 200_000
 LONGS = 16
+CARRIED = 128
 
 
 class Sets:
@@ -146,10 +151,10 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs_only(docs).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-def signatures(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def signatures(texts: DataFrame, n: int, num: int, den: int, rounds: int = 1, round_: int = 0) -> DataFrame:
     """(signature, class, local) rows of a table with a text column; ``local`` is the first class of the
     same piece with that signature, null if this is the first. A class met before in the task is skipped
-    (up to SEEN classes are remembered)."""
+    (up to SEEN classes are remembered). Of several rounds each deals with its own share of the signatures."""
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("local", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +168,7 @@ def signatures(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if own is not None and own not in seen:
                     seen.add(own)
                     s = np.unique(sign(x))
+                    s = s[s % np.uint64(rounds) == round_]
                     signed.append(s)
                     owner.append(np.full(len(s), own, np.int64))
             if not any(map(len, signed)):
@@ -224,28 +230,73 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def signature_rounds(members: DataFrame, docs: DataFrame, num: int, den: int) -> int:
+    """In how many rounds signatures are shuffled, so that those of one round take about as much as the texts.
+    A set of n elements has about 4 n (den - num) / den signatures, of 20 bytes or so each."""
+    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, round(shingles * 4 * (den - num) / den * 20 / max(1, size)))
+
+
 def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, class, component_id): component_id is the smallest doc_id reachable by links.
-    Classes are ids of equal sets. Intermediate tables go to the shared folder."""
+    Classes are ids of equal sets. Intermediate tables go to the shared folder and are removed once what is
+    read from them is written."""
     docs = docs_only(docs)
     members = materialize(classes(docs, n), "classes")
     known = members.where("doc_id is not null and class is not null")
     heads = known.groupBy("class").agg(F.min("doc_id").alias("head"))
 
-    signed = signatures(docs.where("doc_id is not null"), n, num, den)
-    shared = materialize(shared_signatures(signed), "shared")
+    with_id, rounds = docs.where("doc_id is not null"), signature_rounds(members, docs, num, den)
+    parts = [materialize(shared_signatures(signatures(with_id, n, num, den, rounds, k)), "shared") for k in range(rounds)]
+    shared = reduce(DataFrame.unionByName, parts)
     wanted = shared.select("class").union(shared.select(F.col("pivot").alias("class"))).distinct().join(heads, "class")
     texts = materialize(own_texts(docs.join(wanted, docs["doc_id"] == wanted["head"]).select("class", "text"), n), "texts")
     stars = materialize(shared.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    links = materialize(verified(stars, texts, n, num, den), "links")
-    parts = connected_components(links)
 
-    side = parts.select(F.col("node").alias("class"), "component")
+    # A class is in many groups with many pivots. Its smallest pivot comes first; the others are compared only
+    # where that has left the two apart.
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(verified(first, texts, n, num, den), "links")
+    near = connected_components(links)
+    apart = _across(stars, near)
+    more = materialize(verified(apart, texts, n, num, den), "links")
+    side = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+
     placed = shared.select("signature", "class").union(shared.select("signature", F.col("pivot").alias("class"))).join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
     residual = placed.join(split, "signature", "left_semi").select("class", "component").distinct()
     left_over = materialize(residual.join(texts, "class"), "residual")
-    rare = materialize(rare_elements(left_over, n, num, den).join(sketches(left_over, n), "class"), "rare")
+    discard(*parts)
+    elements = materialize(set_elements(left_over, n), "elements")
+    rare = materialize(rare_elements(elements, num, den).join(sketches(left_over, n), "class"), "rare")
+    discard(elements)
+    cross = materialize(residual_pairs(rare, num, den), "pairs")
+    discard(rare, left_over)
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "links")
+    final = connected_components(links.unionByName(more).unionByName(last)).select(F.col("node").alias("class"), "component")
+
+    placed_heads = heads.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = placed_heads.groupBy("component").agg(F.min("head").alias("component_id"))
+    by_class = materialize(placed_heads.join(smallest, "component").select("class", "component_id"), "components")
+    discard(texts, stars, links, more, cross, last)
+    out = members.join(by_class, "class", "left")
+    return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components; a node without one is its own."""
+    for x in "ab":
+        pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")), x, "left").withColumn(f"_c{x}", F.coalesce(f"_c{x}", x))
+    return pairs.where("_ca != _cb").select("a", "b")
+
+
+def residual_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of classes in different components that may be similar: they share a rare element, and neither their
+    sizes, nor the elements that only one of them has, nor their sketches rule it out. A pair is taken at the
+    smallest common one of the elements that both carry in ``rare``; where they have none there, at every common
+    element, of which one row is kept."""
     left, right = (rare.select("element", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "alone", "rare", "sketch")]) for x in "ab")
     total = F.col("size_a") + F.col("size_b")
     near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
@@ -253,17 +304,8 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     # What only one class has is in the union and not in the intersection.
     most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
     near = near & (most * den >= (most + F.col("alone_a") + F.col("alone_b")) * num)
-    once = F.array_min(F.array_intersect("rare_a", "rare_b")) == F.col("element")
-    cross = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near & once).select("a", "b")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "links")
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
-
-    placed_heads = heads.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = placed_heads.groupBy("component").agg(F.min("head").alias("component_id"))
-    by_class = placed_heads.join(smallest, "component").select("class", "component_id")
-    out = members.join(by_class, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    once = F.coalesce(F.array_min(F.array_intersect("rare_a", "rare_b")), F.col("element")) == F.col("element")
+    return left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near & once).select("a", "b").distinct()
 
 
 def sketches(texts: DataFrame, n: int) -> DataFrame:
@@ -298,12 +340,8 @@ def cells_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def rare_elements(residual: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(element, class, component, size, alone, rare): of each (class, component, text) row the rarest elements of its
-    set, as many as must hold one that any similar set counts among its own rarest. Similar sets share
-    num / den of the larger one, so that is all but this share of a set, and one more. Elements that a
-    single class has (``alone`` of them) count, but have no partner and are left out. ``rare`` lists all
-    kept elements of the class."""
+def set_elements(residual: DataFrame, n: int) -> DataFrame:
+    """(element, class, component, size): the elements of each (class, component, text) row."""
     schema = pa.schema([("element", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +352,21 @@ def rare_elements(residual: DataFrame, n: int, num: int, den: int) -> DataFrame:
             columns = [np.concatenate(found).view(np.int64), *(np.repeat(np.array(part.column(c).to_pylist(), np.int64), sizes) for c in ("class", "component")), np.repeat(sizes, sizes).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    elements = materialize(residual.select("class", "component", "text").mapInArrow(run, "element long, class long, component long, size int"), "elements")
+    return residual.select("class", "component", "text").mapInArrow(run, "element long, class long, component long, size int")
+
+
+def rare_elements(elements: DataFrame, num: int, den: int) -> DataFrame:
+    """(element, class, component, size, alone, rare): of each class the rarest elements of its set, as many as must
+    hold one that any similar set counts among its own rarest. Similar sets share num / den of the larger one, so
+    that is all but this share of a set, and one more. Elements that a single class has (``alone`` of them) count,
+    but have no partner and are left out. ``rare`` lists the first CARRIED of them, by element, so a row stays small
+    however long the text is."""
     common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = elements.join(common, "element")
     alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("class"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "element"))
     needed = F.col("size") - F.ceil(F.col("size") * num / den) + 1
     kept = shared.withColumns({"alone": alone, "_rank": rank}).where(F.col("alone") + F.col("_rank") <= needed)
-    return kept.select("element", "class", "component", "size", "alone", F.collect_list("element").over(Window.partitionBy("class")).alias("rare"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("element"))
+    carried = kept.withColumn("_place", place).groupBy("class").agg(F.collect_list(F.when(F.col("_place") <= CARRIED, F.col("element"))).alias("rare"))
+    return kept.join(carried, "class").select("element", "class", "component", "size", "alone", "rare")

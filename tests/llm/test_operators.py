@@ -446,3 +446,37 @@ def test_held_out_accuracy(spark):
     assert right[0] > 0.93 and right[1] > 0.98
     said = queries.languages(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert said.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_long_residual_texts_carry_bounded_lists(spark):
+    """Two texts of 100,000 words that are not quite similar enough, and a chain of near copies of them."""
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(40_000)}" for _ in range(100_000)]
+
+    def changed(share, seed):
+        r = random.Random(seed)
+        return " ".join(f"x{seed}_{i}" if r.random() < share else w for i, w in enumerate(base))
+
+    rows = [(0, changed(0, 0)), (1, changed(0.002, 1)), (2, changed(0.035, 2)), (3, changed(0.05, 3)), (4, "short text of five words more")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs, 5, 80, 100).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, 5, 80, 100)}
+    elements = ngram_join.set_elements(spark.createDataFrame([(i, i, t) for i, t in rows[:4]], "class long, component long, text string"), 5)
+    rare = ngram_join.rare_elements(elements, 80, 100)
+    assert rare.where(F.size("rare") > ngram_join.CARRIED).count() == 0 and rare.groupBy("class").count().agg(F.max("count")).first()[0] > 10_000
+
+
+def test_near_copies_make_one_star_per_class(spark):
+    """Every class of a group of near copies is compared with one pivot in round one."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        words[rng.randrange(120)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, 3, 90, 100)}
+    shared = ngram_join.shared_signatures(ngram_join.signatures(spark.createDataFrame(rows, DOCS), 3, 90, 100))
+    by_round = [ngram_join.shared_signatures(ngram_join.signatures(spark.createDataFrame(rows, DOCS), 3, 90, 100, 3, k)) for k in range(3)]
+    assert sum(x.count() for x in by_round) == shared.count()
