@@ -18,10 +18,10 @@ def unit_draw(key: Column) -> Column:
 
 
 def index_draw(key: Column, k: Column) -> Column:
-    """An index in 0..k-1 fixed by ``key``."""
-    return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint") % k
+    """An index in 0..k-1 fixed by ``key``, out of 60 bits: even for k far beyond the clusters of any study."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint") % k
 
 
-def hash_block(col: Column) -> Column:
-    """One of 256 blocks by hash, used to number keys without one global sort."""
+def hash_prefix(col: Column) -> Column:
+    """Two digits of a hash, by which keys are numbered before their own order."""
     return F.substring(F.md5(col.cast("string")), 1, 2)

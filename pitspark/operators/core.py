@@ -14,6 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitspark.functions.hashing import hash_prefix
+from pitspark.session import materialize
+
 SMALL_GROUP_ROWS = 1_000_000
 VALUE_BINS = 1024
 SALTS = 32
@@ -152,6 +155,14 @@ def block_scan(df: DataFrame, keys: Sequence[str], block: Sequence[str], order:
     return out.drop(*[f"_o_{k}" for k in [*sums, *maxes]])
 
 
+def range_blocks(df: DataFrame, order: Sequence[Column | str], block: str = "_block") -> DataFrame:
+    """The rows with the number of an ordered block each: sorted by range over the tasks of a shuffle, whose borders
+    Spark takes from the rows themselves, so blocks are about equally full whatever key, day or value is crowded.
+    Only rows that are equal in the whole order stay together. Borders come from a sample that a second run may draw
+    anew, so the numbered rows are written once; both the totals of the blocks and the rows are then read from there."""
+    return materialize(df.repartitionByRange(*order).withColumn(block, F.spark_partition_id()), "blocks")
+
+
 def value_bin(value: Column, lo: Column, hi: Column, bins: int = VALUE_BINS) -> Column:
     """Bin number that never falls as the value rises: equal steps on a signed log scale. It depends
     on the group's extremes only, so recomputing it after a lost executor gives the same bins."""
@@ -176,11 +187,10 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], item: str, out: str = "idx") -> DataFrame:
-    """Number the rows of each key 0,1,2,... in the order (hash block, item). ``item`` is unique in a key."""
-    from pitspark.functions.hashing import hash_block
-
-    blocked = df.withColumn("_hb", hash_block(F.col(item)))
-    return block_scan(blocked, keys, ["_hb"], [item], sums={out: F.lit(1).cast("bigint")}).withColumn(out, F.col(out) - 1).drop("_hb")
+    """Number the rows of each key 0,1,2,... in the order (hash prefix, item). ``item`` is unique in a key."""
+    prefix = hash_prefix(F.col(item))
+    blocked = range_blocks(df, [*keys, prefix, item])
+    return block_scan(blocked, keys, ["_block"], [prefix, item], sums={out: F.lit(1).cast("bigint")}).withColumn(out, F.col(out) - 1).drop("_block")
 
 
 def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float] | None = None, *, upper_median: str | None = None, extra: Mapping[str, Column] | None = None, small: int = SMALL_GROUP_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions import scoring
 from pitspark.operators import pit
-from pitspark.operators.core import asof_join, block_scan, group_summary
+from pitspark.operators.core import asof_join, block_scan, group_summary, range_blocks, with_scalar
 
 CAPITAL = 1_000_000.0
 
@@ -34,30 +34,23 @@ def trade_ledger(signals: DataFrame, cells: DataFrame, prices: DataFrame, capita
     return trade_pnl(rows, capital=capital, bps=bps)
 
 
-def _tie_block(trades: DataFrame, firm: str) -> Column:
-    """A coarse, order-preserving block of the firm id, so that one crowded entry day is split too."""
-    numeric = dict(trades.dtypes)[firm] in ("int", "bigint", "smallint", "tinyint")
-    return F.floor(F.col(firm) / 1024) if numeric else F.substring(firm, 1, 2)
-
-
 def equity_curve(trades: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Compound growth, its running maximum and the drawdown along entry dates (same day: by firm,
-    then quarter). The product is kept as a sum of logarithms with the sign and the number of zero
+    then quarter), in blocks of rows, so neither a strategy nor a crowded day meets in one task. The product is kept as a sum of logarithms with the sign and the number of zero
     factors apart, so a loss of 100 % or more is still right."""
     keys = list(keys)
     factor = 1.0 + F.col("net_return")
-    block = ["entry_date", "_tb"]
     order = ["entry_date", "firm", "fpe"]
-    rows = trades.withColumn("_tb", _tie_block(trades, "firm"))
+    rows = range_blocks(trades, [*keys, *order])
     sums = {
         "_ln": F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0),
         "_neg": F.when(factor < 0, 1).otherwise(0),
         "_zero": F.when(factor == 0, 1).otherwise(0),
     }
-    scanned = block_scan(rows, keys, block, order, sums=sums)
+    scanned = block_scan(rows, keys, ["_block"], order, sums=sums)
     sign = F.when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
     grown = scanned.withColumn("growth", F.when(F.col("_zero") > 0, 0.0).otherwise(sign * F.exp("_ln"))).drop(*sums)
-    peaked = block_scan(grown, keys, block, order, maxes={"running_max": F.col("growth")}).drop("_tb")
+    peaked = block_scan(grown, keys, ["_block"], order, maxes={"running_max": F.col("growth")}).drop("_block")
     return peaked.withColumn("drawdown", F.try_divide(F.col("growth") - F.col("running_max"), F.col("running_max")))
 
 
@@ -101,6 +94,26 @@ def benchmark_curves(series: DataFrame, start, end, capital: float = CAPITAL) ->
     return inside.join(base, "symbol").select("symbol", "d", (F.col("px") / F.col("_p0") * capital).alias("value"))
 
 
+def ledger_window(trades: DataFrame) -> DataFrame:
+    """One row: the first entry and the last exit of the ledger (NULLs without trades)."""
+    return trades.agg(F.min("entry_date").alias("_first"), F.max("exit_date").alias("_last"))
+
+
+def curves_over_ledger(series: DataFrame, trades: DataFrame, keys: Sequence[str] = ("strategy",), capital: float = CAPITAL) -> DataFrame:
+    """(symbol, d, value) over the ledger's own window: every benchmark scaled to the capital at its first price in
+    it, and the curve of each system on the benchmarks' days: the capital plus what its trades have made by their
+    exits. A system is named system_ and its keys."""
+    inside = with_scalar(series, ledger_window(trades)).where(F.col("d").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+    base = inside.groupBy("symbol").agg(F.min_by("px", "d").alias("_p0"))
+    benchmarks = inside.join(base, "symbol").select("symbol", "d", (F.col("px") / F.col("_p0") * capital).alias("value"))
+    # The benchmarks' days are calendar days, the systems the strategies of a study: their grid stays small.
+    days = inside.agg(F.collect_set("d").alias("_days"))
+    grid = with_scalar(trades.select(*keys).distinct(), days).select(*keys, F.explode("_days").alias("d"))
+    name = F.concat_ws("_", F.lit("system"), *[F.col(k).cast("string") for k in keys])
+    systems = step_equity(trades, grid, list(keys), capital).select(name.alias("symbol"), "d", "value")
+    return benchmarks.unionByName(systems)
+
+
 def step_equity(trades: DataFrame, grid: DataFrame, keys: Sequence[str], capital: float = CAPITAL) -> DataFrame:
     """Capital plus the net P&L of trades that have exited by each grid date. P&L is summed per exit
     day first; ``grid`` has (keys, d)."""

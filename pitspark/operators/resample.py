@@ -13,8 +13,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions.hashing import hash_block, index_draw
-from pitspark.operators.core import block_scan, dense_index
+from pitspark.functions.hashing import hash_prefix, index_draw
+from pitspark.operators.core import block_scan, dense_index, range_blocks
 
 ALL = "_all"
 
@@ -125,12 +125,12 @@ def holm_bonferroni(df: DataFrame, family: Sequence[str], p: str = "p", out: str
     """Step-down family-wise p-values: running maximum of (m - i + 1) p(i), at most 1."""
     family = list(family)
     # Equal p-values get the same adjusted value, so only distinct ones are ranked: the rank of the
-    # first of them is one more than the number of smaller ones. Blocks are steps of ln(p).
-    distinct = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_pb", F.floor(F.ln(F.greatest(F.col(p), F.lit(1e-300))) * 8))
+    # first of them is one more than the number of smaller ones.
+    distinct = range_blocks(df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c")), [*family, p])
     sizes = df.groupBy(*family).agg(F.count(p).alias("_m"))
-    counted = block_scan(distinct.join(sizes, family), family, ["_pb"], [p], sums={"_upto": F.col("_c")})
+    counted = block_scan(distinct.join(sizes, family), family, ["_block"], [p], sums={"_upto": F.col("_c")})
     scaled = (F.col("_m") - (F.col("_upto") - F.col("_c"))) * F.col(p)
-    stepped = block_scan(counted, family, ["_pb"], [p], maxes={out: scaled}).select(*family, p, F.least(out, F.lit(1.0)).alias(out))
+    stepped = block_scan(counted, family, ["_block"], [p], maxes={out: scaled}).select(*family, p, F.least(out, F.lit(1.0)).alias(out))
     return df.join(stepped, [*family, p], "left")
 
 
@@ -140,8 +140,9 @@ def placebo_shuffle(df: DataFrame, item: str, cols: Sequence[str], seed: str = "
     own, _ = _by(df.select(*rest), ())
     other, _ = _by(df.select(item, *cols), ())
     own = dense_index(own, [ALL], item)
-    shuffled = other.withColumn("_hb", hash_block(F.concat_ws("|", F.lit(seed), F.col(item).cast("string"))))
-    shuffled = block_scan(shuffled, [ALL], ["_hb"], [F.md5(F.concat_ws("|", F.lit(seed), F.col(item).cast("string"))), item], sums={"_i": F.lit(1).cast("bigint")})
+    salted = F.concat_ws("|", F.lit(seed), F.col(item).cast("string"))
+    order = [hash_prefix(salted), F.md5(salted), item]
+    shuffled = block_scan(range_blocks(other, order), [ALL], ["_block"], order, sums={"_i": F.lit(1).cast("bigint")})
     donor = shuffled.select((F.col("_i") - 1).alias("idx"), F.col(item).alias("donor"), *cols)
     return own.join(donor, "idx").drop("idx", ALL)
 
@@ -157,7 +158,9 @@ def control_universe(df: DataFrame, key: str, control: Sequence) -> DataFrame:
 
 
 def _det(m: list[list[Column]]) -> Column:
-    """Determinant as a sum over permutations; for the 3x3 and 4x4 systems below."""
+    """Determinant as a sum over permutations; for the small systems below."""
+    if not m:
+        return F.lit(1.0)
     total = None
     for perm in permutations(range(len(m))):
         odd = sum(perm[i] > perm[j] for i in range(len(perm)) for j in range(i + 1, len(perm))) % 2
@@ -169,39 +172,41 @@ def _det(m: list[list[Column]]) -> Column:
 
 
 def residual_alpha(df: DataFrame, keys: Sequence[str], order: str, y: str, xs: Sequence[str], lags: int = 4) -> DataFrame:
-    """Intercept of y on xs with a Newey-West t statistic. Cross products are one aggregate; the normal
+    """Intercept of y on xs with a Newey-West t statistic. Covariances are one aggregate; the normal
     equations are solved on the aggregated row; lagged products of scores need one window over the
-    periods of a key."""
-    keys = list(keys)
-    one = ["_1", *xs]
-    rows = df.withColumn("_1", F.lit(1.0)).where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *xs]))
-    pairs = [(i, j) for i in range(len(one)) for j in range(i, len(one))]
+    periods of a key. A key whose factors depend on each other has NULL estimates."""
+    keys, size = list(keys), range(len(xs))
+    rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *xs]))
+    # Spark's covariances are centred as they are summed, so a factor with a large mean and little spread stays exact.
     agg = rows.groupBy(*keys).agg(
-        *[F.sum(F.col(one[i]) * F.col(one[j])).alias(f"_x{i}{j}") for i, j in pairs], *[F.sum(F.col(c) * F.col(y)).alias(f"_y{i}") for i, c in enumerate(one)], F.count(F.lit(1)).alias("n"),
+        *[F.covar_pop(xs[i], xs[j]).alias(f"_x{i}{j}") for i in size for j in size if i <= j], *[F.covar_pop(c, y).alias(f"_y{i}") for i, c in enumerate(xs)],
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(xs)], F.avg(y).alias("_my"), F.count(F.lit(1)).alias("n"),
     )
-    xx = [[F.col(f"_x{min(i, j)}{max(i, j)}") for j in range(len(one))] for i in range(len(one))]
-    size = range(len(one))
+    xx = [[F.col(f"_x{min(i, j)}{max(i, j)}") for j in size] for i in size]
 
-    def minor(i: int, j: int) -> list[list[Column]]:
-        return [[xx[r][c] for c in size if c != j] for r in size if r != i]
+    def cofactor(i: int, j: int) -> Column:
+        return (1 if (i + j) % 2 == 0 else -1) * _det([[xx[r][c] for c in size if c != j] for r in size if r != i])
 
-    det = agg.withColumns({"_det": _det(xx), **{f"_c{i}{j}": (1 if (i + j) % 2 == 0 else -1) * _det(minor(i, j)) for i in size for j in size}})
     # A determinant is small against the product of its diagonal when columns nearly depend on each other.
-    det = det.where(F.abs("_det") > 1e-10 * reduce(Column.__mul__, [xx[i][i] for i in size]))
-    solved = det.select(
-        *keys, "n", *[(sum((F.col(f"_c{j}{i}") * F.col(f"_y{j}") for j in list(size)[1:]), F.col(f"_c0{i}") * F.col("_y0")) / F.col("_det")).alias(f"_b{i}") for i in size],
-        *[(F.col(f"_c{i}0") / F.col("_det")).alias(f"_a{i}") for i in size],
-    )
-    fitted = rows.join(solved, keys)
-    resid = F.col(y) - sum((F.col(f"_b{i}") * F.col(one[i]) for i in list(size)[1:]), F.col("_b0"))
-    load = sum((F.col(f"_a{i}") * F.col(one[i]) for i in list(size)[1:]), F.col("_a0"))
+    usable = F.abs("_det") > 1e-10 * reduce(Column.__mul__, [xx[i][i] for i in size])
+    det = agg.withColumns({"_det": _det(xx), **{f"_c{i}{j}": cofactor(i, j) for i in size for j in size}}).withColumn("_det", F.when(usable, F.col("_det")))
+
+    def solved_for(side: str, i: int) -> Column:
+        return reduce(Column.__add__, [F.col(f"_c{j}{i}") * F.col(f"{side}{j}") for j in size]) / F.col("_det")
+
+    solved = det.select(*keys, "n", "_my", *[f"_m{i}" for i in size], *[solved_for("_y", i).alias(f"_b{i}") for i in size], *[solved_for("_m", i).alias(f"_w{i}") for i in size])
+    dot = lambda a, b: reduce(Column.__add__, [a(i) * b(i) for i in size])
+    solved = solved.withColumn("_b", F.col("_my") - dot(lambda i: F.col(f"_b{i}"), lambda i: F.col(f"_m{i}")))
+    fitted = rows.join(solved.where("_b IS NOT NULL"), keys)
+    resid = F.col(y) - F.col("_b") - dot(lambda i: F.col(f"_b{i}"), lambda i: F.col(xs[i]))
+    load = (1.0 - dot(lambda i: F.col(xs[i]) - F.col(f"_m{i}"), lambda i: F.col(f"_w{i}"))) / F.col("n")
     scored = fitted.withColumn("_g", resid * load)
     w = Window.partitionBy(*keys).orderBy(order)
     weight = [(lag, 1.0 - lag / (lags + 1)) for lag in range(1, lags + 1)]
     cross = sum((F.coalesce(F.lag("_g", lag).over(w), F.lit(0.0)) * (2.0 * wt) for lag, wt in weight[1:]), F.coalesce(F.lag("_g", 1).over(w), F.lit(0.0)) * (2.0 * weight[0][1]))
     var = scored.withColumn("_v", F.col("_g") * (F.col("_g") + cross)).groupBy(*keys).agg(F.sum("_v").alias("_var"))
-    out = solved.join(var, keys)
-    return out.select(*keys, "n", F.col("_b0").alias("alpha"), *[F.col(f"_b{i + 1}").alias(f"beta_{x}") for i, x in enumerate(xs)], F.when(F.col("_var") > 0, F.col("_b0") / F.sqrt("_var")).alias("t_stat"))
+    out = solved.join(var, keys, "left")
+    return out.select(*keys, "n", F.col("_b").alias("alpha"), *[F.col(f"_b{i}").alias(f"beta_{x}") for i, x in enumerate(xs)], F.when(F.col("_var") > 0, F.col("_b") / F.sqrt("_var")).alias("t_stat"))
 
 
 def field_agreement(responses: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -216,13 +216,18 @@ def series(spark, sf) -> DataFrame:
     return m.select("d", "oil", F.col("rigs").cast("double").alias("rigs")).unpivot(["d"], ["oil", "rigs"], "symbol", "px")
 
 
-BENCH = f"{o.MACRO}, ser AS (SELECT 'oil' AS symbol, d, oil AS px FROM macro UNION ALL SELECT 'rigs', d, CAST(rigs AS DOUBLE) FROM macro), curve AS (SELECT symbol, d, px / first_value(px) OVER (PARTITION BY symbol ORDER BY d) * 1000000 AS value FROM ser WHERE d BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')"
+BENCH = f"""{LED}, win AS (SELECT min(entry_date) AS a, max(exit_date) AS z FROM led), ser AS (SELECT 'oil' AS symbol, d, oil AS px FROM macro UNION ALL SELECT 'rigs', d, CAST(rigs AS DOUBLE) FROM macro),
+inwin AS (SELECT ser.* FROM ser, win WHERE d BETWEEN a AND z), made AS (SELECT strategy, exit_date, sum(net_pnl) AS pnl FROM led GROUP BY 1, 2), made2 AS (SELECT strategy, exit_date, sum(pnl) OVER (PARTITION BY strategy ORDER BY exit_date) AS c FROM made),
+sysgrid AS (SELECT strategy, d FROM (SELECT DISTINCT strategy FROM led), (SELECT DISTINCT d FROM inwin)),
+curve AS (SELECT symbol, d, px / first_value(px) OVER (PARTITION BY symbol ORDER BY d) * 1000000 AS value FROM inwin
+ UNION ALL SELECT 'system_' || g.strategy, g.d, 1000000 + coalesce(c, 0) FROM sysgrid g ASOF LEFT JOIN made2 m ON g.strategy = m.strategy AND g.d >= m.exit_date)"""
 CURVE_MET = """cm0 AS (SELECT *, value / lag(value) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r, max(value) OVER (PARTITION BY symbol ORDER BY d) AS pk FROM curve),
-cm AS (SELECT symbol, max_by(value, d) / min_by(value, d) AS ratio, (max(d) - min(d)) / 365.25::DOUBLE AS yrs, avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE) AS sharpe, min((value - pk) / pk) AS max_drawdown, max_by(value, d) AS end_value FROM cm0 GROUP BY 1)"""
+cm AS (SELECT symbol, max_by(value, d) / min_by(value, d) AS ratio, (max(d) - min(d)) / 365.25::DOUBLE AS yrs, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252.0::DOUBLE) ELSE 0.0 END AS sharpe, min((value - pk) / pk) AS max_drawdown, max_by(value, d) AS end_value FROM cm0 GROUP BY 1)"""
 
 
 def curves(spark, sf):
-    return ledger.benchmark_curves(series(spark, sf), F.to_date(F.lit("1996-01-01")), F.to_date(F.lit("2000-12-31")))
+    """Benchmarks and systems from the first entry to the last exit, written as its metrics read it often."""
+    return materialize(ledger.curves_over_ledger(series(spark, sf), trades(spark, sf)), "curves")
 
 
 @query("i7_benchmark_curves", f"WITH {BENCH} SELECT symbol, d, rnd(value, 4) AS value FROM curve")
@@ -302,7 +307,7 @@ def boot_sql(source: str, cluster: str, by: str, n_iter: int = 1000, seed: int =
     """Replicates of a clustered bootstrap over a ledger-like relation, per group."""
     return f"""bc AS (SELECT {by}, {cluster} AS cl, count(*) AS n, count(*) FILTER (net_return > 0) AS wins, sum(net_return) AS s, sum(net_return * net_return) AS ss FROM {source} GROUP BY 1, 2),
 bi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS k FROM bc),
-bd AS (SELECT {by}, rep, ('0x' || substr(md5('{seed}|' || rep || '|' || idx), 1, 7))::BIGINT % k AS pick FROM bi, range({n_iter}) r(rep)),
+bd AS (SELECT {by}, rep, ('0x' || substr(md5('{seed}|' || rep || '|' || idx), 1, 15))::BIGINT % k AS pick FROM bi, range({n_iter}) r(rep)),
 br AS (SELECT d.{by}, d.rep, sum(n) AS n, sum(wins) AS wins, sum(s) AS s, sum(ss) AS ss FROM bd d JOIN bi ON bi.{by} = d.{by} AND bi.idx = d.pick GROUP BY 1, 2),
 boot AS (SELECT {by}, rep, wins / n AS hit_rate, s / n AS mean_return, CASE WHEN n < 2 OR ss - s * s / n <= ss * 1e-12 THEN 0 ELSE s / n / sqrt((ss - s * s / n) / (n - 1)) END AS sharpe FROM br)"""
 
@@ -397,7 +402,7 @@ def diff_sql(a: int, b: int) -> str:
     sums = ", ".join(f"count(*) FILTER (strategy = {k}{won}) AS {n}" for k, won, n in ((a, "", "na"), (a, " AND net_return > 0", "wa"), (b, "", "nb"), (b, " AND net_return > 0", "wb")))
     beyond = "avg(CASE WHEN round(diff - m + 0.03 - (ha - hb), 12) >= 0 THEN 1.0 ELSE 0.0 END)"
     return f"""hab AS (SELECT fpe AS cl, {sums} FROM led WHERE strategy IN ({a}, {b}) GROUP BY 1),
- hai AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER () AS k FROM hab), had AS (SELECT rep, ('0x' || substr(md5('0|' || rep || '|' || idx), 1, 7))::BIGINT % k AS pick FROM hai, range(1000) r(rep)),
+ hai AS (SELECT *, row_number() OVER (ORDER BY substr(md5(CAST(cl AS VARCHAR)), 1, 2), cl) - 1 AS idx, count(*) OVER () AS k FROM hab), had AS (SELECT rep, ('0x' || substr(md5('0|' || rep || '|' || idx), 1, 15))::BIGINT % k AS pick FROM hai, range(1000) r(rep)),
  har AS (SELECT rep, sum(wa) / sum(na) - sum(wb) / sum(nb) AS diff FROM had JOIN hai ON hai.idx = had.pick GROUP BY 1 HAVING sum(na) > 0 AND sum(nb) > 0), hobs AS (SELECT sum(wa) / sum(na) AS ha, sum(wb) / sum(nb) AS hb FROM hab HAVING sum(na) > 0 AND sum(nb) > 0),
  hc AS (SELECT avg(diff) AS m, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, count(*) AS n FROM har),
  h2 AS (SELECT ha AS hit_rate_a, hb AS hit_rate_b, ha - hb AS diff_obs, lo AS ci_low, hi AS ci_high, n AS n_iter, {beyond} AS p_value, {beyond} < 0.05 AS reject FROM har, hobs, hc GROUP BY ha, hb, lo, hi, n)"""

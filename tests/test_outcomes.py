@@ -79,7 +79,7 @@ def test_bootstrap_replicate_by_hand(spark):
     firms = sorted({r[1] for r in rows}, key=lambda f: (hashlib.md5(str(f).encode()).hexdigest()[:2], f))
     got = {r.rep: r for r in resample.replicate_stats(trades(spark, rows), "firm", 20, 0).collect()}
     for rep in range(20):
-        picks = [firms[int(hashlib.md5(f"0|{rep}|{s}".encode()).hexdigest()[:7], 16) % len(firms)] for s in range(len(firms))]
+        picks = [firms[int(hashlib.md5(f"0|{rep}|{s}".encode()).hexdigest()[:15], 16) % len(firms)] for s in range(len(firms))]
         sample = np.array([x[4] for f in picks for x in rows if x[1] == f])
         assert got[rep].hit_rate == pytest.approx((sample > 0).mean())
         assert got[rep].mean_return == pytest.approx(sample.mean())
