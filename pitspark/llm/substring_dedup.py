@@ -9,9 +9,10 @@ document with a smaller doc_id, or further up in the same one.
 2. **Confirmed passages.** The remaining windows are compared over all documents. In the first document of
    each window of several ids, runs of neighbouring recurring windows are merged into passages: the first copies
    of everything that recurs.
-3. **Automata.** Documents are dealt into shards of bounded size. A shard gets the passages that share an
-   anchor with one of its documents (or a window, where many passages share the anchor), cuts them into blocks of 10 words (every 20-word match holds a whole
-   block) and compiles these into one automaton over word symbols. All documents of the shard are streamed
+3. **Automata.** Documents are dealt into shards of bounded size. A shard gets the passages that share a
+   window with one of its documents (a window belongs to one passage, so routes are linear in the windows), cuts them
+   into blocks of 10 words (every 20-word match holds a whole block) and compiles these into one automaton over word
+   symbols. All documents of the shard are streamed
    through it; each hit is extended word by word in both directions, and a stretch of 20 words or more whose
    passage has a smaller doc_id is removed.
 
@@ -19,7 +20,7 @@ What a document repeats of itself is found in the document, by sorting its windo
 
 Whole copies are settled first by a hash of their words: all but the first are removed whole, if they have
 20 words. A passage that a third of all documents share is one row per shard; counting is aggregated in part
-before each shuffle, and the one join on anchors is split by the skew join.
+before each shuffle, windows to distinct shards before they meet their passage.
 
 Words are what spaces and the controls 0x09-0x0D separate, compared unchanged through 64-bit hashes. Null
 texts have no words and become "". Rows with the same id and text are the same document; other texts under
@@ -38,12 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm.batches import Words, docs_only, mix, pieces, windows
-from pitspark.session import materialize
+from pitspark.session import discard, materialize
 
 WINDOW = 20
 STRETCH = 6
 BLOCK = 10
-FEW = 4
 SHARD_BYTES = 2 << 20
 
 
@@ -112,32 +112,29 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def candidate_windows(staged: DataFrame) -> DataFrame:
-    """(window, anchor, doc_id, _text) of the windows with a recurring anchor."""
-    schema = pa.schema([("window", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("_text", pa.int64())])
+    """(window, doc_id, _text) of the windows with a recurring anchor, once per document."""
+    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("_text", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part, texts in pieces(batches):
             hashes, first = words(texts)
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], []]
             for doc, own_text, known, a, b in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist(), _lists(part.column("anchors")), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                starts = _chosen(hashes[a:b], known)
-                own, first_at = np.unique(windows(hashes[a:b], WINDOW)[starts], return_index=True)
-                marks = window_anchors(hashes[a:b])[starts[first_at]] if len(own) else own
-                for column, value in zip(out, (_signed(own), _signed(marks), np.full(len(own), doc), np.full(len(own), own_text)), strict=True):
+                own = np.unique(windows(hashes[a:b], WINDOW)[_chosen(hashes[a:b], known)])
+                for column, value in zip(out, (_signed(own), np.full(len(own), doc), np.full(len(own), own_text)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return staged.select("doc_id", "text", "_text", "anchors").mapInArrow(run, "window long, anchor long, doc_id long, _text long")
+    return staged.select("doc_id", "text", "_text", "anchors").mapInArrow(run, "window long, doc_id long, _text long")
 
 
-PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("anchors", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
+PASSAGE = pa.schema([("passage", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("windows", pa.list_(pa.int64()))])
 
 
 def first_passages(firsts: DataFrame) -> DataFrame:
-    """(passage, doc_id, start, words, anchors, windows): runs of neighbouring windows of ``windows`` in
-    the documents that hold them first, with each window's hash and anchor. ``firsts``: (doc_id, text,
-    _text, windows)."""
+    """(passage, doc_id, start, words, windows): runs of neighbouring windows of ``windows`` in the documents
+    that hold them first, with each window's hash. ``firsts``: (doc_id, text, _text, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -151,15 +148,15 @@ def first_passages(firsts: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
                 # Of a window that the document itself repeats only the first copy; periodic texts stay short.
                 starts = np.sort(starts[np.unique(own[starts], return_index=True)[1]])
-                split, marks = text.split(), window_anchors(hashes[a:b])
+                split = text.split()
                 for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     if len(run_):
                         s, e = int(run_[0]), int(run_[-1]) + WINDOW
                         name = mix(mix(np.array([own_text], np.int64).view(np.uint64)) + np.array([doc], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(s))
-                        rows.append((int(_signed(name)[0]), doc, s, b" ".join(split[s:e]), _signed(marks[run_]), _signed(own[run_])))
+                        rows.append((int(_signed(name)[0]), doc, s, b" ".join(split[s:e]), _signed(own[run_])))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(PASSAGE)], schema=PASSAGE)
 
-    return firsts.select("doc_id", "text", "_text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, anchors array<long>, windows array<long>")
+    return firsts.select("doc_id", "text", "_text", "windows").mapInArrow(run, "passage long, doc_id long, start int, words binary, windows array<long>")
 
 
 def _symbols(hashes: np.ndarray) -> str:
@@ -267,17 +264,11 @@ def _untouched(staged: DataFrame) -> DataFrame:
     return staged.select("doc_id", "text", "copy").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
 
-def _routes(passages: DataFrame, candidates: DataFrame, shard: Column) -> DataFrame:
-    """(passage, shard): where a document may hold 20 words of the passage. An anchor leads to the shards
-    of its documents, unless more than FEW passages have it, as when a common line is followed by
-    different texts. There the window decides, which belongs to one passage only."""
-    parts = passages.select("passage", F.explode(F.arrays_zip("anchors", "windows")).alias("w")).select("passage", F.col("w.anchors").alias("anchor"), F.col("w.windows").alias("window"))
-    many = parts.select("passage", "anchor").distinct().groupBy("anchor").count().where(F.col("count") > FEW).select("anchor")
-    by_anchor = parts.select("passage", "anchor").distinct().join(many, "anchor", "left_anti")
-    held = candidates.select(shard, F.explode("anchors").alias("anchor")).distinct()
-    seen = candidate_windows(candidates).join(many, "anchor", "left_semi").select("window", shard).distinct()
-    by_window = parts.join(many, "anchor", "left_semi").select("passage", "window").distinct()
-    return by_anchor.join(held, "anchor").select("passage", "shard").unionByName(by_window.join(seen, "window").select("passage", "shard")).distinct()
+def _routes(passages: DataFrame, seen: DataFrame, shard: Column) -> DataFrame:
+    """(passage, shard): where a document holds a window of the passage. A window that very many documents hold is
+    one row per shard, and has one passage."""
+    parts = passages.select("passage", F.explode("windows").alias("window"))
+    return parts.join(seen.select("window", shard).distinct(), "window").select("passage", "shard").distinct()
 
 
 def remove_repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -292,17 +283,20 @@ def remove_repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     of_doc = found.select("anchor", *document).join(recurring, "anchor").groupBy(*document).agg(F.collect_set("anchor").alias("anchors"))
     info = of_doc.join(copies, document, "full").select(*document, "copy", F.when(F.col("copy").isNull(), F.col("anchors")).alias("anchors"))
     staged = materialize(_hashed(docs).join(info, document, "left").select(*document, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "anchors"), "staged")
+    discard(marks)
     candidates = staged.where("anchors is not null and text is not null")
 
     # Of the texts under a window's smallest id one is enough: none of them precedes the others.
-    held = candidate_windows(candidates).groupBy("window").agg(F.min(F.struct(*document)).alias("first"), F.max("doc_id").alias("last"))
+    seen = materialize(candidate_windows(candidates), "windows")
+    held = seen.groupBy("window").agg(F.min(F.struct(*document)).alias("first"), F.max("doc_id").alias("last"))
     listed = held.where("first.doc_id < last").groupBy("first.doc_id", "first._text").agg(F.collect_list("window").alias("windows"))
     passages = materialize(first_passages(candidates.select(*document, "text").join(listed, document)), "passages")
 
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     shard = F.pmod(F.xxhash64(*document), F.lit(shards)).cast("int").alias("shard")
-    needed = _routes(passages, candidates, shard)
+    needed = materialize(_routes(passages, seen, shard), "routes")
+    discard(seen)
     routed = passages.select("passage", "doc_id", "words").join(needed, "passage")
     left = candidates.select("doc_id", "text", shard).groupBy("shard")
     right = routed.select("doc_id", "words", "shard").groupBy("shard")
