@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark import params
@@ -116,17 +116,38 @@ def apply_confusion(df: DataFrame, setting: str = "target", key: Sequence[str] =
 
 def sample_pads(permits: DataFrame, cells: DataFrame, n: int = 5) -> DataFrame:
     """Up to n pads per firm and quarter, dealt in turn from three cohorts in pad order: drilling
-    (permit in the last 180 days, not completed by q), completed in the last 730 days, completed
-    earlier. Each task keeps n pads per cohort before the shuffle."""
-    q = F.col("fpe")
-    done = F.col("completion_date")
-    cohort = (
-        F.when(F.col("permit_date").between(F.date_sub(q, 180), q) & (done.isNull() | (done > q)), 0)
-        .when(done.between(F.date_sub(q, 730), q), 1)
-        .when(done < F.date_sub(q, 730), 2)
-    )
-    rows = salted_join(cells.select(*CELL), permits, ["firm"], "pad_id").withColumn("cohort", cohort).where("cohort IS NOT NULL")
-    dealt = first_n(rows, [*CELL, "cohort"], ["pad_id"], n, "in_cohort")
+    (permit in the last 180 days, not completed by q), completed in the last 730 days, completed earlier.
+
+    Pads with the same firm, permit and completion days are in the same cohort of any quarter, so the first n of
+    them are all that can be chosen. The recent cohorts are windows of fixed length from such a day, joined by month.
+    The oldest one is open to the past: of pads that enter it in one calendar quarter again only the first n matter
+    later, and the first n of all quarters so far are carried along these few rows. So no quarter meets all permits of
+    a firm."""
+    q, done, fields = F.col("fpe"), F.col("completion_date"), ["pad_id", "permit_date", "completion_date"]
+    rows = cells.select(*CELL).distinct()
+    few = first_n(permits.select("firm", *fields), ["firm", "permit_date", "completion_date"], ["pad_id"], n).drop("_rn")
+    by_quarter = rows.select("firm", q.alias("_q")).distinct()
+
+    def recent(since: str, days: int, also: Column, cohort: int) -> DataFrame:
+        windows = few.where(F.col(since).isNotNull()).withColumns({"_a": F.col(since), "_b": F.date_add(since, days)})
+        hits = window_join(windows, by_quarter, ["firm"], "_a", "_b", "_q").where(also)
+        return hits.select("firm", F.col("_q").alias("fpe"), *fields, F.lit(cohort).alias("cohort"))
+
+    drilling = recent("permit_date", 180, done.isNull() | (done > F.col("_q")), 0)
+    completed = recent("completion_date", 730, F.lit(True), 1)
+
+    entering = few.where(done.isNotNull()).withColumns({"_in": F.date_add("completion_date", 731), "_e": dates.quarter_end(F.date_add("completion_date", 731))})
+    binned = first_n(entering, ["firm", "_e"], ["pad_id"], n).groupBy("firm", "_e").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_pads"))
+    bins = binned.select("firm", F.date_add("_e", 1).alias("_d"), F.lit(0).alias("_probe"), "_pads")
+    marks = bins.unionByName(by_quarter.select("firm", F.col("_q").alias("_d"), F.lit(1).alias("_probe")), allowMissingColumns=True)
+    so_far = F.collect_list("_pads").over(Window.partitionBy("firm").orderBy("_d", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    merged = F.reduce(so_far, F.array().cast(binned.schema["_pads"].dataType), lambda got, more: F.slice(F.array_sort(F.concat(got, more)), 1, n))
+    before = marks.withColumn("_pads", merged).where("_probe = 1").select("firm", F.col("_d").alias("fpe"), F.inline("_pads"))
+    within = by_quarter.withColumn("_e", dates.quarter_end("_q")).join(entering, ["firm", "_e"]).where(F.col("_in") <= F.col("_q")).select("firm", F.col("_q").alias("fpe"), *fields)
+    oldest = before.unionByName(within).withColumn("cohort", F.lit(2))
+
+    pads = drilling.unionByName(completed).unionByName(oldest)
+    dealt = first_n(rows.join(pads, ["firm", "fpe"]), [*CELL, "cohort"], ["pad_id"], n, "in_cohort")
     return first_n(dealt, CELL, ["in_cohort", "cohort"], n, "deal")
 
 
@@ -232,11 +253,24 @@ def confusion_report(df: DataFrame, truth: str = "truth", observed: str = "obser
     return table.withColumn("recall", F.col("hits") / F.col("n"))
 
 
+def active_quarters(permits: DataFrame) -> DataFrame:
+    """(firm, pad_id, permit_date, quarter, state): the at most nine quarters in which a pad is newly or continuously
+    active by its filings: the one of its spud date, and the eight after that of its completion. What holds in each
+    is decided by the rule for any quarter."""
+    fields = ["firm", "pad_id", "permit_date", "spud_date", "completion_date"]
+    after = [dates.quarter_end(F.add_months("completion_date", 3 * k)) for k in range(1, 9)]
+    near = permits.select(*fields, F.explode(F.array_distinct(F.array(dates.quarter_end(F.col("spud_date")), *after))).alias("fpe")).where("fpe IS NOT NULL")
+    return truth_state(near).where(F.col("truth") != IDLE).select("firm", "pad_id", "permit_date", F.col("fpe").alias("quarter"), F.col("truth").alias("state"))
+
+
 def active_pads_at(panel: DataFrame, cells: DataFrame, lag_days: int = 90) -> DataFrame:
-    """Pads permitted by T that are active in the quarter holding T - 90 days."""
+    """Pads permitted by T that are active in the quarter holding T - 90 days. ``panel`` has (firm, quarter, pad_id,
+    permit_date, state). Pads are counted per firm, quarter and permit day before they meet the cells, so a firm's
+    cell joins a row per day at most."""
     probe = cells.select(*CELL, dates.quarter_end(F.date_sub("t", lag_days)).alias("quarter"))
-    active = panel.where(F.col("state").isin(NEW, CONT)).select("firm", "quarter", "permit_date", "pad_id")
-    hits = probe.join(active, ["firm", "quarter"]).where("permit_date <= t").groupBy(*CELL).agg(F.count_distinct("pad_id").alias("n_active"))
+    active = panel.where(F.col("state").isin(NEW, CONT)).groupBy("firm", "quarter", "pad_id").agg(F.min("permit_date").alias("permit_date"))
+    daily = active.groupBy("firm", "quarter", "permit_date").agg(F.count(F.lit(1)).alias("_n"))
+    hits = probe.join(daily, ["firm", "quarter"]).where("permit_date <= t").groupBy(*CELL).agg(F.sum("_n").alias("n_active"))
     return cells.select(*CELL).join(hits, CELL, "left").na.fill(0, ["n_active"])
 
 

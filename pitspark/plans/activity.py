@@ -238,8 +238,8 @@ def e13(spark, sf):
  SELECT c.firm, c.fpe, c.t, count(DISTINCT p.pad_id) AS n_active FROM cells c LEFT JOIN panel p ON p.firm = c.firm AND p.quarter = last_day(CAST(date_trunc('quarter', c.t - 90) AS DATE) + INTERVAL 2 MONTH) AND p.permit_date <= c.t GROUP BY 1, 2, 3""")
 def e14(spark, sf):
     cells = b.cells(spark, sf)
-    panel = change.truth_state(salted_join(cells.select("firm", "fpe").distinct(), b.permits(spark, sf), ["firm"], "pad_id"))
-    panel = panel.select("firm", F.col("fpe").alias("quarter"), "pad_id", "permit_date", F.col("truth").alias("state"))
+    own = cells.select("firm", F.col("fpe").alias("quarter")).distinct()
+    panel = change.active_quarters(b.permits(spark, sf)).join(own, ["firm", "quarter"], "left_semi")
     return change.active_pads_at(panel, cells)
 
 
