@@ -84,12 +84,16 @@ def canonical_text(col: str, dtype: str) -> Column:
     return F.col(col).cast("string")
 
 
-def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Row count and order-free content hash of a table over all its columns: row hashes are summed as
-    decimals, so neither order nor partitioning matters and the sum cannot overflow. A row's text has
-    each column's name and its value with the value's length, or "null", so no two rows read alike."""
+def row_hash(df: DataFrame) -> Column:
+    """A 60-bit hash of a row as a decimal. A row's text has each column's name and its value with the value's
+    length, or "null", so no two rows read alike."""
     texts = [(c, canonical_text(c, t)) for c, t in df.dtypes]
     text = F.concat(*[F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null"))) for c, t in texts])
-    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
-    total = F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
+    """Row count and order-free content hash of a table over all its columns: row hashes are summed as
+    decimals, so neither order nor partitioning matters and the sum cannot overflow."""
+    total = F.coalesce(F.sum(row_hash(df)), F.lit(0).cast("decimal(38,0)")).cast("string")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("content_hash")).select(F.lit(name).alias("table_name"), "n_rows", "content_hash")

@@ -21,6 +21,7 @@ from pitspark.plans.point_in_time import CAPS, EXITS, close_and_shares
 from pitspark.plans.registry import query
 from pitspark.session import at_once, materialize, shared_folder
 from pitspark.sources import sinks
+from pitspark.sources.runs import InputManifest, RunLog
 from pitspark.sources.snapshots import BucketTable
 
 CP = f"{o.CELLS}, {o.PRICES}"
@@ -597,6 +598,20 @@ def k7_portable(spark, sf):
     return reduce(DataFrame.unionByName, [quality.table_fingerprint(b.table(spark, sf, n).select(*c.split()), n) for n, c in PRINTED.items()])
 
 
+@query("k7_run_drift", """SELECT 'orders' AS table_name, count(*) AS rows_before, count(*) + count(*) FILTER (o_orderstatus = 'P') AS rows_after, CAST(1 AS BIGINT) AS files_added, CAST(0 AS BIGINT) AS files_removed, CAST(0 AS BIGINT) AS files_changed, false AS same FROM orders
+ UNION ALL SELECT 'customer', count(*), count(*), 0, 0, 0, true FROM customer""")
+def k7_drift(spark, sf):
+    """Two recorded runs: between them one table has got another file, of which only that is read again."""
+    folders = {n: f"{_folder(spark, 'inputs')}/{n}" for n in ("orders", "customer")}
+    for n, folder in folders.items():
+        b.table(spark, sf, n).repartition(4).write.parquet(folder)
+    manifest = InputManifest(spark, _folder(spark, "manifest"))
+    manifest.record("first", folders)
+    b.table(spark, sf, "orders").where("o_orderstatus = 'P'").coalesce(1).write.mode("append").parquet(folders["orders"])
+    manifest.record("second", folders)
+    return manifest.drift("first", "second")
+
+
 # --- L. set operations around sinks
 
 
@@ -694,3 +709,15 @@ def l10(spark, sf):
 def l11(spark, sf):
     cells = b.cells(spark, sf).select(*pit.CELL)
     return sinks.pending(cells, cells.where(F.year("fpe") < 1999), ["firm", "fpe"])
+
+
+@query("l11_resume_after_crash", f"""WITH {o.CELLS} SELECT firm, fpe, t, CASE WHEN firm % 13 = 5 THEN 'no_trade' ELSE 'long' END AS direction, CASE WHEN firm % 13 = 5 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END AS size, CASE WHEN firm % 13 = 5 THEN 'no data' ELSE '' END AS error FROM cells""")
+def l11_crash(spark, sf):
+    """A run over the earlier cells that is published, one over all that stops before it is, and its repetition."""
+    cells = b.cells(spark, sf)
+    log = RunLog(spark, _folder(spark, "runs"), pit.CELL)
+    failed = F.when(F.col("firm") % 13 == 5, "no data")
+    log.run(cells.where(F.year("fpe") < 1997), signals.equal_weight, failed)
+    log.stage(sinks.with_errors(signals.equal_weight(log.pending(cells)), failed))
+    log.run(cells, signals.equal_weight, failed)
+    return log.results().select(*pit.CELL, "direction", "size", "error")
