@@ -144,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     web = thinned(texts.where(learn).withColumn("label", F.lit(0)), "label", {0: unlabelled}, seed=99).drop("label")
     # The list of sampled ids has ``positives`` rows in the mean, so it is safe to broadcast.
     rows = [measure(part).toArrow() for part in (texts.join(F.broadcast(good.select("doc_id")), "doc_id"), web)]
-    x, u = (np.array(sorted(zip(r.column("doc_id").to_pylist(), r.column("x").to_pylist(), strict=True)), dtype=object) for r in rows)
-    if not len(x) or not len(u):
+    # In an order of their own, as rows may come in any; rows without an id come last.
+    x, u = (sorted(zip(r.column("doc_id").to_pylist(), r.column("x").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for r in rows)
+    if not x or not u:
         return None
     return train(np.array([r[1] for r in x], float), np.array([r[1] for r in u], float))
 

@@ -13,7 +13,8 @@ the dictionary with those, and held-out AUC stayed under 0.82, against 0.98 here
 
 The model is fitted on a sample of at most about ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled documents.
 Null and empty texts get the score of a text without windows. Rows are independent; with no labels of one
-kind every score is that kind's absence (0.0 without toxic rows)."""
+kind every score says the other one: 0.0 without toxic rows, 1.0 without ordinary ones. Other columns may have any
+names; a very long text is scored whole; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -89,11 +90,12 @@ class Distance:
         return [*(c / len(saved) for c in counts), *(np.log1p(c) for c in counts), float(top.mean()), float(saved.max()), float(saved.mean()), float(np.log1p(len(words)))]
 
 
-def train(rows: list[tuple[int, bytes, int]]) -> Model | None:
-    """``rows``: (doc_id, text, label). Every third text is kept back for the calibration."""
+def train(rows: list[tuple[int, bytes, int]]) -> Model | float:
+    """``rows``: (doc_id, text, label). Every third text is kept back for the calibration. With labels of one kind
+    only, the score that all texts get."""
     toxic, ordinary = ([t for _, t, label in rows if (label == 1) == kind] for kind in (True, False))
     if not toxic or not ordinary:
-        return None
+        return 1.0 if toxic else 0.0
     back = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     toxic, ordinary = [t for i, t in enumerate(toxic) if i % 3] or toxic, [t for i, t in enumerate(ordinary) if i % 3] or ordinary
     in_toxic, in_ordinary, often, often_toxic = Counter(), Counter(), Counter(), Counter()
@@ -119,11 +121,11 @@ def train(rows: list[tuple[int, bytes, int]]) -> Model | None:
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """(doc_id, score): probability that the text is toxic."""
     docs = docs_only(docs)
-    if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    if isinstance(model, float):
+        return docs.select("doc_id", F.lit(model).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,5 +139,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | float:
     return train(labelled_texts(docs, labels, label, learn, {1: toxic_rows, 0: ordinary_rows}, seed=1))
