@@ -1,7 +1,13 @@
 """The corpus pipeline: each stage takes the documents that the one before it kept.
 
-Part of subpackage ``pitspark.llm``. Every stage but the last returns the columns of ``documents``; each
-stage's result is written as Parquet and read again."""
+Part of subpackage ``pitspark.llm``. Every stage but the last returns the columns of ``documents`` (doc_id, text,
+lang, source, n_chars, as far as its input has them); each stage's result is written as Parquet and read again.
+
+Other columns of the input are left out, whatever their names. A null text is scored as an empty one, has no lines,
+no shingles, no benchmark words and no tokens. Rows without an id are never copies of another row and lose only what
+they repeat themselves. Rows that share an id are judged row by row, but the near-duplicate stage keeps or drops an
+id with all its rows; repeated rows lose their repeated lines like any copy. Very long texts are handled whole. Empty
+tables go through as empty ones; without labels of one kind the classifier keeps every row."""
 
 from __future__ import annotations
 
