@@ -25,21 +25,36 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]
 RULES: list[Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The labelled table: kinds of unwanted and of ordinary sites, by the two words their hosts are made of.
-BLOCKED_HOSTS = [
-    "spam-farm", "spam-links", "link-farm", "cheap-pills", "cheap-meds", "diet-pills", "casino-win", "casino-slots", "poker-win", "free-bets",
-    "free-casino", "sports-bets", "adult-x", "adult-cams", "xxx-adult", "ads-track", "ads-click", "track-pixel", "click-bait", "fast-loans",
-]
-ORDINARY_HOSTS = [
-    "city-library", "open-atlas", "north-times", "river-school", "garden-notes", "the-kitchen", "star-chart", "train-times", "math-forum", "wood-works",
-    "ththere", "therand", "thering", "tioning", "nation", "station", "thother", "thenand", "thernon", "theatre",
-]
+#: Words that names of unwanted and of ordinary sites are made of, in general use.
+UNWANTED_WORDS = (
+    "casino poker slots jackpot roulette blackjack betting bets bingo lottery wager bonus pills pharma meds viagra steroids diet slimming loans payday cash "
+    "credit debt forex crypto profit earn porn xxx adult sex cams nude escort dating hookup spam links seo backlinks farm clicks popup tracker ads banner "
+    "traffic cheap free win prize deals replica fake crack warez torrent keygen hack clickbait gossip"
+).split()
+ORDINARY_WORDS = (
+    "library museum school college garden kitchen recipe history science math physics biology music guitar piano theatre cinema poetry novel atlas map river "
+    "mountain forest weather climate energy solar engine bicycle railway airport harbor city village council court clinic hospital dentist nursery farmhouse "
+    "bakery coffee tea wine cheese bread pottery knitting carpentry painting camera astronomy chess football tennis sailing hiking news times journal gazette"
+).split()
+PER_WORD = 4
+
+
+def hosts_of(words: Sequence[str], per_word: int = PER_WORD) -> list[str]:
+    """Names of two words: each with the ``per_word`` words at set distances from it, joined by a hyphen or directly."""
+    n = len(words)
+    return [f"{w}{'-' if (i + k) % 2 else ''}{words[(i + 5 * k + 3) % n]}" for i, w in enumerate(words) for k in range(per_word)]
+
+
+def urls_of(hosts: Sequence[str]) -> list[str]:
+    """A url for each name, in one of a few forms that say nothing about its label."""
+    forms = ("http://{}.com/en/1.html", "https://www.{}.org/de/20", "http://m.{}.net/fr/300/", "https://blog.{}.com/es/44?page=2", "https://{}.org/about", "http://shop.{}.net/")
+    return [forms[i * 7 // 3 % len(forms)].format(h) for i, h in enumerate(hosts)]
 
 
 def default_table() -> list[tuple[str, int]]:
-    """Urls of the listed hosts with and without a subdomain, in a few languages and page forms."""
-    forms = ("http://{}.example.com/en/1.html", "https://www.{}.example.org/de/20", "http://m.{}.example.net/fr/300/", "https://blog.{}.example.com/es/44?page=2")
-    return [(form.format(h), label) for hosts, label in ((BLOCKED_HOSTS, 1), (ORDINARY_HOSTS, 0)) for h in hosts for form in forms]
+    """Several hundred labelled urls (1 = block) whose names are built from the two lists. They are chosen without a
+    look at any table of pages."""
+    return [(url, label) for label, words in ((1, UNWANTED_WORDS), (0, ORDINARY_WORDS)) for url in urls_of(hosts_of(words))]
 
 
 def host_of(url: Column) -> Column:
