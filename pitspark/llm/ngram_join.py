@@ -267,20 +267,22 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
     residual = placed.join(split, "signature", "left_semi").select("class", "component").distinct()
     left_over = materialize(residual.join(texts, "class"), "residual")
-    discard(*parts)
+    discard(*parts, texts)
     elements = materialize(set_elements(left_over, n), "elements")
-    rare = materialize(rare_elements(elements, num, den).join(sketches(left_over, n), "class"), "rare")
+    common = materialize(common_elements(elements), "common")
     discard(elements)
+    rare = materialize(rare_elements(common, sketches(left_over, n), num, den), "rare")
+    discard(common)
     cross = materialize(residual_pairs(rare, num, den), "pairs")
-    discard(rare, left_over)
+    discard(rare)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "links")
+    last = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), left_over, n, num, den), "links")
     final = connected_components(links.unionByName(more).unionByName(last)).select(F.col("node").alias("class"), "component")
 
     placed_heads = heads.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = placed_heads.groupBy("component").agg(F.min("head").alias("component_id"))
     by_class = materialize(placed_heads.join(smallest, "component").select("class", "component_id"), "components")
-    discard(texts, stars, links, more, cross, last)
+    discard(left_over, stars, links, more, cross, last)
     out = members.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -308,25 +310,26 @@ def residual_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
     return left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near & once).select("a", "b").distinct()
 
 
-def sketches(texts: DataFrame, n: int) -> DataFrame:
-    """(class, sketch): the domain cut into 16 * LONGS cells, and four bits of hash of what a set has in
-    each. Cells that differ hold different elements, so their number is a lower bound of the elements that
-    two sets don't share."""
+def sketches(residual: DataFrame, n: int) -> DataFrame:
+    """(class, component, size, sketch) of each (class, component, text) row: the domain cut into 16 * LONGS cells,
+    and four bits of hash of what a set has in each. Cells that differ hold different elements, so their number is a
+    lower bound of the elements that two sets don't share."""
     cells = 16 * LONGS
-    schema = pa.schema([("class", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32()), ("sketch", pa.list_(pa.int64()))])
     places = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
         for part, raw in pieces(batches):
-            found = []
+            found, sizes = [], []
             for x in sets(raw):
                 sums = np.zeros(cells, np.uint64)
                 np.add.at(sums, (mix(x + np.uint64(5)) % np.uint64(cells)).astype(np.int64), mix(x))
                 found.append(((mix(sums) >> np.uint64(60)).reshape(LONGS, 16) << places).sum(1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([part.column("class"), part.column("component"), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
-    return texts.select("class", "text").mapInArrow(run, "class long, sketch array<long>")
+    return residual.select("class", "component", "text").mapInArrow(run, "class long, component long, size int, sketch array<long>")
 
 
 def cells_apart(a: Column, b: Column) -> Column:
@@ -341,32 +344,33 @@ def cells_apart(a: Column, b: Column) -> Column:
 
 
 def set_elements(residual: DataFrame, n: int) -> DataFrame:
-    """(element, class, component, size): the elements of each (class, component, text) row."""
-    schema = pa.schema([("element", pa.int64()), ("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32())])
+    """(element, class): the elements of each (class, text) row."""
+    schema = pa.schema([("element", pa.int64()), ("class", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
         for part, raw in pieces(batches):
             found = sets(raw)
-            sizes = np.array([len(x) for x in found])
-            columns = [np.concatenate(found).view(np.int64), *(np.repeat(np.array(part.column(c).to_pylist(), np.int64), sizes) for c in ("class", "component")), np.repeat(sizes, sizes).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    return residual.select("class", "component", "text").mapInArrow(run, "element long, class long, component long, size int")
-
-
-def rare_elements(elements: DataFrame, num: int, den: int) -> DataFrame:
-    """(element, class, component, size, alone, rare): of each class the rarest elements of its set, as many as must
-    hold one that any similar set counts among its own rarest. Similar sets share num / den of the larger one, so
-    that is all but this share of a set, and one more. Elements that a single class has (``alone`` of them) count,
-    but have no partner and are left out. ``rare`` lists the first CARRIED of them, by element, so a row stays small
-    however long the text is."""
-    common = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = elements.join(common, "element")
-    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("class"))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "element"))
+            owner = np.repeat(np.array(part.column("class").to_pylist(), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(owner)], schema=schema)
+
+    return residual.select("class", "text").mapInArrow(run, "element long, class long")
+
+
+def common_elements(elements: DataFrame) -> DataFrame:
+    """(element, class, n) of the elements that n classes have, two or more."""
+    return elements.join(elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "element")
+
+
+def rare_elements(common: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """(element, class, component, size, sketch, alone, rare): of each class the rarest elements of its set, as many as
+    must hold one that any similar set counts among its own rarest. Similar sets share num / den of the larger one, so
+    that is all but this share of a set, and one more. Elements that a single class has (``alone`` of them) count, but
+    have no partner and are left out. ``rare`` lists the first CARRIED of them, by element, so a row stays small however
+    long the text is."""
+    placed = common.withColumns({"_held": F.count(F.lit(1)).over(Window.partitionBy("class")), "_rank": F.row_number().over(Window.partitionBy("class").orderBy("n", "element"))})
     needed = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    kept = shared.withColumns({"alone": alone, "_rank": rank}).where(F.col("alone") + F.col("_rank") <= needed)
+    kept = placed.join(sides, "class").withColumn("alone", (F.col("size") - F.col("_held")).cast("int")).where(F.col("alone") + F.col("_rank") <= needed)
     place = F.row_number().over(Window.partitionBy("class").orderBy("element"))
     carried = kept.withColumn("_place", place).groupBy("class").agg(F.collect_list(F.when(F.col("_place") <= CARRIED, F.col("element"))).alias("rare"))
-    return kept.join(carried, "class").select("element", "class", "component", "size", "alone", "rare")
+    return kept.join(carried, "class").select("element", "class", "component", "size", "sketch", "alone", "rare")

@@ -463,8 +463,8 @@ def test_long_residual_texts_carry_bounded_lists(spark):
     docs = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs, 5, 80, 100).collect()}
     assert got == {d: c for d, _, c in brute_components(rows, 5, 80, 100)}
-    elements = ngram_join.set_elements(spark.createDataFrame([(i, i, t) for i, t in rows[:4]], "class long, component long, text string"), 5)
-    rare = ngram_join.rare_elements(elements, 80, 100)
+    left_over = spark.createDataFrame([(i, i, t) for i, t in rows[:4]], "class long, component long, text string")
+    rare = ngram_join.rare_elements(ngram_join.common_elements(ngram_join.set_elements(left_over, 5)), ngram_join.sketches(left_over, 5), 80, 100)
     assert rare.where(F.size("rare") > ngram_join.CARRIED).count() == 0 and rare.groupBy("class").count().agg(F.max("count")).first()[0] > 10_000
 
 
