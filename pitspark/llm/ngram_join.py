@@ -23,8 +23,8 @@ they differ in few cells of a sketch (``cells_apart``). Every comparison is exac
 
 Signature rows of one piece of input are reduced to the first class per signature before they are shuffled;
 the others of the piece become rows with a key of their own. So a signature that a third of all documents
-share has one row per piece in its task, and that task streams them. Signatures are shuffled in rounds, each with its
-own share of them, so that their shuffle files take about as much disk as the texts.
+share has one row per piece in its task, and that task streams them. Signatures, and later the elements of what is left, are
+shuffled in rounds, each with its own share of them, so that their shuffle files take about as much disk as the texts.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows without an id have
 no component and link with nothing. Repeated rows are copies. Very long texts are pieces of their own; other columns
@@ -269,10 +269,11 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     left_over = materialize(residual.join(texts, "class"), "residual")
     discard(*parts, texts)
     elements = materialize(set_elements(left_over, n), "elements")
-    common = materialize(common_elements(elements), "common")
+    share = lambda k: elements.where(F.pmod(F.xxhash64("element"), F.lit(rounds)) == k)
+    commons = [materialize(common_elements(share(k)), "common") for k in range(rounds)]
     discard(elements)
-    rare = materialize(rare_elements(common, sketches(left_over, n), num, den), "rare")
-    discard(common)
+    rare = materialize(rare_elements(reduce(DataFrame.unionByName, commons), sketches(left_over, n), num, den), "rare")
+    discard(*commons)
     cross = materialize(residual_pairs(rare, num, den), "pairs")
     discard(rare)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
