@@ -32,6 +32,7 @@ may have any names. An empty table gives an empty one."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -59,15 +60,24 @@ class Sets:
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         hashes, first = self.words(texts)
-        return [np.unique(windows(h := hashes[a:b], min(self.n, len(h)))) if b > a else np.zeros(0, np.uint64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        long, n = windows(hashes, self.n), self.n
+        spans = zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
+        return [np.unique(long[a : b - n + 1] if b - a >= n else windows(hashes[a:b], b - a)) if b > a else np.zeros(0, np.uint64) for a, b in spans]
+
+
+def classes_of(found: list[np.ndarray]) -> list[int | None]:
+    """Signed 64-bit ids of sets, None for an empty one."""
+    filled = [x for x in found if len(x)]
+    if not filled:
+        return [None] * len(found)
+    sizes = np.array([len(x) for x in filled])
+    sums = np.add.reduceat(mix(np.concatenate(filled)), np.cumsum(sizes) - sizes)
+    ids = iter(mix(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
+    return [next(ids) if len(x) else None for x in found]
 
 
 def class_of(elements: np.ndarray) -> int | None:
-    """A signed 64-bit id of a set, None for the empty one."""
-    if not len(elements):
-        return None
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(elements).sum() + np.uint64(len(elements)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)).view(np.int64)[0])
+    return classes_of([elements])[0]
 
 
 class PartEnum:
@@ -120,22 +130,34 @@ class PartEnum:
             spare += 1
 
     def __call__(self, elements: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0, np.uint64)]
-        for group in self.groups(len(elements)):
+        return self.together([elements])[0]
+
+    def together(self, found: list[np.ndarray], rounds: int = 1, round_: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, position of their set) of many sets. The sets of a band group are signed at once, and each
+        of several rounds signs its own share of the partitions only."""
+        of_group = defaultdict(list)
+        for i, x in enumerate(found):
+            for group in self.groups(len(x)):
+                of_group[group].append(i)
+        out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for group, members in of_group.items():
             if (plan := self.plan(group)) is None:
                 continue
             n1, n2, spare, subsets = plan
-            salted = mix(elements + np.uint64(group * 7919 + 1))
-            cell = (salted % np.uint64(n1 * n2)).astype(np.int64)
-            sums = np.zeros(n1 * n2, np.uint64)
-            np.add.at(sums, cell, mix(salted))
-            sums = sums.reshape(n1, n2)
-            chosen = np.stack([(sums[:, s] * (np.arange(len(s), dtype=np.uint64) * np.uint64(2) + np.uint64(3))).sum(1) for s in subsets], 1)
-            empty = np.stack([(sums[:, s] == 0).all(1) for s in subsets], 1)
-            place = np.arange(chosen.size, dtype=np.uint64).reshape(chosen.shape) + np.uint64((group + 1) << 32)
-            signed = mix(mix(chosen) + mix(place))
-            out.append(signed.ravel() if empty.any(1).sum() > spare else signed[~empty])
-        return np.concatenate(out)
+            salted = mix(np.concatenate([found[i] for i in members]) + np.uint64(group * 7919 + 1))
+            row = np.repeat(np.arange(len(members)), [len(found[i]) for i in members])
+            sums = np.zeros(len(members) * n1 * n2, np.uint64)
+            np.add.at(sums, (salted % np.uint64(n1 * n2)).astype(np.int64) + row * (n1 * n2), mix(salted))
+            sums = sums.reshape(len(members), n1, n2)
+            empty = np.stack([(sums[:, :, s] == 0).all(2) for s in subsets], 2)
+            share = np.flatnonzero((np.arange(n1) + group) % rounds == round_)
+            mine = sums[:, share]
+            chosen = np.stack([(mine[:, :, s] * (np.arange(len(s), dtype=np.uint64) * np.uint64(2) + np.uint64(3))).sum(2) for s in subsets], 2)
+            place = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(n1, -1)[share] + np.uint64((group + 1) << 32)
+            kept = ~empty[:, share] | (empty.any(2).sum(1) > spare)[:, None, None]
+            out.append(mix(mix(chosen) + mix(place))[kept])
+            owner.append(np.repeat(np.array(members), kept.sum((1, 2))))
+        return np.concatenate(out), np.concatenate(owner)
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
@@ -146,7 +168,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
         sets = Sets(n)
         for part, texts in pieces(batches):
             found = sets(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(classes_of(found), pa.int64())], schema=schema)
 
     return docs_only(docs).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
@@ -162,18 +184,16 @@ def signatures(texts: DataFrame, n: int, num: int, den: int, rounds: int = 1, ro
         for _, raw in pieces(batches):
             if len(seen) > SEEN:
                 seen.clear()
-            signed, owner = [], []
-            for x in sets(raw):
-                own = class_of(x)
+            new, owner, found = [], [], sets(raw)
+            for x, own in zip(found, classes_of(found), strict=True):
                 if own is not None and own not in seen:
                     seen.add(own)
-                    s = np.unique(sign(x))
-                    s = s[s % np.uint64(rounds) == round_]
-                    signed.append(s)
-                    owner.append(np.full(len(s), own, np.int64))
-            if not any(map(len, signed)):
+                    new.append(x)
+                    owner.append(own)
+            s, position = sign.together(new, rounds, round_)
+            if not len(s):
                 continue
-            s, c = np.concatenate(signed), np.concatenate(owner)
+            c = np.array(owner, np.int64)[position]
             order = np.lexsort((c, s))
             s, c = s[order], c[order]
             head = np.r_[True, s[1:] != s[:-1]]
@@ -202,7 +222,7 @@ def own_texts(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
         for part, raw in pieces(batches):
-            right = [class_of(x) == c for x, c in zip(sets(raw), part.column("class").to_pylist(), strict=True)]
+            right = [x == c for x, c in zip(classes_of(sets(raw)), part.column("class").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("class"), part.column("text")], schema=schema).filter(pa.array(right))
 
     return texts.mapInArrow(run, "class long, text string")
