@@ -482,3 +482,15 @@ def test_near_copies_make_one_star_per_class(spark):
     shared = ngram_join.shared_signatures(ngram_join.signatures(spark.createDataFrame(rows, DOCS), 3, 90, 100))
     by_round = [ngram_join.shared_signatures(ngram_join.signatures(spark.createDataFrame(rows, DOCS), 3, 90, 100, 3, k)) for k in range(3)]
     assert sum(x.count() for x in by_round) == shared.count()
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_sets_signed_together_and_in_rounds_have_the_signatures_of_each_alone(num):
+    rng = np.random.default_rng(4)
+    found = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (1, 2, 3, 9, 10, 11, 40, 41, 200, 200, 3000)]
+    sign = ngram_join.PartEnum(num, 100)
+    parts = [sign.together(found, 3, k) for k in range(3)]
+    signed, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    for i, x in enumerate(found):
+        assert sorted(signed[owner == i].tolist()) == sorted(sign(x).tolist())
+    assert ngram_join.classes_of([*found, found[0][:0]]) == [*map(ngram_join.class_of, found), None]
