@@ -639,11 +639,12 @@ def l1_table(spark, sf):
 @query("l1_upsert_buckets", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders
  UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
 def l1_buckets(spark, sf):
-    """The same against a table in buckets: changed and new keys, then a snapshot to read."""
+    """The same against a table in buckets: changed and new keys, then a snapshot to read. The status is part of
+    the key: the new row of order 0 has that number too, and is not a change of the old one."""
     base = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("v"))
     changed = base.where("o_orderstatus = 'P'")
     store = BucketTable(spark, _folder(spark, "buckets"), 1 << 17)
-    store.create(base, ["o_orderkey"])
+    store.create(base, ["o_orderkey", "o_orderstatus"])
     store.upsert(changed.withColumn("v", F.col("v") * 2).unionByName(changed.withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("N")})))
     return store.read()
 
