@@ -166,7 +166,7 @@ def observation_files(spark, sf) -> DataFrame:
         F.col("pad_id").cast("string").alias("pad_id"), "lat", "lon", F.col("scene_id").cast("string").alias("scene_id"), F.date_format("acq", "yyyy-MM-dd").alias("acquisition_date"),
         F.col("vv").alias("vv_mean_linear"), F.col("vv_db").alias("vv_mean_db"), F.col("vh").alias("vh_mean_linear"),
     )
-    per = obs.groupBy("pad_id", "lat", "lon", "year").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("text"))
+    per = obs.groupBy("pad_id", "lat", "lon", "year").agg(F.to_json(F.sort_array(F.collect_list(record))).alias("text"))
     name = F.format_string("%d_%.4f_%.4f_%d-01-01_%d-12-31", "pad_id", "lat", "lon", "year", "year")
     kind, text = F.col("pad_id") % 7, F.col("text")
     broken = F.when(kind == 3, F.left(text, F.length(text) - 9)).when(kind == 5, F.concat(F.lit('{"observations":'), text, F.lit("}")))
