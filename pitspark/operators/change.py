@@ -14,6 +14,7 @@ from pitspark import params
 from pitspark.functions import dates, hashing, scoring
 from pitspark.operators.core import first_n, group_summary, salted_join, window_join, with_scalar
 from pitspark.operators.pit import CELL, mask_permits
+from pitspark.session import materialize
 
 PAD_CELL = ["pad_id", *CELL]
 NEW, CONT, IDLE = params.STATES
@@ -78,8 +79,9 @@ def classify_drop(obs: DataFrame, pad_cells: DataFrame, new: float = params.DROP
     windows = pad_cells.select("pad_id", "fpe", F.trunc(F.date_sub(start, 92), "month").alias("_a"), start.alias("_q0"), q.alias("_b"))
     spread = F.xxhash64(*[c for c in ("scene_id", "pad_id", "published", "vv_db") if c in obs.columns]).alias("_row")
     hits = window_join(windows, obs.select("pad_id", "published", "vv_db", spread), ["pad_id"], "_a", "_b", "published", "_row")
-    hits = hits.withColumn("_seg", F.when(F.col("published") >= F.col("_q0"), "cur").otherwise("prior"))
-    med = group_summary(hits, ["pad_id", "fpe", "_seg"], "vv_db", upper_median="m")
+    hits = hits.select("pad_id", "fpe", F.when(F.col("published") >= F.col("_q0"), "cur").otherwise("prior").alias("_seg"), "vv_db")
+    # The summary reads its rows several times (sizes, small and large groups): the join is run once for all.
+    med = group_summary(materialize(hits, "drop-windows"), ["pad_id", "fpe", "_seg"], "vv_db", upper_median="m")
 
     def of(seg: str, c: str) -> Column:
         return F.max(F.when(F.col("_seg") == seg, F.col(c)))

@@ -212,14 +212,14 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
         wanted[upper_median] = (half, half, half.cast("double"))
     if not wanted:
         return sizes
-    # At most (rows / small) groups are this large. Whether their list is broadcast is left to Spark's
-    # own check of its size.
-    hot = sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi")
+    # At most (rows / small) groups are this large, so their list is broadcast: all rows of all groups would be
+    # shuffled otherwise to meet a list that is mostly empty.
+    hot = F.broadcast(sizes.where(F.col("n") > small).select(*keys, "n", "lo", "hi"))
 
     direct = [F.percentile(value, F.lit(p)).alias(k) for k, p in quantiles.items()]
     if upper_median:
         direct.append(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(upper_median))
-    cold_part = rows.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).agg(*direct)
+    cold_part = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).agg(*direct)
 
     def narrowed(runs: DataFrame, group: list[str], bin_col: str) -> DataFrame:
         """Keep only the bins of each group that hold a wanted rank; ``_b0`` counts the rows before."""
