@@ -112,7 +112,7 @@ def strategy_signals(spark, sf, which=TRADING) -> DataFrame:
 def trades(spark, sf, which=TRADING) -> DataFrame:
     """The ledger of the chosen strategies as a written table, since every report on it reads it
     several times; the tables behind it are written once too, those that need no other at the same time."""
-    tables = {"cells": b.cells, "prices": b.prices}
+    tables = {"estimates": b.estimates, "prices": b.prices}
     if {1, 2, 4, 5} & set(which):
         tables["macro"] = b.macro
     if {1, 2} & set(which):
@@ -120,8 +120,8 @@ def trades(spark, sf, which=TRADING) -> DataFrame:
     if {9, 10} & set(which):
         tables |= {"fundq": b.fundq}
     later = ({"scored_cells": dec.scored_cells} if {1, 2} & set(which) else {}) | ({"panel": dec.panel} if {8, 9, 10} & set(which) else {})
-    with b.written_once(*tables, *later):
-        for wave in (tables, later):
+    with b.written_once(*tables, "cells", *later):
+        for wave in (tables, {"cells": b.cells}, later):
             at_once(*[lambda get=get: get(spark, sf) for get in wave.values()])
         return materialize(ledger.trade_ledger(strategy_signals(spark, sf, which), b.cells(spark, sf), b.prices(spark, sf)), "trades")
 
@@ -442,11 +442,12 @@ def pack_sql() -> str:
 
 @query("i14_evidence_pack", pack_sql())
 def i14(spark, sf):
-    t = trades(spark, sf)
+    with b.written_once("estimates", "cells", "permits", "prices", "macro", "fundq"):
+        t, ablations = trades(spark, sf), ablation(spark, sf)
     own = t.where("strategy = 1")
     pack = ledger.evidence_pack({
         "headline": ledger.strategy_metrics(t), "primary_test": resample.primary_test(own, "firm", by=["strategy"]), "h2_test": resample.block_diff_test(own, t.where("strategy = 3")).select(F.lit(1).alias("a"), "*"),
-        "intervals": resample.cluster_bootstrap(own, "firm"), "ablations": ablation(spark, sf),
+        "intervals": resample.cluster_bootstrap(own, "firm"), "ablations": ablations,
     }, {name: key for name, (key, _) in PACK_FIELDS.items()})
     rows = []
     for name, (key, fields) in PACK_FIELDS.items():
