@@ -19,7 +19,9 @@ still. Members of a group that end up in different components may be similar to
 compares what is left of these groups across components. In a group of near copies that
 would be nearly all pairs, most of them not similar enough, so pairs are first held against two bounds that
 lose none: of two similar sets, each has an element of the other among its own rarest (``rare_elements``), and
-they differ in few cells of a sketch (``cells_apart``). Every comparison is exact, on the texts. So each link lies inside a component, and no group is cut or capped.
+they differ in few cells of a sketch (``cells_apart``). The pairs that pass are compared in rounds too: of each class
+a few, then four times as many, until no pair spans two components. So the links that are kept grow with the classes,
+not with the pairs of a group of near copies. Every comparison is exact, on the texts. So each link lies inside a component, and no group is cut or capped.
 
 Signature rows of one piece of input are reduced to the first class per signature before they are shuffled;
 the others of the piece become rows with a key of their own. So a signature that a third of all documents
@@ -48,8 +50,9 @@ from pitspark.llm.components import connected_components
 from pitspark.session import discard, materialize
 
 SEEN = 200_000
-LONGS = 16
+WORDS, PLANES = 4, 4
 CARRIED = 128
+FEW = 4
 
 
 class Sets:
@@ -281,7 +284,8 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     near = connected_components(links)
     apart = _across(stars, near)
     more = materialize(verified(apart, texts, n, num, den), "links")
-    side = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+    joined = _merged(near, more)
+    side = joined.withColumnRenamed("node", "class")
 
     placed = shared.select("signature", "class").union(shared.select("signature", F.col("pivot").alias("class"))).join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
@@ -294,25 +298,52 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     discard(elements)
     rare = materialize(rare_elements(reduce(DataFrame.unionByName, commons), sketches(left_over, n), num, den), "rare")
     discard(*commons)
-    cross = materialize(residual_pairs(rare, num, den), "pairs")
-    discard(rare)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = materialize(verified(cross.join(done, ["a", "b"], "left_anti"), left_over, n, num, den), "links")
-    final = connected_components(links.unionByName(more).unionByName(last)).select(F.col("node").alias("class"), "component")
+    cross = materialize(residual_pairs(rare, num, den).join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(rare)
+    found, few = [links, more], FEW
+    while not cross.isEmpty():
+        step = materialize(few_of_each(cross, few), "step")
+        found.append(materialize(verified(step, left_over, n, num, den), "links"))
+        joined = _merged(joined, found[-1])
+        rest = materialize(_across(cross.join(step, ["a", "b"], "left_anti"), joined), "pairs")
+        discard(step, cross)
+        cross, few = rest, 4 * few
+    final = joined.withColumnRenamed("node", "class")
 
     placed_heads = heads.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = placed_heads.groupBy("component").agg(F.min("head").alias("component_id"))
     by_class = materialize(placed_heads.join(smallest, "component").select("class", "component_id"), "components")
-    discard(left_over, stars, links, more, cross, last)
+    discard(left_over, stars, cross, *found)
     out = members.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different components; a node without one is its own."""
+def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components, _ca and _cb; a node without one is its own."""
     for x in "ab":
         pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")), x, "left").withColumn(f"_c{x}", F.coalesce(f"_c{x}", x))
-    return pairs.where("_ca != _cb").select("a", "b")
+    return pairs.where("_ca != _cb")
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    return _placed(pairs, parts).select("a", "b")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links. Components are joined, not their nodes, each pair of them once."""
+    over = connected_components(_placed(links, parts).select(F.least("_ca", "_cb").alias("a"), F.greatest("_ca", "_cb").alias("b")).distinct())
+    nodes = parts.unionByName(over.select("node", F.col("node").alias("component")).join(parts.select("node"), "node", "left_anti"))
+    further = over.select(F.col("node").alias("component"), F.col("component").alias("_further"))
+    return materialize(nodes.join(further, "component", "left").select("node", F.coalesce("_further", "component").alias("component")), "merged")
+
+
+def few_of_each(pairs: DataFrame, few: int) -> DataFrame:
+    """At least one and at most about ``few`` pairs of each class on each side, each the smallest of a share of its pairs.
+    These are aggregates, so a class with very many pairs is counted in part before it is shuffled."""
+    share = lambda x: F.pmod(F.xxhash64(x), F.lit(few))
+    lower = pairs.groupBy("b", share("a")).agg(F.min("a").alias("a")).select("a", "b")
+    return lower.unionByName(pairs.groupBy("a", share("b")).agg(F.min("b").alias("b")).select("a", "b")).distinct()
 
 
 def residual_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,12 +363,12 @@ def residual_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def sketches(residual: DataFrame, n: int) -> DataFrame:
-    """(class, component, size, sketch) of each (class, component, text) row: the domain cut into 16 * LONGS cells,
-    and four bits of hash of what a set has in each. Cells that differ hold different elements, so their number is a
-    lower bound of the elements that two sets don't share."""
-    cells = 16 * LONGS
+    """(class, component, size, sketch) of each (class, component, text) row: the domain cut into 64 * WORDS cells,
+    and a hash of PLANES bits of what a set has in each; a long holds one bit of 64 cells. Cells that differ hold different
+    elements, so their number is a lower bound of the elements that two sets don't share."""
+    cells = 64 * WORDS
     schema = pa.schema([("class", pa.int64()), ("component", pa.int64()), ("size", pa.int32()), ("sketch", pa.list_(pa.int64()))])
-    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    places, planes = np.arange(64, dtype=np.uint64), np.arange(64 - PLANES, 64, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
@@ -346,7 +377,8 @@ def sketches(residual: DataFrame, n: int) -> DataFrame:
             for x in sets(raw):
                 sums = np.zeros(cells, np.uint64)
                 np.add.at(sums, (mix(x + np.uint64(5)) % np.uint64(cells)).astype(np.int64), mix(x))
-                found.append(((mix(sums) >> np.uint64(60)).reshape(LONGS, 16) << places).sum(1, dtype=np.uint64).view(np.int64))
+                bits = (mix(sums).reshape(WORDS, 1, 64) >> planes[:, None]) & np.uint64(1)
+                found.append((bits << places).sum(2, dtype=np.uint64).ravel().view(np.int64))
                 sizes.append(len(x))
             yield pa.RecordBatch.from_arrays([part.column("class"), part.column("component"), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
@@ -354,13 +386,12 @@ def sketches(residual: DataFrame, n: int) -> DataFrame:
 
 
 def cells_apart(a: Column, b: Column) -> Column:
-    """Number of cells in which two sketches differ."""
+    """Number of cells in which two sketches differ. An expression this short is compiled by the JVM; with a cell's bits
+    side by side it was past the size up to which that happens, and took a hundred times as long."""
     total = F.lit(0)
-    for i in range(LONGS):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    for word in range(0, WORDS * PLANES, PLANES):
+        apart = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(word, word + PLANES)]
+        total = total + F.bit_count(reduce(Column.bitwiseOR, apart))
     return total
 
 

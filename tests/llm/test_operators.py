@@ -494,3 +494,41 @@ def test_sets_signed_together_and_in_rounds_have_the_signatures_of_each_alone(nu
     for i, x in enumerate(found):
         assert sorted(signed[owner == i].tolist()) == sorted(sign(x).tolist())
     assert ngram_join.classes_of([*found, found[0][:0]]) == [*map(ngram_join.class_of, found), None]
+
+
+def near_copies(n: int) -> list[tuple[int, str]]:
+    """Near copies of one text, of which a tenth or so of all pairs are similar enough."""
+    rng = random.Random(31)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_of_near_copies_grow_with_the_texts(spark, monkeypatch):
+    rows, edges, compared = near_copies(300), [], []
+    true_components, true_verified = ngram_join.connected_components, ngram_join.verified
+    monkeypatch.setattr(ngram_join, "connected_components", lambda x: edges.append(x.count()) or true_components(x))
+    monkeypatch.setattr(ngram_join, "verified", lambda x, *more: compared.append(x.count()) or true_verified(x, *more))
+    got = ngram_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 90, 100)
+    assert sum(edges) <= 3 * len(rows)
+
+
+def test_sketches_count_the_cells_that_differ(spark):
+    rng = random.Random(32)
+    texts = [" ".join(f"v{rng.randrange(300)}" for _ in range(n)) for n in (1, 5, 40, 41, 300, 900)]
+    residual = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "class long, component long, text string")
+    sketched = ngram_join.sketches(residual, 3)
+    pairs = sketched.select("class", F.col("sketch").alias("x")).crossJoin(sketched.select(F.col("class").alias("other"), F.col("sketch").alias("y")))
+    got = {(r[0], r[1]): r[2] for r in pairs.select("class", "other", ngram_join.cells_apart(F.col("x"), F.col("y"))).collect()}
+    bits = {r["class"]: [[x >> i & 1 for i in range(64)] for x in r.sketch] for r in sketched.collect()}
+    sets = ngram_join.Sets(3)([t.encode() for t in texts])
+    for (i, j), n in got.items():
+        x, y = bits[i], bits[j]
+        assert n == sum(any(x[4 * w + p][c] != y[4 * w + p][c] for p in range(4)) for w in range(4) for c in range(64))
+        assert n <= len(np.setxor1d(sets[i], sets[j]))
