@@ -101,10 +101,17 @@ def windows(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(seed) + np.uint64(k), np.uint64)
     factor = 0x2545F4914F6CDD1D
+    # The sum of hashes[i + j] * factor ** (j + 1) over j < k, put together from sums over 1, 2, 4, ... words.
+    part, width, done = hashes * np.uint64(factor), 1, 0
     with np.errstate(over="ignore"):
-        for j in range(k):
-            out += hashes[j : j + n] * np.uint64(pow(factor, j + 1, 1 << 64))
-    return mix(out)
+        while True:
+            if k & width:
+                out += part[done : done + n] * np.uint64(pow(factor, done, 1 << 64))
+                done += width
+            if done == k:
+                return mix(out)
+            part = part[:-width] + part[width:] * np.uint64(pow(factor, width, 1 << 64))
+            width *= 2
 
 
 def window_owner(first: np.ndarray, k: int) -> np.ndarray:

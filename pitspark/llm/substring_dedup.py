@@ -13,8 +13,8 @@ document with a smaller doc_id, or further up in the same one.
    window with one of its documents (a window belongs to one passage, so routes are linear in the windows), cuts them
    into blocks of 10 words (every 20-word match holds a whole block) and compiles these into one automaton over word
    symbols. All documents of the shard are streamed
-   through it; each hit is extended word by word in both directions, and a stretch of 20 words or more whose
-   passage has a smaller doc_id is removed.
+   through it; a hit lays its passage along the document, and where the two agree in a stretch of 20 words or more and the
+   passage has a smaller doc_id, the stretch is removed. The hits of a piece of documents are laid out and compared together.
 
 What a document repeats of itself is found in the document, by sorting its windows.
 
@@ -45,6 +45,8 @@ WINDOW = 20
 STRETCH = 6
 BLOCK = 10
 SHARD_BYTES = 2 << 20
+LAID = 1 << 19
+LETTERS, VALUES = 3, 102
 
 
 def _content(hashes: np.ndarray) -> int:
@@ -160,12 +162,45 @@ def first_passages(firsts: DataFrame) -> DataFrame:
 
 
 def _symbols(hashes: np.ndarray) -> str:
-    """One character per word; different words may share one."""
-    code = (hashes % np.uint64(0x10F000)).astype(np.uint32) + np.uint32(1)
-    code[code >= 0xD800] += np.uint32(0x800)
+    """LETTERS characters per word; different words may share them. The automaton looks through a node's children one by
+    one, so each character has few values; those of another place in the word are others, so matches begin with a word."""
+    rest, code = hashes % np.uint64(VALUES**LETTERS), np.empty((len(hashes), LETTERS), np.uint32)
+    for i in range(LETTERS):
+        code[:, i] = rest % np.uint64(VALUES) + np.uint64(1 + VALUES * i)
+        rest //= np.uint64(VALUES)
     return code.astype("<u4").tobytes().decode("utf-32-le")
 
 
+def _covered(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Mask of the n words that lie in a stretch."""
+    edges = np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def _cuts(count: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of about ``most`` in sum, or one entry."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows."""
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
 def repeated_within(hashes: np.ndarray) -> np.ndarray:
     """Mask of the words under windows that also start further up in the same text."""
     gone = np.zeros(len(hashes), bool)
@@ -176,10 +211,7 @@ def repeated_within(hashes: np.ndarray) -> np.ndarray:
     if len(again):
         for j in range(WINDOW):
             again = again[hashes[again + j] == hashes[source[again] + j]]
-        edges = np.zeros(len(hashes) + 1, np.int64)
-        edges[again] += 1
-        edges[again + WINDOW] -= 1
-        gone = np.cumsum(edges)[:-1] > 0
+        gone = _covered(len(hashes), again, again + WINDOW)
     return gone
 
 
@@ -187,41 +219,62 @@ class Phrases:
     """An automaton over the blocks of passages: (doc_id, word hashes)."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]]):
-        self.passages = passages
+        self.source = np.array([d for d, _ in passages], np.int64)
+        self.size = np.array([len(x) for _, x in passages], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in passages]])
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, hashes) in enumerate(passages):
             text = _symbols(hashes)
-            for q in {*range(0, len(text) - BLOCK + 1, BLOCK), len(text) - BLOCK}:
-                places[text[q : q + BLOCK]].append((k, q))
-        for block, where in places.items():
-            self.automaton.add_word(block, where)
+            for q in {*range(0, len(hashes) - BLOCK + 1, BLOCK), len(hashes) - BLOCK}:
+                places[text[q * LETTERS : (q + BLOCK) * LETTERS]].append((k, q))
+        for i, block in enumerate(places):
+            self.automaton.add_word(block, i)
         if places:
             self.automaton.make_automaton()
-
-    def removed(self, doc: int, hashes: np.ndarray) -> np.ndarray:
-        """Mask of the words that a passage of a document with a smaller doc_id covers."""
-        gone = np.zeros(len(hashes), bool)
-        if len(self.automaton):
-            done: dict[tuple[int, int], int] = {}
-            for end, where in self.automaton.iter(_symbols(hashes)):
-                p = end - BLOCK + 1
-                for k, q in where:
-                    if p < done.get((k, p - q), 0):
-                        continue
-                    source, own = self.passages[k]
-                    if source >= doc:
-                        continue
-                    n = min(len(hashes) - p, len(own) - q)
-                    apart = np.flatnonzero(hashes[p : p + n] != own[q : q + n])
-                    right = int(apart[0]) if len(apart) else n
-                    n = min(p, q)
-                    apart = np.flatnonzero(hashes[p - n : p] != own[q - n : q])
-                    left = n - 1 - int(apart[-1]) if len(apart) else n
-                    done[k, p - q] = p + max(right, 1)
-                    if right + left >= WINDOW:
-                        gone[p - left : p + right] = True
-        return gone
+        #: Passage and place of each block's occurrences, block after block.
+        self.place = np.array([x for where in places.values() for x in where], np.int64).reshape(-1, 2)
+        self.count = np.array([len(where) for where in places.values()], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+
+    def _laid(self, docs: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct (passage, shift, text) of the hits: the passage's word 0 meets word ``shift``."""
+        found = np.array(list(self.automaton.iter(_symbols(hashes))), np.int64).reshape(-1, 2)
+        end, block = found[:, 0] // LETTERS, found[:, 1]
+        text = np.searchsorted(first, end, side="right") - 1
+        inside = end - BLOCK + 1 >= first[text]
+        end, block, text = end[inside], block[inside], text[inside]
+        laid = [np.zeros((3, 0), np.int64)]
+        for cut in _cuts(self.count[block], LAID):
+            n = self.count[block[cut]]
+            k, q = self.place[_ranges(self.first[block[cut]], n)].T
+            to = np.repeat(text[cut], n)
+            earlier = self.source[k] < docs[to]
+            laid.append(np.stack(_distinct(k[earlier], (np.repeat(end[cut] - BLOCK + 1, n) - q)[earlier], to[earlier])))
+        return _distinct(*np.concatenate(laid, 1))
+
+    def removed(self, docs: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Mask of the words of several texts that a passage of a document with a smaller doc_id covers. Text i has the
+        words ``first[i]`` to ``first[i + 1]``."""
+        if not len(self.automaton):
+            return np.zeros(len(hashes), bool)
+        k, shift, text = self._laid(docs, hashes, first)
+        low, high = np.maximum(shift, first[text]), np.minimum(shift + self.size[k], first[text + 1])
+        starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cut in _cuts(high - low, LAID):
+            n = high[cut] - low[cut]
+            at = _ranges(low[cut], n)
+            same = hashes[at] == self.words[at + np.repeat(self.begin[k[cut]] - shift[cut], n)]
+            # Where words differ or another passage begins, a stretch ends.
+            fresh = np.zeros(len(at) + 1, bool)
+            fresh[np.cumsum(n) - n] = fresh[-1] = True
+            fresh[1:-1] |= same[1:] != same[:-1]
+            edge = np.flatnonzero(fresh)
+            whole = same[edge[:-1]] & (np.diff(edge) >= WINDOW)
+            starts.append(at[edge[:-1][whole]])
+            stops.append(at[edge[1:][whole] - 1] + 1)
+        return _covered(len(hashes), np.concatenate(starts), np.concatenate(stops))
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
@@ -238,9 +291,12 @@ def _stream(left: pa.Table, right: pa.Table) -> pa.Table:
     rows = []
     for batch, raw in pieces(left.to_batches()):
         hashes, first = words(raw)
-        for doc, text, a, b in zip(batch.column("doc_id").to_pylist(), raw, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            gone = phrases.removed(doc, hashes[a:b]) | repeated_within(hashes[a:b])
-            kept = [w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g]
+        docs = batch.column("doc_id").to_pylist()
+        covered = phrases.removed(np.array(docs, np.int64), hashes, first)
+        for doc, text, a, b in zip(docs, raw, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            gone = covered[a:b] | repeated_within(hashes[a:b])
+            split = text.split()
+            kept = [w for w, g in zip(split, gone.tolist(), strict=True) if not g] if gone.any() else split
             rows.append((doc, b" ".join(kept).decode(), b - a, int(gone.sum())))
     return pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(KEPT)], schema=KEPT)
 

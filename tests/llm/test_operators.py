@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pitspark.llm import bpe, decontamination, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
-from pitspark.llm.batches import Words, fold_is, windows
+from pitspark.llm.batches import Words, fold_is, mix, windows
 
 DOCS = "doc_id long, text string"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -532,3 +532,45 @@ def test_sketches_count_the_cells_that_differ(spark):
         x, y = bits[i], bits[j]
         assert n == sum(any(x[4 * w + p][c] != y[4 * w + p][c] for p in range(4)) for w in range(4) for c in range(64))
         assert n <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_automaton_nodes_have_few_children():
+    hashes = np.random.default_rng(3).integers(0, 2**63, 50_000).astype(np.uint64)
+    symbols = substring_dedup._symbols(hashes)
+    blocks = [symbols[i : i + len(symbols) // len(hashes)] for i in range(0, len(symbols), len(symbols) // len(hashes))]
+    assert len(set(symbols)) <= 400 and len({b[0] for b in blocks}) <= 110
+    assert len(set(blocks)) > 48_000 and not {b[0] for b in blocks} & {c for b in blocks for c in b[1:]}
+
+
+def test_hits_of_a_piece_laid_out_together():
+    """Texts side by side, whose borders cut passages; several passages with the same blocks; small slices."""
+    rng = random.Random(33)
+    word = lambda x: Words()([x.encode()])[0]
+    base = word(" ".join(f"v{rng.randrange(6)}" for _ in range(400)))
+    passages = [(rng.choice([5, 15, 25]), base[a : a + rng.randrange(20, 60)]) for a in range(0, 330, 11)]
+    texts = [base[:37], base[37:60], base[0:0], base[60:200], np.concatenate([base[10:29], base[300:321], base[5:24]]), base[250:390], np.tile(base[40:47], 30)]
+    docs, first = np.array([10, 20, 20, 30, 12, 5, 26]), np.cumsum([0, *map(len, texts)])
+    for doc, text in zip(docs.tolist(), texts, strict=True):
+        wanted = np.zeros(len(text), bool)
+        known = {own[i : i + 20].tobytes() for source, own in passages if source < doc for i in range(len(own) - 19)}
+        for i in range(len(text) - 19):
+            if text[i : i + 20].tobytes() in known:
+                wanted[i : i + 20] = True
+        at = len(wanted)
+        alone = substring_dedup.Phrases(passages).removed(np.array([doc]), text, np.array([0, at]))
+        assert (alone == wanted).all()
+    apart = [substring_dedup.Phrases(passages).removed(docs[i : i + 1], t, np.array([0, len(t)])) for i, t in enumerate(texts)]
+    for laid in (substring_dedup.LAID, 7):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "LAID", laid)
+            together = substring_dedup.Phrases(passages).removed(docs, np.concatenate(texts), first)
+        assert (together == np.concatenate(apart)).all()
+    assert together.any() and not together.all()
+    assert not substring_dedup.Phrases([]).removed(docs, np.concatenate(texts), first).any()
+
+
+def test_window_hashes_match_their_sum():
+    hashes = np.random.default_rng(4).integers(0, 2**63, 90).astype(np.uint64)
+    for k in (1, 2, 3, 6, 10, 13, 20, 31, 32, 90):
+        sums = [(k + 7 + sum(int(h) * pow(0x2545F4914F6CDD1D, j + 1, 1 << 64) for j, h in enumerate(hashes[i : i + k]))) % (1 << 64) for i in range(91 - k)]
+        assert (windows(hashes, k, 7) == mix(np.array(sums, np.uint64))).all()
