@@ -10,16 +10,20 @@ partition is cut into n2 parts, and for each subset of n2 - k2 parts the element
 one signature: in a partition that differs in at most k2 elements, at least one subset agrees wholly. A set
 signs for its own band, and for the next one if a set there can be similar to it. Subsets without an element
 agree between strangers; they are signed only by sets with more than ``spare`` thin partitions, and two sets
-of which one has no more than that still agree in a partition that isn't thin.
+of which one has no more than that still agree in a partition that isn't thin. The same holds for subsets with none but
+frequent elements, which agree between more strangers the more documents there are: they too are signed only by sets with
+more than ``spare`` partitions that have such a subset. That is so whichever elements count as frequent, so a sample may
+say which do (``frequent_elements``); links never depend on it.
 
 **Links.** Exact copies have the same set; they are one class from the start (a 64-bit hash of set and size).
-Every signature group has a pivot, its smallest class: a star, which is linear in the group. Round one compares each
-class with the smallest of its pivots only, round two with the others where the two are in different components
-still. Members of a group that end up in different components may be similar to each other, so round three
-compares what is left of these groups across components. In a group of near copies that
-would be nearly all pairs, most of them not similar enough, so pairs are first held against two bounds that
-lose none: of two similar sets, each has an element of the other among its own rarest (``rare_elements``), and
-they differ in few cells of a sketch (``cells_apart``). The pairs that pass are compared in rounds too: of each class
+Every signature group has a pivot, its smallest class: a star, which is linear in the group. Pairs that differ in too
+many cells of a sketch (``cells_apart``) are dropped before their texts are shuffled, which loses none (``alike``). Round
+one compares each class with the smallest of its pivots only, round two with the others where the two are in different
+components still. Members of a group that end up in different components may be similar to each other, so round three
+compares what is left of these groups across components: groups of up to SMALL classes pair by pair, behind the sketches
+again. In a larger group of near copies that
+would be nearly all pairs, most of them not similar enough, so there pairs are first held against a second bound that
+loses none: of two similar sets, each has an element of the other among its own rarest (``rare_elements``). The pairs that pass are compared in rounds too: of each class
 a few, then four times as many, until no pair spans two components. So the links that are kept grow with the classes,
 not with the pairs of a group of near copies. Every comparison is exact, on the texts. So each link lies inside a component, and no group is cut or capped.
 
@@ -53,6 +57,8 @@ SEEN = 200_000
 WORDS, PLANES = 4, 4
 CARRIED = 128
 FEW = 4
+SMALL = 8
+SAMPLE, OFTEN, MOST, MARKS = 20_000, 6, 100_000, 1 << 21
 
 
 class Sets:
@@ -135,9 +141,10 @@ class PartEnum:
     def __call__(self, elements: np.ndarray) -> np.ndarray:
         return self.together([elements])[0]
 
-    def together(self, found: list[np.ndarray], rounds: int = 1, round_: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def together(self, found: list[np.ndarray], rounds: int = 1, round_: int = 0, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(signatures, position of their set) of many sets. The sets of a band group are signed at once, and each
-        of several rounds signs its own share of the partitions only."""
+        of several rounds signs its own share of the partitions only. ``frequent`` has a mark for each value of an
+        element's last bits."""
         of_group = defaultdict(list)
         for i, x in enumerate(found):
             for group in self.groups(len(x)):
@@ -147,10 +154,12 @@ class PartEnum:
             if (plan := self.plan(group)) is None:
                 continue
             n1, n2, spare, subsets = plan
-            salted = mix(np.concatenate([found[i] for i in members]) + np.uint64(group * 7919 + 1))
+            elements = np.concatenate([found[i] for i in members])
+            salted = mix(elements + np.uint64(group * 7919 + 1))
             row = np.repeat(np.arange(len(members)), [len(found[i]) for i in members])
+            cell = (salted % np.uint64(n1 * n2)).astype(np.int64) + row * (n1 * n2)
             sums = np.zeros(len(members) * n1 * n2, np.uint64)
-            np.add.at(sums, (salted % np.uint64(n1 * n2)).astype(np.int64) + row * (n1 * n2), mix(salted))
+            np.add.at(sums, cell, mix(salted))
             sums = sums.reshape(len(members), n1, n2)
             empty = np.stack([(sums[:, :, s] == 0).all(2) for s in subsets], 2)
             share = np.flatnonzero((np.arange(n1) + group) % rounds == round_)
@@ -158,6 +167,12 @@ class PartEnum:
             chosen = np.stack([(mine[:, :, s] * (np.arange(len(s), dtype=np.uint64) * np.uint64(2) + np.uint64(3))).sum(2) for s in subsets], 2)
             place = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(n1, -1)[share] + np.uint64((group + 1) << 32)
             kept = ~empty[:, share] | (empty.any(2).sum(1) > spare)[:, None, None]
+            if frequent is not None:
+                rare = np.zeros(sums.size, bool)
+                rare[cell[~frequent[elements & np.uint64(len(frequent) - 1)]]] = True
+                rare = rare.reshape(sums.shape)
+                usual = np.stack([~rare[:, :, s].any(2) for s in subsets], 2)
+                kept = ~usual[:, share] | (kept & (usual.any(2).sum(1) > spare)[:, None, None])
             out.append(mix(mix(chosen) + mix(place))[kept])
             owner.append(np.repeat(np.array(members), kept.sum((1, 2))))
         return np.concatenate(out), np.concatenate(owner)
@@ -176,14 +191,28 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs_only(docs).mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-def signatures(texts: DataFrame, n: int, num: int, den: int, rounds: int = 1, round_: int = 0) -> DataFrame:
+def frequent_elements(docs: DataFrame, heads: DataFrame, n: int) -> np.ndarray:
+    """Packed marks, one for each value of an element's last bits: the elements that OFTEN or more classes of a sample have,
+    the MOST most frequent ones at most. The sample has between SAMPLE and twice as many classes, or all if there are fewer."""
+    every = max(1, heads.count() // SAMPLE)
+    sampled = heads.where(F.pmod(F.xxhash64("head"), F.lit(every)) == 0).select("class", F.col("head").alias("doc_id"))
+    counted = set_elements(docs.join(F.broadcast(sampled), "doc_id"), n).groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    found = counted.orderBy(F.desc("n"), "element").limit(MOST).select("element").toArrow().column(0).to_numpy()
+    marks = np.zeros(MARKS, bool)
+    marks[found.astype(np.int64).view(np.uint64) & np.uint64(MARKS - 1)] = True
+    return np.packbits(marks)
+
+
+def signatures(texts: DataFrame, n: int, num: int, den: int, rounds: int = 1, round_: int = 0, frequent: np.ndarray | None = None) -> DataFrame:
     """(signature, class, local) rows of a table with a text column; ``local`` is the first class of the
     same piece with that signature, null if this is the first. A class met before in the task is skipped
-    (up to SEEN classes are remembered). Of several rounds each deals with its own share of the signatures."""
+    (up to SEEN classes are remembered). Of several rounds each deals with its own share of the signatures.
+    ``frequent``: the packed marks of ``frequent_elements``."""
     schema = pa.schema([("signature", pa.int64()), ("class", pa.int64()), ("local", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, sign, seen = Sets(n), PartEnum(num, den), set()
+        marks = None if frequent is None else np.unpackbits(frequent).astype(bool)
         for _, raw in pieces(batches):
             if len(seen) > SEEN:
                 seen.clear()
@@ -193,7 +222,7 @@ def signatures(texts: DataFrame, n: int, num: int, den: int, rounds: int = 1, ro
                     seen.add(own)
                     new.append(x)
                     owner.append(own)
-            s, position = sign.together(new, rounds, round_)
+            s, position = sign.together(new, rounds, round_, marks)
             if not len(s):
                 continue
             c = np.array(owner, np.int64)[position]
@@ -232,7 +261,8 @@ def own_texts(texts: DataFrame, n: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose texts' sets are similar enough. One text per pair is shuffled."""
+    """The pairs (a, b) of classes whose texts' sets are similar enough. One text per pair is shuffled, and of the texts
+    only those that are in a pair, so that a few pairs left don't move all texts."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +278,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                     keep.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], pa.int64()) for j in (0, 1)], schema=schema)
 
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    texts = texts.join(ends, "class", "left_semi")
     right = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -271,11 +303,14 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     heads = known.groupBy("class").agg(F.min("doc_id").alias("head"))
 
     with_id, rounds = docs.where("doc_id is not null"), signature_rounds(members, docs, num, den)
-    parts = [materialize(shared_signatures(signatures(with_id, n, num, den, rounds, k)), "shared") for k in range(rounds)]
+    frequent = frequent_elements(docs, heads, n)
+    parts = [materialize(shared_signatures(signatures(with_id, n, num, den, rounds, k, frequent)), "shared") for k in range(rounds)]
     shared = reduce(DataFrame.unionByName, parts)
     wanted = shared.select("class").union(shared.select(F.col("pivot").alias("class"))).distinct().join(heads, "class")
     texts = materialize(own_texts(docs.join(wanted, docs["doc_id"] == wanted["head"]).select("class", "text"), n), "texts")
-    stars = materialize(shared.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    sides = materialize(sketches(texts.withColumn("component", F.col("class")), n).drop("component"), "sketches")
+    rays = shared.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    stars = materialize(alike(rays, sides, num, den), "stars")
 
     # A class is in many groups with many pivots. Its smallest pivot comes first; the others are compared only
     # where that has left the two apart.
@@ -287,24 +322,31 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     joined = _merged(near, more)
     side = joined.withColumnRenamed("node", "class")
 
-    placed = shared.select("signature", "class").union(shared.select("signature", F.col("pivot").alias("class"))).join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("signature")
-    residual = placed.join(split, "signature", "left_semi").select("class", "component").distinct()
+    held = shared.select("signature", "class").union(shared.select("signature", F.col("pivot").alias("class"))).distinct()
+    placed = materialize(held.join(side, "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
+    discard(*parts)
+    sizes = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    split = sizes.where("lo != hi and n > 2").select("signature", "n")  # of two classes, one is the pivot
+    few_held = placed.join(split.where(F.col("n") <= SMALL), "signature")
+    inside = materialize(alike(pairs_of_groups(few_held), sides, num, den), "inside")
+    residual = placed.join(split.where(F.col("n") > SMALL), "signature", "left_semi").select("class", "component").distinct()
     left_over = materialize(residual.join(texts, "class"), "residual")
-    discard(*parts, texts)
+    discard(placed)
     elements = materialize(set_elements(left_over, n), "elements")
     share = lambda k: elements.where(F.pmod(F.xxhash64("element"), F.lit(rounds)) == k)
     commons = [materialize(common_elements(share(k)), "common") for k in range(rounds)]
     discard(elements)
-    rare = materialize(rare_elements(reduce(DataFrame.unionByName, commons), sketches(left_over, n), num, den), "rare")
-    discard(*commons)
+    sketched = left_over.select("class", "component").join(sides, "class")
+    rare = materialize(rare_elements(reduce(DataFrame.unionByName, commons), sketched, num, den), "rare")
+    discard(*commons, left_over)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(residual_pairs(rare, num, den).join(done, ["a", "b"], "left_anti"), "pairs")
-    discard(rare)
+    across = residual_pairs(rare, num, den).unionByName(inside).distinct()
+    cross = materialize(across.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(rare, inside, sides)
     found, few = [links, more], FEW
     while not cross.isEmpty():
         step = materialize(few_of_each(cross, few), "step")
-        found.append(materialize(verified(step, left_over, n, num, den), "links"))
+        found.append(materialize(verified(step, texts, n, num, den), "links"))
         joined = _merged(joined, found[-1])
         rest = materialize(_across(cross.join(step, ["a", "b"], "left_anti"), joined), "pairs")
         discard(step, cross)
@@ -314,7 +356,7 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     placed_heads = heads.join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = placed_heads.groupBy("component").agg(F.min("head").alias("component_id"))
     by_class = materialize(placed_heads.join(smallest, "component").select("class", "component_id"), "components")
-    discard(left_over, stars, cross, *found)
+    discard(texts, stars, cross, *found)
     out = members.join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -346,18 +388,35 @@ def few_of_each(pairs: DataFrame, few: int) -> DataFrame:
     return lower.unionByName(pairs.groupBy("a", share("b")).agg(F.min("b").alias("b")).select("a", "b")).distinct()
 
 
+def pairs_of_groups(held: DataFrame) -> DataFrame:
+    """(a, b) of classes in one group of (signature, class, component) rows and in different components."""
+    left, right = (held.select("signature", F.col("class").alias(x), F.col("component").alias(f"_c{x}")) for x in "ab")
+    return left.join(right, "signature").where("a < b and _ca != _cb").select("a", "b").distinct()
+
+
+def _near(num: int, den: int) -> Column:
+    """Whether neither the sizes nor the sketches of a and b rule out that they are similar."""
+    total = F.col("size_a") + F.col("size_b")
+    near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
+    return near & (cells_apart(F.col("sketch_a"), F.col("sketch_b")) * (den + num) <= total * (den - num))
+
+
+def alike(pairs: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may be similar, by the (class, size, sketch) rows of ``sides``."""
+    for x in "ab":
+        pairs = pairs.join(sides.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
+    return pairs.where(_near(num, den)).select("a", "b")
+
+
 def residual_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of classes in different components that may be similar: they share a rare element, and neither their
     sizes, nor the elements that only one of them has, nor their sketches rule it out. A pair is taken at the
     smallest common one of the elements that both carry in ``rare``; where they have none there, at every common
     element, of which one row is kept."""
     left, right = (rare.select("element", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "alone", "rare", "sketch")]) for x in "ab")
-    total = F.col("size_a") + F.col("size_b")
-    near = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
-    near = near & (cells_apart(F.col("sketch_a"), F.col("sketch_b")) * (den + num) <= total * (den - num))
     # What only one class has is in the union and not in the intersection.
     most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
-    near = near & (most * den >= (most + F.col("alone_a") + F.col("alone_b")) * num)
+    near = _near(num, den) & (most * den >= (most + F.col("alone_a") + F.col("alone_b")) * num)
     once = F.coalesce(F.array_min(F.array_intersect("rare_a", "rare_b")), F.col("element")) == F.col("element")
     return left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near & once).select("a", "b").distinct()
 
