@@ -10,6 +10,8 @@ words further on.
    differences at every distance is two prefix sums and one cross-correlation, which number-theoretic transforms
    modulo P give exactly. Words enter as small numbers, so that no sum reaches P: a sum of zero is zero mismatches.
    From scale ``CAP`` on the first CAP words of a block stand for it, and its window is taken in sections.
+   Left out before the transforms are blocks that cannot have a seed: those with a word that does not occur again
+   within 4 L - 2 words, and those all of whose copies would lie in a known run (see 2).
 2. **Seeds.** A distance without mismatches is a seed, unless block and copy lie in a known run of a period of at
    most L / 2: the distance is a multiple of that period then, and leads to the same stretch.
 3. **Extension.** A seed is extended to both sides by binary search over prefix hashes. What is long enough is
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pitspark.llm.batches import Words, docs_only, mix, pieces
+from pitspark.llm.batches import SPACE, Words, docs_only, mix, pieces
 
 LEAST = 12
 CAP = 4096
@@ -42,6 +44,7 @@ CELLS = 1 << 19
 P = 7 * 2**20 + 1  # a prime with roots of unity of every order up to 2^20; 128 products of residues fit in 53 bits
 GENERATOR = 3
 SIDE = 128
+_TO_SPACE = bytes(0x20 if b in SPACE else b for b in range(256))
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -123,6 +126,24 @@ def zero_mismatches(symbols: np.ndarray, blocks: np.ndarray, length: int, neares
     return np.concatenate(which), np.concatenate(at)
 
 
+def recurrence(words: np.ndarray) -> np.ndarray:
+    """How many words further on each word occurs again, at the least: words count as equal if their last 16 bits
+    are, which sort faster. A number past the end if it does not."""
+    bits = words.astype(np.uint16)
+    order = np.argsort(bits, kind="stable")
+    again = bits[order[1:]] == bits[order[:-1]]
+    distance = np.full(len(words), len(words), np.int64)
+    distance[order[:-1][again]] = np.diff(order)[again]
+    return distance
+
+
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows in order, and where each of them comes first."""
+    order = np.lexsort(rows.T[::-1])
+    first = order[np.r_[True, (np.diff(rows[order], axis=0) != 0).any(1)][: len(rows)]]
+    return rows[first], first
+
+
 class Stretches:
     """Longest equal stretches of two places of a sequence, by binary search over prefix hashes."""
 
@@ -166,8 +187,9 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     64-bit values, equal for equal words; ``first``: index of each text's first word, and the end."""
     texts = np.flatnonzero(np.diff(first) >= LEAST)
     low, high = first[texts].astype(np.int64), first[texts + 1].astype(np.int64)
-    found, known = [np.zeros((0, 3), np.int64)], np.zeros((0, 3), np.int64)
+    known = np.zeros((0, 3), np.int64)
     stretches = Stretches(words) if len(texts) else None
+    distance, scrambled = recurrence(words), mix(words)
     scale = 2
     while len(texts):
         nearest = 2 * scale - 1 if scale > 2 else 1
@@ -178,13 +200,20 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         counts = (high[fits] - low[fits] - nearest) // scale
         of = np.repeat(np.arange(len(counts)), counts)
         blocks = low[fits][of] + (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * scale
+        # A word that does not occur again within the window leaves its block without a copy there.
+        far = np.concatenate(([0], np.cumsum(distance > 4 * scale - 2)))
+        recurs = far[blocks + scale] == far[blocks]
+        of, blocks = of[recurs], blocks[recurs]
         top = high[fits][of]
+        # Where the known runs of a small period end that start at a block or before; no distance is left if its
+        # last copy ends there too.
+        small = known[known[:, 2] * 2 <= scale]
+        inside = np.r_[-1, np.maximum.accumulate(small[:, 1])][np.searchsorted(small[:, 0], blocks, side="right")]
+        left = np.minimum(blocks + 5 * scale - 2, top) > inside
+        of, blocks, top, inside = of[left], blocks[left], top[left], inside[left]
         length = min(scale, CAP)
-        symbols = (mix(words + np.uint64(scale)) % np.uint64(isqrt((P - 1) // length))).astype(np.int64)
-        # Where a block lies in a known run of a small period, the end of that run.
-        inside = np.full(len(blocks), -1, np.int64)
-        for a, e, p in known[(known[:, 2] * 2 <= scale) & (known[:, 1] - known[:, 0] >= scale)].tolist():
-            inside[np.searchsorted(blocks, a) : np.searchsorted(blocks, e - scale, side="right")] = e
+        symbols = (scrambled % np.uint64(isqrt((P - 1) // length))).astype(np.int64)
+        found = []
         for section in range(nearest, 4 * scale - 1, 2 * length):
             distances = min(2 * length, 4 * scale - 1 - section)
             open_ = np.flatnonzero(blocks + section + scale <= top)
@@ -196,16 +225,15 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
                 w, d = which[k : k + CELLS], q[k : k + CELLS]
                 a, b = stretches.around(blocks[w], d, low[fits][of[w]], top[w])
                 long = np.flatnonzero((b - a >= d) & (b - a + d >= LEAST))
-                ends, one = np.unique(np.stack((a[long], b[long], d[long]), 1), axis=0, return_index=True)
+                ends, one = distinct(np.stack((a[long], b[long], d[long]), 1))
                 for (a_, b_, d_), i in zip(ends.tolist(), long[one].tolist(), strict=True):
-                    if not np.array_equal(words[a_:b_], words[a_ + d_ : b_ + d_]):
+                    if not (words[a_:b_] == words[a_ + d_ : b_ + d_]).all():
                         a_, b_ = stretches.exactly(int(blocks[w[i]]), d_, int(low[fits][of[w[i]]]), int(top[w[i]]))
                     if b_ - a_ >= d_ and b_ - a_ + d_ >= LEAST:
-                        found.append(np.array([[a_, b_ + d_, d_]], np.int64))
-        known = np.unique(np.concatenate(found), axis=0)
-        found = [known]
+                        found.append((a_, b_ + d_, d_))
+        known, _ = distinct(np.concatenate((known, np.array(found, np.int64).reshape(-1, 3))))
         scale *= 2
-    # np.unique has sorted by start, end and period.
+    # The known runs are in order of start, end and period.
     smallest = np.r_[True, (known[1:, :2] != known[:-1, :2]).any(1)] if len(known) else np.zeros(0, bool)
     runs = known[smallest]
     owner = np.searchsorted(first, runs[:, 0], side="right") - 1
@@ -213,6 +241,14 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out[np.lexsort((out[:, 3], out[:, 1], out[:, 0]))]
 
 
+def single_spaced(text: bytes) -> bytes:
+    """The words of a text joined by one space."""
+    text = text.translate(_TO_SPACE).strip(b" ")
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
+
+
 def confirmed_runs(runs: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The (start, length, period) rows of one text, if they hold for the words themselves; else runs found
     anew with numbers for the words, in case two words have the same hash."""
@@ -239,15 +275,17 @@ def find_runs(docs: DataFrame) -> DataFrame:
             cut = np.searchsorted(runs[:, 0], np.arange(len(texts) + 1))
             n_words, lists, collapsed = np.diff(first), [], []
             for k, text in enumerate(texts):
-                words = (text or b"").split()
-                own = confirmed_runs(runs[cut[k] : cut[k + 1], 1:], words) if cut[k] < cut[k + 1] else runs[:0, 1:]
-                if len(own):
-                    kept = np.ones(len(words), bool)
-                    for start, length, period in own.tolist():
-                        kept[start + period : start + length] = False
-                    words = [words[i] for i in np.flatnonzero(kept).tolist()]
-                lists.append([dict(zip(("start", "length", "period"), r, strict=True)) for r in own.tolist()])
-                collapsed.append(b" ".join(words).decode())
+                if cut[k] == cut[k + 1]:
+                    lists.append([])
+                    collapsed.append(single_spaced(text or b"").decode())
+                    continue
+                words = text.split()
+                own = confirmed_runs(runs[cut[k] : cut[k + 1], 1:], words).tolist()
+                kept = np.ones(len(words), bool)
+                for start, length, period in own:
+                    kept[start + period : start + length] = False
+                lists.append([dict(zip(("start", "length", "period"), r, strict=True)) for r in own])
+                collapsed.append(b" ".join([words[i] for i in np.flatnonzero(kept).tolist()]).decode())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(lists, pa.list_(_RUN)), pa.array(collapsed, pa.string())], schema=schema)
 
     return docs_only(docs).mapInArrow(run, "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")

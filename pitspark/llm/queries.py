@@ -82,16 +82,17 @@ def ngram_components(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where every tenth text by crc32 of its id, h, is periodic from word a on: a and the
-    period p follow from g = h div 10 and the number of words n."""
+    period p follow from g = h div 10 and the number of words n. One scan; the other texts have no words here."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    rows = docs.select("doc_id", "text", h.alias("h"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+    words = F.array_remove(F.split(F.when(h % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("words"))
     n, g = F.size("words"), F.floor(F.col("h") / 10)
-    rows = rows.select("*", n.alias("n"), g.alias("g"), (g % n).cast("int").alias("a")).where("h % 10 = 0 and n > 0")
+    rows = rows.select("*", F.when(n > 0, n).alias("n"), g.alias("g")).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
     rows = rows.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
     left = F.col("n") - F.col("a")
     again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
-    changed = rows.select("doc_id", F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ").alias("text"))
-    return docs.select("doc_id", "text").where(~((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")) | F.col("doc_id").isNull() | F.col("text").isNull()).unionByName(changed)
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
 
 
 def _run_digests(found: DataFrame) -> DataFrame:
