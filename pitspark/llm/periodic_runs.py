@@ -100,26 +100,26 @@ def _transform(size: int) -> Transform:
     return Transform(size)
 
 
-def zero_mismatches(symbols: np.ndarray, blocks: np.ndarray, length: int, nearest: int, distances: int) -> tuple[np.ndarray, np.ndarray]:
+def zero_mismatches(numbers: np.ndarray, blocks: np.ndarray, length: int, nearest: int, distances: int) -> tuple[np.ndarray, np.ndarray]:
     """(which block, distance) for every block start and distance from ``nearest`` at which the ``length``
-    numbers of the block occur again. ``symbols``: whole numbers whose squared differences over ``length``
-    places sum to less than P. Reading past the end repeats the last number; such distances are the caller's
-    to leave out."""
+    numbers of the block occur again, as far as their remainders tell: of a division by the largest number for which
+    squared differences over ``length`` places sum to less than P. Reading past the end repeats the last number;
+    such distances are the caller's to leave out."""
     size = 4 * length
     window = distances + length - 1
-    turn, last = _transform(size), len(symbols) - 1
-    squares = np.concatenate(([0], np.cumsum(symbols * symbols, dtype=np.int64)))
+    turn, last, divisor = _transform(size), len(numbers) - 1, isqrt((P - 1) // length)
     which, at = [], []
     step = max(1, CELLS // size)
     for k in range(0, len(blocks), step):
         x = blocks[k : k + step, None]
         own = np.zeros((len(x), size))
-        own[:, :length] = symbols[x + np.arange(length - 1, -1, -1)]
+        own[:, :length] = numbers[x + np.arange(length - 1, -1, -1)] % divisor
         following = np.zeros((len(x), size))
-        following[:, :window] = symbols[np.minimum(x + nearest + np.arange(window), last)]
+        following[:, :window] = numbers[np.minimum(x + nearest + np.arange(window), last)] % divisor
         both = turn.inverse(_mod(turn.forward(own) * turn.forward(following)))[:, length - 1 : length - 1 + distances]
-        start = np.minimum(x + nearest + np.arange(distances), len(symbols))
-        sums = squares[x + length] - squares[x] + squares[np.minimum(start + length, len(symbols))] - squares[start]
+        squares = np.zeros((len(x), window + 1))
+        np.cumsum(following[:, :window] ** 2, axis=1, out=squares[:, 1:])
+        sums = (own**2).sum(1, keepdims=True) + squares[:, length:] - squares[:, :distances]
         row, column = np.nonzero(_mod(sums - 2 * both) == 0)
         which.append(row + k)
         at.append(column + nearest)
@@ -212,12 +212,11 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         left = np.minimum(blocks + 5 * scale - 2, top) > inside
         of, blocks, top, inside = of[left], blocks[left], top[left], inside[left]
         length = min(scale, CAP)
-        symbols = (scrambled % np.uint64(isqrt((P - 1) // length))).astype(np.int64)
         found = []
         for section in range(nearest, 4 * scale - 1, 2 * length):
             distances = min(2 * length, 4 * scale - 1 - section)
             open_ = np.flatnonzero(blocks + section + scale <= top)
-            which, q = zero_mismatches(symbols, blocks[open_], length, section, distances) if len(open_) else (open_, open_)
+            which, q = zero_mismatches(scrambled, blocks[open_], length, section, distances) if len(open_) else (open_, open_)
             which = open_[which]
             seed = (blocks[which] + q + scale <= top[which]) & (blocks[which] + q + scale > inside[which])
             which, q = which[seed], q[seed]

@@ -43,6 +43,15 @@ def test_blocks_of_a_known_run_are_not_transformed_again(monkeypatch, period, le
     assert {length for _, length in laid} == lengths
 
 
+def test_windows_take_remainders_of_numbers_of_any_size():
+    """Remainders are taken of the words in windows alone, so whole 64-bit hashes go in."""
+    numbers = mix(np.arange(900, dtype=np.uint64) % 130)
+    for length, nearest in ((2, 1), (8, 15), (64, 127)):
+        blocks = np.arange(0, 500, length)
+        got = set(zip(*(x.tolist() for x in periodic_runs.zero_mismatches(numbers, blocks, length, nearest, 2 * length)), strict=True))
+        assert got == {(k, 130) for k in range(len(blocks)) if nearest <= 130 < nearest + 2 * length}
+
+
 def test_recurrence_is_never_farther_than_the_next_occurrence():
     rng = random.Random(5)
     for high in (3, 40, 1 << 40):
